@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -14,137 +15,172 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
 #: Labelled documents that a model is fitted on at most, those with the least hashes of doc_id.
 TRAIN_DOCS = 6000
-#: Words in fewer training documents than this are no features.
+#: Features that a model has at most: those that tell the labels of the sample apart best.
+FEATURES = 2000
+#: Features in fewer sampled documents than this are passed over.
 LEAST_DOCS = 4
-STEPS, RATE, L2, FIRST_BIAS = 250, 0.15, 2e-5, -6.0
+STEPS, RATE, L1, FIRST_BIAS = 300, 0.1, 3e-5, -6.0
+#: Words whose weight a worker remembers; it starts anew beyond them.
+REMEMBERED = 1 << 19
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_ids(sentence: str) -> set[int]:
-    return {zlib.crc32(w.encode()) for w in WORD.findall(sentence.lower())}
+def sentence_words(sentence: str) -> set[str]:
+    return set(WORD.findall(sentence.lower()))
+
+
+def features(word: str) -> list[int]:
+    """Numbers of a word's features: the word, and its beginnings of two to six letters."""
+    return [zlib.crc32(x.encode()) for x in (f"{word}$", *(word[:k] for k in range(2, min(len(word), 7))))]
 
 
 @dataclass
 class Model:
-    """Weights of words; a sentence's score is the logistic of bias and its distinct words' weights."""
+    """Weights of features; a sentence's score is the logistic of the bias and the weights of its
+    distinct words' features."""
 
     bias: float
     weights: dict[int, float]
+    known: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def sentence_logits(self, text: str) -> list[tuple[int, int, float]]:
-        get = self.weights.get
-        return [
-            (m.start(), m.end(), self.bias + sum(get(w, 0.0) for w in word_ids(m[0]))) for m in SENTENCE.finditer(text)
-        ]
+    def word_weight(self, word: str) -> float:
+        weight = self.known.get(word)
+        if weight is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            weight = self.known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return weight
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score and its sentences as start, stop, score. No sentence scores 0."""
-        spans = self.sentence_logits(text)
+        spans = [(m.start(), m.end(), sum(map(self.word_weight, sentence_words(m[0])))) for m in SENTENCE.finditer(text)]
         if not spans:
             return 0.0, []
-        logits = np.array([s[2] for s in spans])
+        logits = self.bias + np.array([s[2] for s in spans])
         clean = -np.logaddexp(0, logits)  # log of 1 - score
-        marks = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
+        marks = -np.expm1(clean)
         return float(-np.expm1(clean.sum())), [(i, j, float(p)) for (i, j, _), p in zip(spans, marks, strict=True)]
 
 
-def fit_noisy_or(bags: list[list[np.ndarray]], labels: np.ndarray) -> Model:
-    """Fit sentence weights to document labels by Adam on the noisy-or likelihood.
+def fit_noisy_or(bags: list[list[np.ndarray]], labels: np.ndarray, chosen: np.ndarray) -> Model:
+    """Fit weights of the ``chosen`` features to document labels: Adam on the noisy-or likelihood.
 
-    bags: per document its sentences, each an array of distinct word ids.
+    bags: per document its sentences, each an array of feature numbers, all of them chosen ones.
     """
     kept = [(bag, y) for bag, y in zip(bags, labels, strict=True) if bag]
-    seen = np.concatenate([np.zeros(0, np.int64), *(np.unique(np.concatenate(bag)) for bag, _ in kept)])
-    words, counts = np.unique(seen, return_counts=True)
-    words = words[counts >= LEAST_DOCS]
     y = np.array([label for _, label in kept], float)
-    if not len(words) or len(set(y)) < 2:
+    if not len(chosen) or len(set(y)) < 2:
         share = float(np.mean(labels)) if len(labels) else 0.0
         return Model(float(np.log((share + 1e-3) / (1 - share + 1e-3))), {})
+    chosen = np.sort(chosen)
     sentences = [s for bag, _ in kept for s in bag]
-    flat = np.concatenate(sentences)
+    place = np.searchsorted(chosen, np.concatenate(sentences))
     owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    place = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-    hit = words[place] == flat
-    place, owner = place[hit], owner[hit]
-    starts = np.cumsum([0] + [len(bag) for bag, _ in kept])[:-1]
-    of_doc = np.repeat(np.arange(len(kept)), [len(bag) for bag, _ in kept])
-
-    params = np.zeros(len(words) + 1)
-    params[-1] = FIRST_BIAS
+    sizes = [len(bag) for bag, _ in kept]
+    starts, of_doc = np.cumsum([0, *sizes])[:-1], np.repeat(np.arange(len(kept)), sizes)
+
+    params = np.append(np.zeros(len(chosen)), FIRST_BIAS)
     mean, var = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
         logits = params[-1] + np.bincount(owner, params[place], len(sentences))
         clean = np.add.reduceat(-np.logaddexp(0, logits), starts)
         toxic = np.maximum(-np.expm1(clean), 1e-9)
         pull = np.where(y > 0, -np.exp(clean) / toxic, 1.0)[of_doc] / (1 + np.exp(-logits)) / len(y)
-        grad = np.append(np.bincount(place, pull[owner], len(words)), pull.sum())
-        grad[:-1] += L2 * params[:-1]
+        grad = np.append(np.bincount(place, pull[owner], len(chosen)) + L1 * np.sign(params[:-1]), pull.sum())
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         params -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-8)
-    return Model(float(params[-1]), {int(w): float(v) for w, v in zip(words, params, strict=False)})
+    return Model(float(params[-1]), {int(f): float(v) for f, v in zip(chosen, params, strict=False)})
+
+
+def choose_features(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
+    """Numbers of the ``most`` features whose document frequencies differ most, in standard
+    deviations, between the toxic and the other documents of ``sample`` (text, toxic)."""
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, toxic = Counter(), Counter()
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
+                own = {f for w in sentence_words(text.as_py()) for f in features(w)}
+                seen.update(own)
+                if label:
+                    toxic.update(own)
+        columns = [pa.array(seen, pa.int64()), pa.array(seen.values(), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["feature", "n", "n_toxic"])
+
+    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    if not 0 < totals.t < totals.n:
+        return np.zeros(0, np.int64)
+    n, t = float(totals.n), float(totals.t)
+    share = F.col("n") / n
+    apart = F.col("n_toxic") / t - (F.col("n") - F.col("n_toxic")) / (n - t)
+    score = F.abs(apart) / F.sqrt(share * (1 - share) * (1 / t + 1 / (n - t)) + 1e-12)
+    rows = (
+        sample.mapInArrow(counted, "feature long, n long, n_toxic long")
+        .groupBy("feature")
+        .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+        .where(F.col("n") >= LEAST_DOCS)
+        .orderBy(score.desc(), "feature")
+        .limit(most)
+        .collect()
+    )
+    return np.array([r.feature for r in rows], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit a model to at most ``train_docs`` documents of ``docs`` (doc_id, text) that ``labels``
     (doc_id, toxic) marks. Null ids and labels are passed over; a repeated id is toxic if any row is.
 
-    The driver gets word numbers of the sampled documents only; they are fitted there, since the
-    sample is bounded by its parameter.
+    The driver gets the chosen features' places in the sampled documents and fits them there, since
+    the sample is bounded by its parameter.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    least = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    sample = cut(
+        docs.select("doc_id", text_or_empty().alias("text"))
+        .join(F.broadcast(least), "doc_id")
+        .select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    )
+    chosen = choose_features(sample)
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(chosen.tolist())
         for batch in batches:
-            sizes, words = [], []
+            sizes, places = [], []
             for text in batch["text"]:
-                own = [s for s in (word_ids(m[0]) for m in SENTENCE.finditer(text.as_py())) if s]
+                own = [sorted(f for w in sentence_words(m[0]) for f in features(w) if f in known) for m in SENTENCE.finditer(text.as_py())]
                 sizes.append(np.array([len(s) for s in own], "<i4").tobytes())
-                words.append(np.array([w for s in own for w in sorted(s)], "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(sizes, pa.binary()), pa.array(words, pa.binary())], ["toxic", "sizes", "words"])
+                places.append(np.array([f for s in own for f in s], "<i8").tobytes())
+            columns = [batch["toxic"], pa.array(sizes, pa.binary()), pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "sizes", "places"])
 
-    rows = (
-        docs.select("doc_id", text_or_empty().alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-        .mapInArrow(bags, "toxic int, sizes binary, words binary")
-        .collect()
-    )
-    split = lambda r: np.split(np.frombuffer(r.words, "<i8"), np.cumsum(np.frombuffer(r.sizes, "<i4"))[:-1])
-    ordered = sorted(rows, key=lambda r: (bytes(r.words), r.toxic))
-    return fit_noisy_or([split(r) if len(r.sizes) else [] for r in ordered], np.array([r.toxic for r in ordered]))
+    rows = sample.mapInArrow(bags, "toxic int, sizes binary, places binary").collect()
+    rows.sort(key=lambda r: (bytes(r.sizes), bytes(r.places), r.toxic))
+    split = [np.split(np.frombuffer(r.places, "<i8"), np.cumsum(np.frombuffer(r.sizes, "<i4"))[:-1]) if r.sizes else [] for r in rows]
+    return fit_noisy_or(split, np.array([r.toxic for r in rows]), chosen)
 
 
 def toxicity(model: Model, spans: bool = False) -> Column:
     """A column for documents with ``text``: the score, or a struct of score and the sentences that
     reach one half, as start, stop (in characters), score. A null text is empty and scores 0."""
-    if spans:
-
-        @F.pandas_udf(
-            T.StructType().add("score", T.DoubleType()).add(
-                "sentences", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()).add("score", T.DoubleType()))
-            )
-        )
-        def located(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for texts in parts:
-                done = [model.score(t) for t in texts]
-                found = [[{"start": i, "stop": j, "score": p} for i, j, p in s if p >= 0.5] for _, s in done]
-                yield pd.DataFrame({"score": [d[0] for d in done], "sentences": found})
-
-        return located(text_or_empty())
-
-    @F.pandas_udf(T.DoubleType())
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    span = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()).add("score", T.DoubleType())
+    located = T.StructType().add("score", T.DoubleType()).add("sentences", T.ArrayType(span))
+
+    def with_spans(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            done = [model.score(t) for t in texts]
+            found = [[{"start": i, "stop": j, "score": p} for i, j, p in s if p >= 0.5] for _, s in done]
+            yield pd.DataFrame({"score": [d[0] for d in done], "sentences": found})
+
+    def alone(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([model.score(t)[0] for t in texts], dtype=float)
 
-    return scored(text_or_empty())
+    return (F.pandas_udf(with_spans, located) if spans else F.pandas_udf(alone, T.DoubleType()))(text_or_empty())
 
 
 def held_out() -> Column:

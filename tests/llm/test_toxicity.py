@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from loamgraph.llm.toxicity import Model, drop_toxic, fit_noisy_or, held_out, score_toxicity, toxicity, train, word_ids
+from loamgraph.llm.toxicity import Model, drop_toxic, features, fit_noisy_or, held_out, score_toxicity, toxicity, train
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.1"
@@ -18,23 +18,27 @@ def test_held_out_accuracy(spark):
     assert all(r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def numbers(words):
+    return np.array(sorted(f for w in set(words.split()) for f in features(w)))
+
+
 def test_noisy_or_finds_the_word():
     rng = random.Random(3)
     bags, labels = [], []
     for i in range(300):
-        bag = [np.array(sorted(word_ids(" ".join(rng.choices("abcdefghijkl", k=4))))) for _ in range(5)]
+        bag = [numbers(" ".join(rng.choices("abcdefghijkl", k=4))) for _ in range(5)]
         if i % 3 == 0:
-            bag[2] = np.array(sorted({*bag[2], *word_ids("awful")}))
+            bag[2] = np.append(bag[2], numbers("awful"))
         bags.append(bag)
         labels.append(i % 3 == 0)
-    model = fit_noisy_or(bags, np.array(labels, int))
+    model = fit_noisy_or(bags, np.array(labels, int), np.unique(np.concatenate([s for bag in bags for s in bag])))
     score, spans = model.score("a b c. an AWFUL day! d e f\ng")
     assert score > 0.5 and [p > 0.5 for *_, p in spans] == [False, True, False, False]
     assert model.score("a b. c d. e f.")[0] < 0.3
 
 
 def test_noisy_or_of_sentences():
-    model = Model(-1.0, {w: 2.0 for w in word_ids("bad")})
+    model = Model(-1.0, {f: 0.7 for f in features("bad")})
     score, spans = model.score("good. bad.")
     assert np.isclose(score, 1 - np.prod([1 - p for *_, p in spans]))
     assert model.score("") == (0.0, [])
