@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ TOKEN_LIMIT = 4096
 REMEMBERED = 1 << 20
 #: Longer chunks are counted each time they are met; the counts of shorter ones fit in bytes.
 LONGEST_REMEMBERED = 63
+#: Chunks with the same so many first characters share the entries of those.
+HEAD = 6
 SPACE = "▁"
 #: No piece has a space after another character, so no merge crosses from one chunk to the next.
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -29,7 +32,7 @@ class PrefixCounter:
     For a prefix of length i whose encoding ends in piece t, the rest of that encoding is the
     encoding of the prefix of length i - len(t): no merge crosses the border. So count[i] is
     count[i - len(t)] + 1, where t is the one suffix that keeps apart from the last piece of the
-    shorter prefix. Which pairs keep apart is found by merging the two pieces' characters.
+    shorter prefix. Whether two pieces keep apart is asked of the library, once a pair.
     """
 
     def __init__(self, model_file: str):
@@ -41,44 +44,58 @@ class PrefixCounter:
         norm = model.normalizer_spec
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix:
             raise ValueError("only models that leave texts as they are and add a space in front")
-        kinds = pb.ModelProto.SentencePiece
-        self.score = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+        normal = pb.ModelProto.SentencePiece.NORMAL
+        pieces = {p.piece for p in model.pieces if p.type == normal}
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("pieces with a space behind another character")
-        self.longest = max(map(len, self.score))
+        norm.add_dummy_prefix = False
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        #: Every ending of a piece, and whether it is a piece itself.
+        self.endings = {p[k:]: p[k:] in pieces for p in pieces for k in range(len(p))}
         self.apart: dict[tuple[str, str], bool] = {}
+        self.heads: dict[str, tuple[list[int], list[str]]] = {}
         self.known: dict[str, bytes] = {}
 
-    def _merged(self, symbols: list[str]) -> list[str]:
-        while True:
-            ranked = [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.score]
-            if not ranked:
-                return symbols
-            i = min(ranked)[1]
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-
-    def _keep_apart(self, a: str, b: str) -> bool:
-        known = self.apart.get((a, b))
-        if known is None:
-            if len(self.apart) > REMEMBERED:
-                self.apart.clear()
-            known = self.apart[a, b] = self._merged([*a, *b]) == [a, b]
+    def _keep_apart(self, pair: tuple[str, str]) -> bool:
+        if len(self.apart) >= REMEMBERED // 2:
+            self.apart.clear()
+        alone = not self.endings.get(pair[0])  # a character without a piece merges with nothing
+        known = self.apart[pair] = alone or self.bare.encode_as_pieces(pair[0] + pair[1]) == [*pair]
         return known
 
-    def of_chunk(self, chunk: str) -> list[int]:
-        """Counts of the chunk's prefixes of 1, 2, ... characters."""
-        score, longest = self.score, self.longest
-        counts, last = [0], [""]
-        for i in range(1, len(chunk) + 1):
-            for j in range(max(0, i - longest), i):
+    def _extend(self, chunk: str, counts: list[int], last: list[str]) -> None:
+        """Entry i: the count of the chunk's prefix of length i, and the piece that ends it."""
+        ending, apart = self.endings.get, self.apart
+        for i in range(len(counts), len(chunk) + 1):
+            j, fits = i - 1, []
+            while j >= 0 and (whole := ending(chunk[j:i])) is not None:
+                if whole:
+                    fits.append(j)
+                j -= 1
+            for j in reversed(fits):
                 piece = chunk[j:i]
-                if piece in score and (not j or self._keep_apart(last[j], piece)):
-                    counts.append(counts[j] + 1)
+                if not j:
                     break
-            else:  # a character without a piece falls back to its bytes
-                piece = chunk[i - 1]
-                counts.append(counts[i - 1] + len(piece.encode()))
+                known = apart.get(pair := (last[j], piece))
+                if known or (known is None and self._keep_apart(pair)):
+                    break
+            else:
+                j, piece = i - 1, chunk[i - 1]
+            # a character without a piece falls back to its bytes
+            counts.append(counts[j] + (1 if fits else len(piece.encode())))
             last.append(piece)
+
+    def of_chunk(self, chunk: str) -> list[int]:
+        """Counts of the chunk's prefixes of 1, 2, ... characters. Chunks share their beginnings' entries."""
+        head = chunk[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            if len(self.heads) >= REMEMBERED // 4:
+                self.heads.clear()
+            known = self.heads[head] = ([0], [""])
+            self._extend(head, *known)
+        counts, last = known[0].copy(), known[1].copy()
+        self._extend(chunk, counts, last)
         return counts[1:]
 
     def _chunk(self, chunk: str) -> bytes | list[int]:
@@ -108,6 +125,12 @@ class PrefixCounter:
         return np.array([0, *out[2:]], np.int32)  # the space in front belongs to no prefix
 
 
+@lru_cache(maxsize=1)
+def counter_for(model_file: str) -> PrefixCounter:
+    """One counter for all tasks of a Python worker, with what it remembers."""
+    return PrefixCounter(model_file)
+
+
 def fitting(prefix_tokens: np.ndarray, limit: int) -> int:
     """The length of the longest prefix of at most ``limit`` tokens."""
     return int(np.flatnonzero(prefix_tokens <= limit)[-1])
@@ -133,7 +156,7 @@ def prefix_token_counts(
 
     @F.pandas_udf(T.StructType(fields))
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = PrefixCounter(model_file)
+        counter = counter_for(model_file)
         for texts in parts:
             rows = []
             for text in texts:
