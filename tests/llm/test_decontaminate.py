@@ -1,0 +1,91 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+from loamgraph.llm.decontaminate import drop_leaks, leaks
+
+BENCHMARK = "item_id long, text string"
+
+
+def words_of(text):
+    return [w for w in re.split("[ \t-\r]+", (text or "").lower()) if w]
+
+
+def counts(words, width):
+    return Counter(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
+def brute(docs, items):
+    """Every window of every document against every item."""
+    out = {}
+    for i, text in docs:
+        words = words_of(text)
+        for j, item in items:
+            own = words_of(item)
+            if not own or not words:
+                continue
+            width, size = min(5, len(own)), len(own)
+            a = counts(own, width)
+            for s in range(max(1, len(words) - size + 1)):
+                b = counts(words[s : s + size], width)
+                sim = sum((a & b).values()) / sum((a | b).values())
+                if sim >= 0.8:
+                    best, first = out.get((i, j), (0, s))
+                    out[i, j] = max(best, sim), min(first, s)
+    return out
+
+
+def cases(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    pick = lambda n: rng.choices(vocabulary, k=n)
+    items = [(j, " ".join(pick(rng.choice([1, 3, 5, 20, 40])))) for j in range(15)] + [(90, ""), (91, None), (92, "a a a a a a a a a a")]
+    docs = []
+    for i in range(120):
+        words = pick(rng.choice([2, 60]))
+        if rng.random() < 0.7:
+            copy = words_of(rng.choice(items)[1])
+            for _ in range(rng.choice([0, 0, 1, 1, 3])):
+                if copy:
+                    at = rng.randrange(len(copy))
+                    copy[at : at + rng.choice([0, 1])] = rng.choice([[], pick(1)])
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = copy
+        docs.append((i, rng.choice([" ", "\n", " \t"]).join(words)))
+    return docs + [(500, ""), (501, None), (502, " \n"), (503, "A a " * 9), (504, "x " * 30_000 + (items[3][1] or ""))], items
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_brute_force(spark, documents, seed):
+    docs, items = cases(seed)
+    frame = documents([t for _, t in docs], [i for i, _ in docs])
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(frame, spark.createDataFrame(items, BENCHMARK)).collect()}
+    want = {k: v[0] for k, v in brute(docs, items).items() if k[0] != 504}
+    assert {k: round(v, 9) for k, v in got.items() if k[0] != 504} == {k: round(v, 9) for k, v in want.items()}
+    assert (504, 3) in got and len(want) > 30
+
+
+def test_planted_rows_of_the_test_data(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()}
+    texts, passages = docs.select("doc_id", "text").collect(), items.collect()
+    whole = {(d.doc_id, b.item_id) for d in texts for b in passages if f" {' '.join(words_of(b.text))} " in f" {' '.join(words_of(d.text))} "}
+    assert whole <= got and len(whole) > 20
+
+
+def test_no_python_in_the_plan(spark, documents):
+    plan = leaks(documents(["a b c d e f"]), spark.createDataFrame([(1, "a b c d e")], BENCHMARK))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_drop_and_odd_tables(spark, documents):
+    items = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "q r s t u v")], BENCHMARK)
+    docs = documents(["x a b c d e f y", "a b c", "q r s t u v", "a b c d e f", None], [1, 2, 3, None, 5])
+    kept = drop_leaks(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 5]
+    assert leaks(documents([]), items).count() == 0
+    assert leaks(docs, items.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "a b c d e f", 2, "x", 3)], "doc_id long, text string, item_id int, words string, size int")
+    assert [tuple(r) for r in leaks(clash, items).collect()] == [(1, 1, 1.0, 0)]
