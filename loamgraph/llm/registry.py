@@ -9,9 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_folder, table
+from .decontaminate import leaks
 from .license_scan import license_digest, scan_licenses
+from .lm_scoring import stupid_backoff
 from .packing import pack
 from .phrases import fingerprint_documents
+from .quality_kn import classify_quality
 from .simhash_dedup import near_duplicates
 from .token_counts import prefix_token_counts
 from .toxicity import score_toxicity
@@ -45,6 +48,18 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +73,9 @@ QUERIES: dict[str, Query] = {
         op4_license_scan,
         op5_arc_to_warc,
         op6_document_fingerprints,
+        op7_benchmark_decontamination,
+        op8_quality_classifier,
+        op9_lm_scoring,
         op10_toxicity,
     )
 }
