@@ -1,0 +1,51 @@
+"""Every query with SQL gives the rows that DuckDB gives for it; every other one runs."""
+
+import math
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
+from loamgraph.plans.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for path in Path(SF).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con
+
+
+def plain(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 6)
+    if hasattr(value, "is_finite"):
+        return round(float(value), 6)
+    if isinstance(value, list):
+        return tuple(map(plain, value))
+    return value
+
+
+def counted(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return Counter(tuple(plain(r[i]) for i in order) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows(spark, duck, name):
+    got = QUERIES[name](spark, SF)
+    want = duck.execute(ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    expected = want.fetchall()
+    assert sorted(got.columns) == sorted(names)
+    assert expected, "nothing to compare"
+    assert counted(got.columns, got.collect()) == counted(names, expected)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
