@@ -77,7 +77,9 @@ def compact(graph: Graph, budget: int, decide: Decider = by_first_word, most_rou
         members = members.join(graph.nodes.select("id", "name", "content"), "id")
         plan = decide(members).where(~tx.is_vacuous(F.concat(F.lit("about "), "theme"))).withColumn("hub", stable_id("hub", "center", "theme"))
         plan = cut(plan.where("id <> center"))
-        hubs = plan.groupBy("hub", "theme").agg(F.count("*").alias("n")).where("n >= 2")
+        sizes = members.groupBy("center").agg(F.count("*").alias("of"))
+        # a community of all members would only move the neighbourhood one level down
+        hubs = plan.groupBy("center", "hub", "theme").agg(F.count("*").alias("n")).join(sizes, "center").where("n >= 2 and n < of")
         plan = cut(plan.join(hubs.select("hub"), "hub", "left_semi"))
         added = hubs.select(
             F.col("hub").alias("id"), tx.short_name(F.col("theme")).alias("name"), F.col("theme").alias("content"), F.lit("concept").alias("node_class"), F.lit(True).alias("hub"),

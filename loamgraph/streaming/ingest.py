@@ -49,7 +49,7 @@ def newest_events(spark: SparkSession, events: DataFrame, out: str, checkpoint:
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events (ts, event_type, value) per hour and type; an addition to what is specified."""
-    timed = events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(
         F.col("window.start").alias("hour"), "event_type", "n", "value"
     )
