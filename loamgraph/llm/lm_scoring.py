@@ -20,9 +20,9 @@ ALPHA = 0.4
 #: are shards / HOT_SHARE hot ones at most; their counts are sent to all tasks.
 HOT_SHARE = 0.25
 #: Tokens and documents that a task packs at a time.
-FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, 1 << 16
+FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, (1 << 16) - 1
 #: Words whose numbers a task remembers; it starts anew beyond them.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Words are known by 48 bits of their hash; two of ten million share one with a chance of 1 in 6.
 BITS = np.uint64((1 << 48) - 1)
 #: In place of a bigram's second word: the document ends; the first word is to be scored alone.
@@ -89,7 +89,12 @@ def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 PACKED = "shard int, counts boolean, scores boolean, base long, first binary, runs binary, second_low binary, second_high binary, doc binary"
-RESULT = "row long, doc_id long, n_tokens long, log_score double, word long"
+#: What a shard gives back: the directory as it came, sums per document of each packed batch, and
+#: the words for which a bigram was missed.
+SUMS = "base long, first binary, runs binary, second_low binary, second_high binary, doc binary, sums binary, row long, step double, word long"
+RESULT = "row long, doc_id long, n_tokens long, log_score double"
+#: A shard's entries are sorted and counted in so many parts, one after the other.
+PARTS = 4
 
 
 def _packed(docs: DataFrame, shards: int, hot: dict[int, int], pairs: dict[tuple[int, int], int], total: int, counts: bool, scores: bool) -> DataFrame:
@@ -107,7 +112,7 @@ def _packed(docs: DataFrame, shards: int, hot: dict[int, int], pairs: dict[tuple
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, done = Numbers(), 0
         base = (int(counts and scores) + 2 * int(scores) << 60) + (TaskContext.get().partitionId() << 33)
-        schema = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[f.split()[1]]) for f in PACKED.split(", ")])
+        schema = _schema(PACKED)
 
         def flushed(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], np.int64)
@@ -163,62 +168,94 @@ def _packed(docs: DataFrame, shards: int, hot: dict[int, int], pairs: dict[tuple
     return docs.mapInArrow(packed, PACKED)
 
 
+def _schema(fields: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")])
+
+
 def _score_shard(hot: dict[int, int], total: int):
+    """A function from the packed batches of a shard to sums per batch and document."""
     hot_words = np.array(sorted(hot), np.uint64)
     hot_counts = np.array([hot[w] for w in hot_words.tolist()], float)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_score", pa.float64()), ("word", pa.int64())])
-
-    def directory(table: pa.Table) -> pa.Table:
-        out = []
-        for r in table.to_pylist():
-            ids = np.frombuffer(r["first"], "<i8")
-            none = np.frombuffer(r["second_high"], bool)
-            out.append(pa.table([pa.array(r["base"] + np.arange(len(ids))), pa.array(ids, mask=none), pa.array(np.frombuffer(r["runs"], np.int64)), pa.array(np.frombuffer(r["second_low"])), pa.nulls(len(ids), pa.int64())], schema=schema))
-        return pa.concat_tables(out)
-
-    def scored(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            return directory(table)
-        blobs = lambda name, kind: [np.frombuffer(b.as_py(), kind) for b in table[name]]
-        runs = blobs("runs", "<u4")
-        first = np.concatenate([np.repeat(f, n) for f, n in zip(blobs("first", "<u8"), runs, strict=True)])
-        second = np.concatenate(blobs("second_low", "<u4")).astype(np.uint64) | np.concatenate(blobs("second_high", "<u2")).astype(np.uint64) << np.uint64(32)
-        docs = blobs("doc", "<u2")
-        row = np.concatenate([b + d.astype(np.int64) for b, d in zip(table["base"].to_pylist(), docs, strict=True)])
-        sizes = [len(d) for d in docs]
-        counts, scores = (np.repeat(np.array(table[c].to_pylist(), bool), sizes) for c in ("counts", "scores"))
+    schema = _schema(SUMS)
 
+    def part_scores(first: np.ndarray, second: np.ndarray, counts: np.ndarray, scores: np.ndarray):
+        """Log scores in the order of the entries, and which of them are seen and missed."""
         order = np.lexsort((second, first))
-        first, second, row, counts, scores = first[order], second[order], row[order], counts[order] & (second[order] != ALONE), scores[order]
+        first, second = first[order], second[order]
+        alone = second == ALONE
+        counts, use = counts[order] & ~alone, scores[order] & (second != END)
         new_first = np.append(True, first[1:] != first[:-1])
-        new_pair = new_first | np.append(True, second[1:] != second[:-1])
         word = np.cumsum(new_first) - 1
-        pair = np.cumsum(new_pair) - 1
+        pair = np.cumsum(new_first | np.append(True, second[1:] != second[:-1])) - 1
         of_word = np.bincount(word, counts)
         at, is_hot = _in(hot_words, first[new_first])
         if len(hot_words):
             of_word = np.where(is_hot, hot_counts[at], of_word)
-        of_pair = np.bincount(pair, counts)[pair]
-        of_word = of_word[word]
-        alone = second == ALONE
-        use = scores & (second != END)
+        of_word, of_pair = of_word[word], np.bincount(pair, counts)[pair]
         seen = use & np.where(alone, of_word > 0, of_pair > 0)
         with np.errstate(divide="ignore"):
             logs = np.log(np.where(alone, of_word, of_pair)) - np.log(np.where(alone, total, np.maximum(of_word, 1)))
-        rows, at = np.unique(row[seen], return_inverse=True)
-        sums = np.bincount(at, logs[seen], len(rows))
-        missed = use & ~seen
-        words = np.where(alone, first, second)[missed].view(np.int64)
-        steps = np.where(alone[missed], 0.0, math.log(ALPHA))
-        n, m = len(rows), int(missed.sum())
-        return pa.table(
-            [pa.array(np.append(rows, row[missed])), pa.nulls(n + m, pa.int64()), pa.array(np.zeros(n + m, np.int64)), pa.array(np.append(sums, steps)), pa.array(np.append(np.zeros(n, np.int64), words), mask=np.append(np.ones(n, bool), np.zeros(m, bool)))],
-            schema=schema,
-        )
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return logs[back], seen[back], (use & ~seen)[back]
+
+    def scored(key: tuple, table: pa.Table) -> pa.Table:
+        names = schema.names
+        empty = lambda name, n: pa.nulls(n, schema.field(name).type)
+        if key[0].as_py() < 0:
+            return pa.table([table[n] if n in table.column_names else empty(n, len(table)) for n in names], schema=schema)
+        blobs = lambda name, kind: [np.frombuffer(b.as_py(), kind) for b in table[name]]
+        docs = blobs("doc", "<u2")
+        sizes, base = [len(d) for d in docs], np.array(table["base"].to_pylist())
+        first = np.concatenate([np.repeat(f, n) for f, n in zip(blobs("first", "<u8"), blobs("runs", "<u4"), strict=True)])
+        low, high = np.concatenate(blobs("second_low", "<u4")), np.concatenate(blobs("second_high", "<u2"))
+        counts, scores = (np.repeat(np.array(table[c].to_pylist(), bool), sizes) for c in ("counts", "scores"))
+        place = np.repeat(np.arange(len(sizes)) << 16, sizes) + np.concatenate(docs)  # batch and document
+        places, sums, missed = [], [], [[], [], []]
+        for part in range(PARTS):
+            own = np.flatnonzero(first % np.uint64(PARTS) == part)
+            if not len(own):
+                continue
+            head, second = first[own], low[own].astype(np.uint64) | high[own].astype(np.uint64) << np.uint64(32)
+            logs, seen, miss = part_scores(head, second, counts[own], scores[own])
+            spots, at = np.unique(place[own][seen], return_inverse=True)
+            places.append(spots)
+            sums.append(np.bincount(at, logs[seen], len(spots)))
+            alone = second[miss] == ALONE
+            missed[0].append(base[place[own][miss] >> 16] + (place[own][miss] & 0xFFFF))
+            missed[1].append(np.where(alone, 0.0, math.log(ALPHA)))
+            missed[2].append(np.where(alone, head[miss], second[miss]).view(np.int64))
+        spots, at = np.unique(np.concatenate(places), return_inverse=True)
+        values = np.bincount(at, np.concatenate(sums), len(spots))
+        cuts = np.searchsorted(spots, np.arange(len(sizes) + 1) << 16)
+        kept = [i for i in range(len(sizes)) if cuts[i] < cuts[i + 1]]
+        rows, steps, words = (np.concatenate(m) for m in missed)
+        columns = {
+            "base": pa.array([*base[kept].tolist(), *[None] * len(rows)], pa.int64()),
+            "doc": pa.array([(spots[cuts[i] : cuts[i + 1]] & 0xFFFF).astype("<u2").tobytes() for i in kept] + [None] * len(rows), pa.binary()),
+            "sums": pa.array([values[cuts[i] : cuts[i + 1]].tobytes() for i in kept] + [None] * len(rows), pa.binary()),
+        }
+        for name, found in (("row", rows), ("step", steps), ("word", words)):
+            columns[name] = pa.concat_arrays([empty(name, len(kept)), pa.array(found, schema.field(name).type)])
+        return pa.table([columns.get(n, empty(n, len(kept) + len(rows))) for n in names], schema=schema)
 
     return scored
 
 
+def _add_up(key: tuple, table: pa.Table) -> pa.Table:
+    """The documents of a packed batch, with the sums that the shards have for them."""
+    rows = table.to_pylist()
+    head = next(r for r in rows if r["first"] is not None)
+    ids, none = np.frombuffer(head["first"], "<i8"), np.frombuffer(head["second_high"], bool)
+    total = np.frombuffer(head["second_low"]).copy()
+    for r in rows:
+        if r["sums"] is not None:
+            total[np.frombuffer(r["doc"], "<u2")] += np.frombuffer(r["sums"])
+    columns = [head["base"] + np.arange(len(ids)), pa.array(ids, mask=none), np.frombuffer(head["runs"], np.int64), total]
+    return pa.table([pa.array(c) for c in columns], schema=_schema(RESULT))
+
+
 def stupid_backoff(docs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Stupid-backoff scores of each row of ``docs`` (doc_id, text, ...) under bigrams of ``counted``.
 
@@ -246,15 +283,16 @@ def stupid_backoff(docs: DataFrame, counted: DataFrame | None = None) -> DataFra
     packed = _packed(docs, shards, hot, pairs, max(total, 1), not apart, True)
     if apart:
         packed = packed.unionByName(_packed(source, shards, hot, pairs, max(total, 1), True, False))
-    parts = packed.groupBy("shard").applyInArrow(_score_shard(hot, max(total, 1)), RESULT)
+    sums = packed.groupBy("shard").applyInArrow(_score_shard(hot, max(total, 1)), SUMS)
+    sums = cut(sums) if apart else sums
+    scored = sums.where("base is not null").groupBy("base").applyInArrow(_add_up, RESULT)
     if apart:
-        parts = cut(parts)
         share = F.log(F.coalesce(F.col("n") / total, F.lit(1.0 / (total + 1))))
         backed = (
-            parts.where("word is not null")
-            .join(words.withColumnRenamed("word", "known"), F.col("word") == F.col("known"), "left")
-            .select("row", "doc_id", "n_tokens", (F.col("log_score") + share).alias("log_score"))
+            sums.where("word is not null")
+            .join(words.toDF("known", "n"), F.col("word") == F.col("known"), "left")
+            .groupBy("row")
+            .agg(F.sum(F.col("step") + share).alias("backed"))
         )
-        parts = parts.where("word is null").drop("word").unionByName(backed)
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
-    return sums.select("doc_id", "n_tokens", "log_score", (F.try_divide("log_score", "n_tokens")).alias("score"))
+        scored = scored.join(backed, "row", "left").withColumn("log_score", F.col("log_score") + F.coalesce("backed", F.lit(0.0)))
+    return scored.select("doc_id", "n_tokens", "log_score", F.try_divide("log_score", "n_tokens").alias("score"))
