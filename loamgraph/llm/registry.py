@@ -80,4 +80,34 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "string_split_regex(lower(trim(coalesce(text, ''), ' \t\n\x0b\f\r')), '[ \\t-\\r]+')"
+_BIT = "CAST(substr(bits, CAST(5 * i + {n} AS INT), 1) AS INT)"
+
+#: SQL that DuckDB runs for the same rows; the other operators are beyond SQL and tested by brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_arc_to_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+    lpad(bin(instr('0123456789abcdef', substr(hex, CAST(i AS INT), 1)) - 1), 4, '0')), '') AS bits FROM d)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + """
+    + " + ".join(f"{16 >> (n - 1)} * {_BIT.format(n=n)}" for n in range(1, 6))
+    + """, 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b""",
+    "op7_benchmark_decontamination": f"""
+WITH i AS (SELECT DISTINCT item_id, w, len(w) AS m, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE w[1] <> ''),
+items AS (SELECT *, list_transform(range(1, m - k + 2), lambda x: array_to_string(w[x : x + k - 1], ' ')) AS shingles FROM i),
+places AS (SELECT item_id, m, k, shingles, unnest(shingles) AS shingle, unnest(range(0, len(shingles))) AS at FROM items),
+docs AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE w[1] <> ''),
+spots AS (SELECT doc_id, n, k, unnest(range(0, n - k + 1)) AS at FROM docs, (SELECT DISTINCT k FROM items)),
+read AS (SELECT s.doc_id, s.n, s.k, s.at, array_to_string(d.w[s.at + 1 : s.at + s.k], ' ') AS shingle FROM spots s JOIN docs d USING (doc_id)),
+met AS (SELECT DISTINCT r.doc_id, p.item_id, p.m, p.k, p.shingles, greatest(0, least(r.at - p.at, r.n - p.m)) AS start FROM read r JOIN places p ON r.shingle = p.shingle AND r.k = p.k),
+windows AS (SELECT met.*, list_transform(range(start + 1, least(start + m, d.n) - k + 2), lambda x: array_to_string(d.w[x : x + k - 1], ' ')) AS own FROM met JOIN docs d USING (doc_id)),
+alike AS (SELECT doc_id, item_id, start, len(shingles) + len(own) AS sizes, list_sum(list_transform(list_distinct(shingles), lambda s:
+    least(len(list_filter(shingles, lambda y: y = s)), len(list_filter(own, lambda y: y = s))))) AS common FROM windows)
+SELECT doc_id, item_id, max(common / (sizes - common)) AS similarity, CAST(min(start) AS INT) AS first_word FROM alike
+WHERE common / (sizes - common) >= 0.8 GROUP BY doc_id, item_id""",
+}
