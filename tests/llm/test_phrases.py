@@ -2,13 +2,25 @@ import hashlib
 import random
 
 import numpy as np
-from loamgraph.llm.phrases import fingerprint, fingerprint_documents, levels, likeness, phrase_starts
+from loamgraph.llm.phrases import borders, fingerprint, fingerprint_documents, fingerprints, levels, likeness
 
 
 def words(rng, n):
     return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
 
 
+def phrase_starts(names):
+    return np.flatnonzero(borders(names, np.array([len(names)])))
+
+
+def test_texts_parsed_together_or_alone():
+    rng = random.Random(8)
+    texts = [words(rng, rng.choice([0, 1, 2, 60])) for _ in range(80)] + ["", "a", "ab", "aaaa", "é漢🙂", "a" * 5000, "ab" * 3000]
+    rng.shuffle(texts)
+    assert fingerprints(texts) == [fingerprint(t) for t in texts]
+    assert fingerprints([]) == []
+
+
 def test_borders_depend_on_neighbours_only():
     rng = np.random.default_rng(0)
     inner = rng.permutation(5000).astype(np.uint64)
