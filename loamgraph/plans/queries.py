@@ -110,7 +110,7 @@ def adj_relations(spark, sf_dir):
     return graph_of(spark, sf_dir).relations()
 
 
-@query(f"{GRAPH_SQL} SELECT me, edge_id, type, other FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY edge_id) AS nth FROM relations) WHERE nth <= 3")
+@query(f"{GRAPH_SQL} SELECT me, edge_id, type, other FROM (SELECT *, CAST(row_number() OVER (PARTITION BY me ORDER BY edge_id) AS INT) AS nth FROM relations) WHERE nth <= 3")
 def adj_relations_limit(spark, sf_dir):
     return graph_of(spark, sf_dir).relations(limit=3)
 
@@ -123,7 +123,7 @@ def adj_drilldown(spark, sf_dir):
 @query(
     f"""{GRAPH_SQL} SELECT node_id, event_id, event_ts, nth FROM (
     SELECT e.target_id AS node_id, n.id AS event_id, n.event_ts,
-           row_number() OVER (PARTITION BY e.target_id ORDER BY nullif(n.event_ts, '') DESC NULLS LAST, n.id) AS nth
+           CAST(row_number() OVER (PARTITION BY e.target_id ORDER BY nullif(n.event_ts, '') DESC NULLS LAST, n.id) AS INT) AS nth
     FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE type = 'assoc') e JOIN nodes n ON n.id = e.source_id AND n.node_class = 'event') WHERE nth <= 5"""
 )
 def events_topk(spark, sf_dir):
@@ -167,7 +167,7 @@ def graph_view_edges(spark, sf_dir):
 
 @query(
     f"""{GRAPH_SQL}, focus AS (SELECT id AS me FROM nodes WHERE hub OR id LIKE 's:%')
-    SELECT me, row_number() OVER (PARTITION BY me ORDER BY seq, id) AS pos, id FROM (
+    SELECT me, CAST(row_number() OVER (PARTITION BY me ORDER BY seq, id) AS INT) AS pos, id FROM (
     SELECT me, me AS id, -1 AS seq FROM focus UNION ALL
     SELECT v.me, v.other, n.seq FROM neighbours v JOIN focus f ON f.me = v.me JOIN nodes n ON n.id = v.other WHERE v.me <> v.other)"""
 )
@@ -214,9 +214,9 @@ def edge_validate(spark, sf_dir):
 
 
 @query(
-    f"""{RAW_SQL} SELECT id, source_id, target_id, type FROM (SELECT *, row_number() OVER (PARTITION BY type,
+    f"""{RAW_SQL} SELECT id, source_id, target_id, type FROM (SELECT *, CAST(row_number() OVER (PARTITION BY type,
     CASE WHEN type = 'mutex' THEN least(source_id, target_id) ELSE source_id END, CASE WHEN type = 'mutex' THEN greatest(source_id, target_id) ELSE target_id END
-    ORDER BY seq, id) AS nth FROM checked WHERE fault IS NULL) WHERE nth = 1"""
+    ORDER BY seq, id) AS INT) AS nth FROM checked WHERE fault IS NULL) WHERE nth = 1"""
 )
 def edge_dedup(spark, sf_dir):
     g = graph_of(spark, sf_dir)
@@ -285,7 +285,7 @@ def render_node_short(spark, sf_dir):
     f"""{GRAPH_SQL}, mine AS (SELECT d.me, n.* FROM drill d JOIN nodes n ON n.id = d.child WHERE d.me LIKE 'r:%'),
     numbered AS (SELECT me, 0 AS kind, seq AS pos, substr({node_sql()}, 2) AS line FROM mine UNION ALL
     SELECT e.source_id, 1, b.seq, ' ' || a.name || ' — ' || b.name FROM edges e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id WHERE e.source_id LIKE 'r:%'),
-    lines AS (SELECT me, row_number() OVER (PARTITION BY me ORDER BY kind, pos) AS number, line FROM numbered)
+    lines AS (SELECT me, CAST(row_number() OVER (PARTITION BY me ORDER BY kind, pos) AS INT) AS number, line FROM numbered)
     SELECT me, string_agg(number || '.' || line, chr(10) ORDER BY number) AS text FROM lines GROUP BY me"""
 )
 def render_facts(spark, sf_dir):
@@ -417,8 +417,8 @@ def alias_lookup(spark, sf_dir):
 @query(
     f"""{LOOKUP_SQL}, entries AS (SELECT query_id, id, 100 AS priority, pos FROM hits UNION ALL
     SELECT q.n_nationkey, n.id, 0, n.seq FROM nation q JOIN nodes n ON n.id = 'r:' || q.n_regionkey OR n.id = 'n:' || q.n_nationkey),
-    once AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY priority DESC, pos) AS nth FROM entries)
-    SELECT query_id, id, priority, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, pos, id) AS place FROM once WHERE nth = 1"""
+    once AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, id ORDER BY priority DESC, pos) AS INT) AS nth FROM entries)
+    SELECT query_id, id, priority, CAST(row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, pos, id) AS INT) AS place FROM once WHERE nth = 1"""
 )
 def entry_merge(spark, sf_dir):
     g = graph_of(spark, sf_dir)
@@ -461,7 +461,7 @@ def layer_pack(spark, sf_dir):
 @query(
     f"""{GRAPH_SQL}, members AS (SELECT 'b' || (e.target_id = 'c:1') AS batch, n.seq AS pos, e.source_id AS id FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.source_id LIKE 'e:%'
       UNION ALL SELECT 'bfalse', 0, target_id FROM edges WHERE source_id LIKE 'e:%')
-    SELECT batch, id, min(pos) AS pos, row_number() OVER (PARTITION BY batch ORDER BY min(pos), id) AS number FROM members GROUP BY batch, id"""
+    SELECT batch, id, min(pos) AS pos, CAST(row_number() OVER (PARTITION BY batch ORDER BY min(pos), id) AS INT) AS number FROM members GROUP BY batch, id"""
 )
 def batch_merge(spark, sf_dir):
     g = graph_of(spark, sf_dir)
@@ -551,7 +551,7 @@ def report_delta(spark, sf_dir):
 
 PAIRS_SQL = f"""q AS (SELECT item_id AS query_id, {set_sql("text")} AS words FROM benchmark), d AS (SELECT doc_id AS id, {set_sql("text")} AS words FROM documents),
 scored AS (SELECT q.query_id, d.id, len(list_intersect(q.words, d.words)) / len(q.words) AS score FROM q, d WHERE len(q.words) > 0 AND len(list_intersect(q.words, d.words)) > 0),
-ranked AS (SELECT query_id, id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored),
+ranked AS (SELECT query_id, id AS doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored),
 gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
@@ -585,7 +585,7 @@ def gold_passages(spark, sf_dir):
     f"""WITH {PAIRS_SQL}, types AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'inference_query' WHEN 1 THEN 'comparison_query' ELSE 'temporal_query' END AS type FROM benchmark
       WHERE item_id IN (SELECT query_id FROM gold)),
     sizes AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id),
-    hits AS (SELECT r.query_id, r.rank, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS nth FROM ranked r JOIN gold g ON g.query_id = r.query_id AND g.doc_id = r.doc_id),
+    hits AS (SELECT r.query_id, r.rank, CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS INT) AS nth FROM ranked r JOIN gold g ON g.query_id = r.query_id AND g.doc_id = r.doc_id),
     per AS (SELECT t.query_id, t.type, s.n AS gold, """
     + ", ".join(
         f"count(*) FILTER (h.rank <= {k}) AS n{k}, coalesce(sum(h.nth / h.rank) FILTER (h.rank <= {k}), 0) AS p{k}, coalesce(max(1 / h.rank) FILTER (h.rank <= {k}), 0) AS r{k}" for k in (2, 4, 10)
@@ -635,7 +635,7 @@ def lexical_score(spark, sf_dir):
     return rank.lexical_scores(node_candidates(graph_of(spark, sf_dir))).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"{NODE_RANK_SQL} SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY score DESC, seq) AS rank FROM node_scores WHERE score >= 0.2) WHERE rank <= 50")
+@query(f"{NODE_RANK_SQL} SELECT id, rank FROM (SELECT id, CAST(row_number() OVER (ORDER BY score DESC, seq) AS INT) AS rank FROM node_scores WHERE score >= 0.2) WHERE rank <= 50")
 def rerank_topn(spark, sf_dir):
     return rank.rerank(rank.lexical_scores(node_candidates(graph_of(spark, sf_dir))), 50, 0.2).select("id", "rank")
 
@@ -653,14 +653,14 @@ def docs_from_nodes(spark, sf_dir):
     return rank.docs_from_nodes(parts_as_nodes(spark, sf_dir)).select("doc_id", "body", "first_pos", F.col("first_at").cast("long").alias("first_at"))
 
 
-@query(f"WITH {PART_DOCS_SQL} SELECT doc_id, row_number() OVER (ORDER BY first) AS rank FROM part_docs")
+@query(f"WITH {PART_DOCS_SQL} SELECT doc_id, CAST(row_number() OVER (ORDER BY first) AS INT) AS rank FROM part_docs")
 def ranked_docs(spark, sf_dir):
     return rank.ranked_docs(parts_as_nodes(spark, sf_dir)).select("doc_id", "rank")
 
 
 @query(
     f"""WITH {PART_DOCS_SQL}, ask AS (SELECT {set_sql("'what is the size 11 of STEEL'")} AS words)
-    SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, first) AS rank FROM
+    SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, first) AS INT) AS rank FROM
     (SELECT doc_id, first, (2 * len(list_intersect(words, {set_sql("doc_id")})) + len(list_intersect(words, {set_sql("body")}))) / len(words) AS score FROM part_docs, ask)"""
 )
 def doc_rerank(spark, sf_dir):
@@ -691,7 +691,7 @@ PART_GRAPH = "SELECT id, name, seq, doc_id, coalesce(doc_id, 'unknown') AS doc,
 
 
 @query(
-    f"""{GRAPH_SQL}, r AS ({PART_GRAPH}) SELECT a.id AS source_id, b.id AS target_id, a.doc AS source_doc, b.doc AS target_doc, 1.0 AS confidence FROM r a JOIN r b ON a.key = b.key AND a.seq < b.seq AND a.doc <> b.doc
+    f"""{GRAPH_SQL}, r AS ({PART_GRAPH}) SELECT a.id AS source_id, b.id AS target_id, a.doc AS source_doc, b.doc AS target_doc, CAST(1.0 AS DOUBLE) AS confidence FROM r a JOIN r b ON a.key = b.key AND a.seq < b.seq AND a.doc <> b.doc
     WHERE a.key IN (SELECT key FROM r GROUP BY key HAVING count(DISTINCT doc_id) >= 2) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a.id AND e.target_id = b.id)"""
 )
 def link_by_name(spark, sf_dir):
@@ -710,7 +710,7 @@ def supplier_aliases(g: Graph) -> DataFrame:
 
 @query(
     f"""{GRAPH_SQL}, r AS ({PART_GRAPH}), x AS (SELECT id, replace(name, 'Supplier', 'Customer') AS alias FROM nodes WHERE id LIKE 's:%' UNION ALL SELECT id, upper(name) FROM nodes WHERE id LIKE 'p:%' AND seq % 7 = 0)
-    SELECT a.id AS source_id, b.id AS target_id, a.doc AS source_doc, b.doc AS target_doc, 0.8 AS confidence FROM x JOIN r a ON a.id = x.id JOIN r b ON b.key = lower(x.alias) WHERE a.id <> b.id AND a.doc <> b.doc"""
+    SELECT a.id AS source_id, b.id AS target_id, a.doc AS source_doc, b.doc AS target_doc, CAST(0.8 AS DOUBLE) AS confidence FROM x JOIN r a ON a.id = x.id JOIN r b ON b.key = lower(x.alias) WHERE a.id <> b.id AND a.doc <> b.doc"""
 )
 def link_by_alias(spark, sf_dir):
     g = graph_of(spark, sf_dir)
@@ -719,9 +719,9 @@ def link_by_alias(spark, sf_dir):
 
 
 @query(
-    f"""{GRAPH_SQL}, r AS ({PART_GRAPH}), c AS (SELECT a.id AS source_id, b.id AS target_id, CASE WHEN (a.seq + b.seq) % 2 = 0 THEN 0.9 ELSE 0.5 END AS confidence FROM r a JOIN r b ON a.key = b.key AND a.id <> b.id AND a.doc <> b.doc
+    f"""{GRAPH_SQL}, r AS ({PART_GRAPH}), c AS (SELECT a.id AS source_id, b.id AS target_id, CAST(CASE WHEN (a.seq + b.seq) % 2 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM r a JOIN r b ON a.key = b.key AND a.id <> b.id AND a.doc <> b.doc
       WHERE a.id LIKE 'p:%' AND b.id LIKE 'p:%')
-    SELECT source_id, target_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id) ORDER BY confidence DESC, source_id, target_id) AS nth FROM c WHERE confidence >= 0.8) WHERE nth = 1"""
+    SELECT source_id, target_id, confidence FROM (SELECT *, CAST(row_number() OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id) ORDER BY confidence DESC, source_id, target_id) AS INT) AS nth FROM c WHERE confidence >= 0.8) WHERE nth = 1"""
 )
 def link_apply(spark, sf_dir):
     g = graph_of(spark, sf_dir)
@@ -741,7 +741,7 @@ def dedup_canonical(spark, sf_dir):
 
 @query(
     f"""{CANON_SQL}, moved AS (SELECT e.id, coalesce(a.canonical, e.source_id) AS source_id, coalesce(b.canonical, e.target_id) AS target_id, e.type FROM edges e LEFT JOIN canon a ON a.id = e.source_id LEFT JOIN canon b ON b.id = e.target_id)
-    SELECT id, source_id, target_id, type FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY id) AS nth FROM moved WHERE source_id <> target_id) WHERE nth = 1"""
+    SELECT id, source_id, target_id, type FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY id) AS INT) AS nth FROM moved WHERE source_id <> target_id) WHERE nth = 1"""
 )
 def synonym_migrate(spark, sf_dir):
     g = graph_of(spark, sf_dir)
