@@ -451,7 +451,14 @@ def subgraph_budget(spark, sf_dir):
     return iterate.subgraphs(g, g.nodes.where("id like 'r:%'").select(F.col("id").alias("me")), 2000)
 
 
-@query()
+@query(
+    f"""{GRAPH_SQL}, {COSTS_SQL}, views AS (SELECT d.me, n.seq AS pos, c.tokens, row_number() OVER (PARTITION BY d.me ORDER BY n.seq) AS nth
+      FROM drill d JOIN nodes n ON n.id = d.child JOIN costs c ON c.id = n.id WHERE d.me LIKE 'n:%'),
+    packed AS (SELECT me, pos, tokens, nth, 0 AS batch, tokens AS used FROM views WHERE nth = 1 UNION ALL
+      SELECT v.me, v.pos, v.tokens, v.nth, CASE WHEN p.used + v.tokens <= 60 THEN p.batch ELSE p.batch + 1 END,
+        CASE WHEN p.used + v.tokens <= 60 THEN p.used + v.tokens ELSE v.tokens END FROM packed p JOIN views v ON v.me = p.me AND v.nth = p.nth + 1)
+    SELECT me, pos, CAST(tokens AS INT) AS tokens, batch FROM packed"""
+)
 def layer_pack(spark, sf_dir):
     g = graph_of(spark, sf_dir)
     views = g.drill_down().where("me like 'n:%'").join(budget.node_costs(g.nodes), F.col("child") == F.col("id")).join(g.nodes.select("id", "seq"), "id")
