@@ -77,6 +77,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         item_words.withColumn("item_shingles", F.expr(_shingles("item", "width"))).withColumn(
             "item_print", F.expr(_fingerprint("item_shingles"))
         )
+        .withColumn("item_key", F.xxhash64("item_id", "item"))
     )
     state = items.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     few, small = state.n <= BROADCAST_ITEMS, state.words <= BROADCAST_WORDS
@@ -110,13 +111,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     probes = distinct.withColumn("block", F.explode(_blocks("print", "size")))
     flipped = F.transform(F.array(*map(F.lit, FLIPS)), lambda f: F.col("own").bitwiseXOR(f.cast("long")))
     index = items.withColumn("own", F.explode(_blocks("item_print", "size"))).select(
-        F.explode(flipped).alias("item_block"), "item_id", "item_shingles", "item_print"
+        F.explode(flipped).alias("item_block"), "item_key", "item_print"
     )
     within = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     near = (
         probes.join(_maybe_broadcast(index, few), (F.col("block") == F.col("item_block")) & within)
-        .select("window", "size", "item_id", "shingles", "item_shingles")
+        .select("window", "size", "shingles", "item_key")
         .distinct()
+        .join(_maybe_broadcast(items.select("item_key", "item_id", "item_shingles"), small), "item_key")
     )
     common = (
         "aggregate(array_distinct(item_shingles), 0, (n, s) ->"
