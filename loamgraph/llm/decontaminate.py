@@ -57,13 +57,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Returns (doc_id, item_id, similarity, first_word), a row per pair: the greatest weighted Jaccard
     similarity of five-word shingles, 0.8 or more, of the item and a window of as many words, and the
-    least start, in words from 0, of such windows. Items of fewer than five words are one shingle;
+    least start, in words from 0, of the windows read that are so similar. Items of fewer than five
+    words are one shingle;
     a document of fewer words than an item is one window. Null and blank texts have no words and
     match nothing. Rows that repeat an id are taken as one document or item; null ids are an id.
     Empty tables give no rows; other columns are ignored.
 
-    Windows begin where they share a shingle with an item of their size at its place: no other
-    window of a document can be the best match of an edited copy. Each distinct window is
+    Windows are read where they begin with a shingle of some item of their size, and at a document's
+    last place if an item's shingle is there. The best match is among them: a window that begins
+    otherwise can move on by a word and loses nothing it shares. Each distinct window is
     fingerprinted and meets items of its size in some block that differs in RADIUS / BLOCKS bits at
     most, which all fingerprints within RADIUS do; those are then compared shingle by shingle.
     """
@@ -81,9 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     state = items.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     few, small = state.n <= BROADCAST_ITEMS, state.words <= BROADCAST_WORDS
-    places = items.select(
-        "size", "width", F.posexplode(F.expr("transform(item_shingles, s -> xxhash64(s))")).alias("item_at", "key")
-    ).distinct()
+    places = items.select("size", "width", F.explode(F.expr("transform(item_shingles, s -> xxhash64(s))")).alias("key")).distinct()
 
     words = docs.select("doc_id", _words(text_or_empty()).alias("words")).where("words[0] <> ''")
     windows = None
@@ -94,7 +94,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             .where(f"at + {width} <= size(words)")
             .select("doc_id", "words", "at", F.xxhash64(shingle).alias("key"))
             .join(_maybe_broadcast(places.where(F.col("width") == width).drop("width"), small), "key")
-            .withColumn("start", F.expr("greatest(0, least(at - item_at, size(words) - size))"))
+            .withColumn("start", F.expr("greatest(0, least(at, size(words) - size))"))
             .select("doc_id", "start", F.col("size"), F.lit(width).alias("width"), F.expr("slice(words, start + 1, size)").alias("window"))
         )
         windows = met if windows is None else windows.unionByName(met)

@@ -100,11 +100,12 @@ FROM b""",
     "op7_benchmark_decontamination": f"""
 WITH i AS (SELECT DISTINCT item_id, w, len(w) AS m, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE w[1] <> ''),
 items AS (SELECT *, list_transform(range(1, m - k + 2), lambda x: array_to_string(w[x : x + k - 1], ' ')) AS shingles FROM i),
-places AS (SELECT item_id, m, k, shingles, unnest(shingles) AS shingle, unnest(range(0, len(shingles))) AS at FROM items),
+places AS (SELECT DISTINCT m, k, unnest(shingles) AS shingle FROM items),
 docs AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE w[1] <> ''),
 spots AS (SELECT doc_id, n, k, unnest(range(0, n - k + 1)) AS at FROM docs, (SELECT DISTINCT k FROM items)),
 read AS (SELECT s.doc_id, s.n, s.k, s.at, array_to_string(d.w[s.at + 1 : s.at + s.k], ' ') AS shingle FROM spots s JOIN docs d USING (doc_id)),
-met AS (SELECT DISTINCT r.doc_id, p.item_id, p.m, p.k, p.shingles, greatest(0, least(r.at - p.at, r.n - p.m)) AS start FROM read r JOIN places p ON r.shingle = p.shingle AND r.k = p.k),
+starts AS (SELECT DISTINCT r.doc_id, p.m, p.k, greatest(0, least(r.at, r.n - p.m)) AS start FROM read r JOIN places p ON r.shingle = p.shingle AND r.k = p.k),
+met AS (SELECT s.*, i.item_id, i.shingles FROM starts s JOIN items i ON s.m = i.m),
 windows AS (SELECT met.*, list_transform(range(start + 1, least(start + m, d.n) - k + 2), lambda x: array_to_string(d.w[x : x + k - 1], ' ')) AS own FROM met JOIN docs d USING (doc_id)),
 alike AS (SELECT doc_id, item_id, start, len(shingles) + len(own) AS sizes, list_sum(list_transform(list_distinct(shingles), lambda s:
     least(len(list_filter(shingles, lambda y: y = s)), len(list_filter(own, lambda y: y = s))))) AS common FROM windows)

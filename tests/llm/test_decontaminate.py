@@ -66,6 +66,14 @@ def test_against_brute_force(spark, documents, seed):
     assert (504, 3) in got and len(want) > 30
 
 
+def test_passages_in_another_order(spark, documents):
+    item = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(["x", *item[30:], *item[:30], "y"])), (2, " ".join([*item[31:], *item[:30]])), (3, " ".join(item[20:] + item[:10]))]
+    items = [(7, " ".join(item)), (8, " ".join(item[::-1]))]
+    got = leaks(documents([t for _, t in docs], [i for i, _ in docs]), spark.createDataFrame(items, BENCHMARK))
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got.collect()} == {k: round(v, 9) for k, (v, _) in brute(docs, items).items()}
+
+
 def test_planted_rows_of_the_test_data(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()}
