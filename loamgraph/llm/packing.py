@@ -42,6 +42,24 @@ def byte_level_encoder(tokenizer_file: str):
     return tiktoken.Encoding("byte-level", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
 
 
+class Encoder:
+    """Ids of texts by ``byte_level_encoder``, and by the tokenizers library where that one gives up:
+    its expression's stack doesn't hold runs of a million white-space characters."""
+
+    def __init__(self, tokenizer_file: str):
+        self.file, self.fast, self.library = tokenizer_file, byte_level_encoder(tokenizer_file), None
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.file)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 class Packer:
     """Packs a stream of documents, with a fixed number of windows open.
 
@@ -137,11 +155,11 @@ def pack(
     """
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, part = byte_level_encoder(tokenizer_file), Packer(length, open_windows), TaskContext.get().partitionId()
+        encoder, packer, part = Encoder(tokenizer_file), Packer(length, open_windows), TaskContext.get().partitionId()
         out, sequence = [], part << 33
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.append(encoder.encode_to_numpy(text.as_py(), allowed_special="all"), end_id)
+                ids = np.append(encoder.ids(text.as_py()), end_id)
                 for pieces in packer.add(doc_id, ids):
                     out += _rows(pieces, sequence, part, True)
                     sequence += 1
