@@ -67,6 +67,18 @@ def doc_rerank(queries: DataFrame, nodes: DataFrame, top: int | None = None, lea
     return rerank(scored.withColumn("pos", F.row_number().over(order)), top, least).select("query_id", "doc_id", "score", "rank")
 
 
+def counterfactual_rerank(queries: DataFrame, ranked: DataFrame, texts: DataFrame) -> DataFrame:
+    """What ``ranked`` (query_id, doc_id, rank) would be if its documents were scored by ``texts``
+    (doc_id, title, body): adds score and new_rank. No document comes or goes; one without a text scores
+    0, ties keep their order."""
+    name, title = F.col("doc_id"), F.coalesce("title", F.lit(""))
+    content = F.concat_ws(" ", title, F.coalesce("body", F.lit("")))
+    joined = ranked.join(queries, "query_id").join(texts.select(name, title.alias("name"), content.alias("content")), "doc_id", "left")
+    scored = lexical_scores(joined).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    return scored.select("query_id", "doc_id", "rank", "score", F.row_number().over(order).alias("new_rank"))
+
+
 def choice_rerank(ranked: DataFrame, answers: DataFrame) -> DataFrame:
     """``ranked`` (query_id, doc_id, rank) with the documents that an answer (query_id, raw) names in
     front, in its order; the others follow as they were."""
@@ -138,6 +150,14 @@ def rank_loss(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def reached(touched: DataFrame, gold: DataFrame) -> DataFrame:
+    """Per query with gold: how many of its documents are among all that ``touched`` (query_id, doc_id)
+    names, at whatever rank, and their share (query_id, gold, found, reached, recall)."""
+    met = gold.distinct().join(touched.select("query_id", "doc_id", F.lit(1).alias("hit")).distinct(), ["query_id", "doc_id"], "left")
+    sums = met.groupBy("query_id").agg(F.count("*").alias("gold"), F.count("hit").alias("found"))
+    return sums.withColumns({"reached": F.col("found") > 0, "recall": F.col("found") / F.col("gold")})
+
+
 def extraction_metrics(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     """Precision, recall and F1 of extracted names (sample, name) by exact match."""
     right = extracted.join(expected.distinct(), ["sample", "name"], "left_semi")

@@ -628,6 +628,14 @@ def gold_rank_buckets(spark, sf_dir):
     return rank.gold_ranks(searched(spark, sf_dir), gold_docs(spark, sf_dir))
 
 
+@query(
+    f"""WITH {PAIRS_SQL} SELECT g.query_id, count(*) AS gold, count(r.rank) AS found, count(r.rank) > 0 AS reached, round(count(r.rank) / count(*), 6) AS recall
+    FROM gold g LEFT JOIN ranked r ON r.query_id = g.query_id AND r.doc_id = g.doc_id GROUP BY g.query_id"""
+)
+def reached_rate(spark, sf_dir):
+    return rank.reached(searched(spark, sf_dir), gold_docs(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
+
+
 NODE_RANK_SQL = f"""{GRAPH_SQL}, ask AS (SELECT {set_sql("'steel copper order Brand#11 and the BUILDING'")} AS words),
 node_scores AS (SELECT id, seq, (2 * len(list_intersect(ask.words, {set_sql("name")})) + len(list_intersect(ask.words, {set_sql("content")}))) / len(ask.words) AS score FROM nodes, ask WHERE node_class IN ('concept', 'fact'))"""
 
@@ -675,6 +683,20 @@ def doc_rerank(spark, sf_dir):
     return rank.doc_rerank(ask, parts_as_nodes(spark, sf_dir)).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(
+    f"""WITH {PART_DOCS_SQL}, ask AS (SELECT {set_sql("'copper or linen of size Brand#11'")} AS words), base AS (SELECT doc_id, row_number() OVER (ORDER BY first) AS rank FROM part_docs),
+    other AS (SELECT p_brand AS doc_id, p_brand || ' ' || min(p_name) || ' ' || max(p_name) AS body FROM part GROUP BY p_brand),
+    scores AS (SELECT b.doc_id, b.rank, coalesce((2 * len(list_intersect(words, {set_sql("o.doc_id")})) + len(list_intersect(words, {set_sql("o.body")}))) / len(words), 0) AS score FROM ask, base b LEFT JOIN other o ON o.doc_id = b.doc_id)
+    SELECT doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, rank) AS INT) AS new_rank FROM scores"""
+)
+def counterfactual_rerank(spark, sf_dir):
+    ask = rows(spark, "query_id int, query string", (0, "copper or linen of size Brand#11"))
+    names = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(F.concat_ws(" ", F.min("p_name"), F.max("p_name")).alias("body"))
+    ranked = rank.ranked_docs(parts_as_nodes(spark, sf_dir))
+    found = rank.counterfactual_rerank(ask, ranked, names.withColumn("title", F.col("doc_id")))
+    return found.select("doc_id", "rank", F.round("score", 6).alias("score"), "new_rank")
+
+
 @query(
     """WITH want AS (SELECT DISTINCT lang AS sample, source AS name FROM documents WHERE doc_id % 2 = 0), got AS (SELECT DISTINCT lang AS sample, source AS name FROM documents WHERE doc_id % 3 = 0),
     n AS (SELECT (SELECT count(*) FROM got g JOIN want w ON w.sample = g.sample AND w.name = g.name) AS r, (SELECT count(*) FROM want) AS w, (SELECT count(*) FROM got) AS g)

@@ -144,6 +144,17 @@ def test_metrics(spark):
     assert [r.doc_id for r in rank.choice_rerank(ranked.where("query_id = 1"), answers).orderBy("rank").collect()] == ["c", "a", "b", "d"]
 
 
+def test_counterfactual_and_reached(spark):
+    ranked = spark.createDataFrame([(1, d, i + 1) for i, d in enumerate("abcd")], "query_id int, doc_id string, rank int")
+    queries = spark.createDataFrame([(1, "red fox")], "query_id int, query string")
+    texts = spark.createDataFrame([("c", "fox", None), ("d", None, "a red fox"), ("x", "red fox", "red fox")], "doc_id string, title string, body string")
+    found = rank.counterfactual_rerank(queries, ranked, texts).orderBy("new_rank").collect()
+    assert [(r.doc_id, r.score) for r in found] == [("c", 1.5), ("d", 1.0), ("a", 0.0), ("b", 0.0)]
+    gold = spark.createDataFrame([(1, "b"), (1, "b"), (1, "z"), (2, "a")], "query_id int, doc_id string")
+    assert pairs(rank.reached(ranked, gold)) == [(1, 2, 1, True, 0.5), (2, 1, 0, False, 0.0)]
+    assert rank.reached(ranked.limit(0), gold.limit(0)).count() == 0
+
+
 def test_dedup_leaves_mutex_pairs(spark):
     g = graph(spark, {"a": {"name": "n", "cls": "fact", "content": "one"}, "b": {"name": "n", "cls": "fact", "content": "two"}, "c": {"name": "n", "cls": "fact", "content": "on"}, "e": {"cls": "event"}}, [("a", "b", "mutex"), ("e", "c", "assoc")])
     done = link.dedup(g)
