@@ -573,8 +573,10 @@ def gold_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda words: F.xxhash64(F.concat_ws(" ", words))
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split("text", " ").alias("w"))
     items = items.select("query_id", "passage", key(F.slice("w", 2, 4)).alias("key"))
-    words = F.split("text", " ")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 3)), lambda i: key(F.slice(words, i, 4))))).alias("key"))
+    # split into a column of its own: inside the lambda it would be done anew for each place
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", " ").alias("words"))
+    words = F.col("words")
+    docs = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 3)), lambda i: key(F.slice(words, i, 4))))).alias("key"))
     return docs.join(items, "key").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id").distinct()
 
 
