@@ -147,8 +147,11 @@ def ranked_indices(raw: Column, most: int) -> Column:
     return F.array_distinct(F.transform(F.filter(numbers, lambda n: n.between(1, most)), lambda n: n - 1))
 
 
-def chunk_body(title: Column, body: Column, max_chunks: int = 8, most: int = 1200) -> Column:
-    """Paragraphs; longer ones as sentences packed up to ``most`` characters; the first gets the title."""
+def chunk_body(title: Column, body: Column, max_chunks: int | None = None, most: int = 1200) -> Column:
+    """Paragraphs; longer ones as sentences packed up to ``most`` characters; the first gets the title.
+
+    All of them, or the first ``max_chunks``; the reference takes 8.
+    """
     strip = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
     paragraphs = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n+"), strip), lambda p: p != "")
 
@@ -164,5 +167,6 @@ def chunk_body(title: Column, body: Column, max_chunks: int = 8, most: int = 120
         folded = F.aggregate(F.split(paragraph, r"(?<=[.!?])\s+"), start, step, lambda s: F.concat(s["done"], F.array(strip(s["buf"]))))
         return F.when(F.length(paragraph) > most, folded).otherwise(F.array(paragraph))
 
-    chunks = F.slice(F.filter(F.flatten(F.transform(paragraphs, packed)), lambda c: c != ""), 1, max_chunks)
+    chunks = F.filter(F.flatten(F.transform(paragraphs, packed)), lambda c: c != "")
+    chunks = chunks if max_chunks is None else F.slice(chunks, 1, max_chunks)
     return F.transform(chunks, lambda c, i: F.when(i == 0, F.concat(title, F.lit(": "), c)).otherwise(c))

@@ -60,6 +60,12 @@ def test_names_and_chunks(spark):
     assert value(spark, tx.chunk_body(F.lit("T"), F.lit(" \n "))) == []
 
 
+def test_chunks_of_a_long_body_are_all_there(spark):
+    body = F.lit("\n".join("abcdefghijkl"))
+    assert value(spark, tx.chunk_body(F.lit("T"), body)) == ["T: a", *"bcdefghijkl"]
+    assert value(spark, tx.chunk_body(F.lit("T"), body, max_chunks=8)) == ["T: a", *"bcdefgh"]
+
+
 def test_vacuous_labels(spark):
     check = lambda t: value(spark, tx.is_vacuous(F.lit(t)))
     assert [check(t) for t in ("ab", None, "Various Topics here", "其他内容", "graph memory")] == [True, True, True, True, False]
