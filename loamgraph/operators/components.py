@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from loamgraph.operators.shared import cut
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
