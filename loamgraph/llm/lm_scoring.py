@@ -1,36 +1,57 @@
-"""Stupid-backoff scores from bigram and word count tables that are partitioned by hash."""
+"""Stupid-backoff scores of documents under the n-grams of all other documents."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, freeing_shuffles, text_or_empty
 
+ORDER = 3
 #: The factor for each step back to a lower order.
 ALPHA = 0.4
-#: A word or bigram is hot if it is more than this share of a shard's mean number of tokens. There
-#: are shards / HOT_SHARE hot ones at most; their counts are sent to all tasks.
+#: Contexts are dealt with in so many rounds by hash, one after the other, so that the rows of one round only are on disk.
+ROUNDS = 4
+#: An n-gram is hot if it is more than this share of a partition's mean number of tokens. There are partitions / HOT_SHARE
+#: hot ones of a length at most; their counts are sent to all tasks.
 HOT_SHARE = 0.25
-#: Tokens and documents that a task packs at a time.
-FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, (1 << 16) - 1
-#: Words whose numbers a task remembers; it starts anew beyond them.
+#: Tokens of documents that a task turns into rows at a time, and rows that it counts at a time.
+CHUNK_TOKENS, CHUNK_ROWS = 1 << 18, 1 << 19
+#: Words whose hashes a task remembers; it starts anew beyond them.
 REMEMBERED = 1 << 18
-#: Words are known by 48 bits of their hash; two of ten million share one with a chance of 1 in 6.
-BITS = np.uint64((1 << 48) - 1)
-#: In place of a bigram's second word: the document ends; the first word is to be scored alone.
-END, ALONE = 0, 1
+#: In place of the word before a document's first one, and behind its last one; words have greater numbers.
+START, END = 0, 1
+#: Flags of a row: what it is for, whether it adds to counts and is scored itself, and which end it touches. The length of
+#: its context is above them.
+HIGH, LOW, COUNTS, SCORES, FIRST, LAST, LENGTH = 1, 2, 4, 8, 16, 32, 6
 
+#: An n-gram a X b of a document: what its counts are grouped by, the document, how often it is there, and of a X b, a X, X b
+#: and X the count in other documents where it is known beforehand, else -1 - the count in this one.
+GRAMS = "key long, first long, second long, row long, flags long, n long, whole long, left long, right long, core long"
+SUMS = "row long, tokens long, logs double, known long, unseen long"
+Hot = dict[int, tuple[np.ndarray, np.ndarray]]
 
-class Numbers:
-    """48-bit numbers of words: what ASCII white space separates, A-Z lower-cased."""
+
+def _mixed(*parts) -> np.ndarray:
+    """A 64-bit hash of numbers in order."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = (h ^ p) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(32))
+    return h
+
+
+class Words:
+    """64-bit hashes of words: what ASCII white space separates, A-Z lower-cased."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -40,259 +61,235 @@ class Numbers:
         if len(known) > REMEMBERED:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = max(xxhash.xxh64_intdigest(w) >> 16, 2)
+            known[w] = max(xxhash.xxh64_intdigest(w), 2)
         return np.array([known[w] for w in words], np.uint64)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each word, by its number, is in all of ``docs`` (text)."""
-
-    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
-        for batch in batches:
-            words, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(numbers.of(t.as_py()) for t in batch["text"])]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    return docs.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some documents at a time: words after each other, their documents' places in the chunk, and the documents' rows."""
+    words = Words()
 
-def hot_bigrams(docs: DataFrame, hot: np.ndarray, least: float) -> dict[tuple[int, int], int]:
-    """Counts of the bigrams of ``hot`` words that are more often than ``least`` in ``docs`` (text)."""
-    size = max(1, len(hot))
-
-    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
-        for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for text in batch["text"]:
-                words = numbers.of(text.as_py())
-                at = np.minimum(np.searchsorted(hot, words), size - 1)
-                is_hot = hot[at] == words
-                both = is_hot[:-1] & is_hot[1:]
-                found.append(at[:-1][both] * size + at[1:][both])
-            pairs, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-    if not len(hot):
-        return {}
-    rows = docs.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
-    return {(int(hot[r.pair // size]), int(hot[r.pair % size])): r.n for r in rows}
+    def joined(rows: list[int], texts: list[np.ndarray]):
+        return np.concatenate([np.zeros(0, np.uint64), *texts]), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.array(rows, np.int64)
 
+    rows, texts, size = [], [], 0
+    for batch in batches:
+        for row, text in zip(batch["row"].to_pylist(), batch["text"], strict=True):
+            rows.append(row)
+            texts.append(words.of(text.as_py()))
+            size += len(texts[-1])
+            if size >= CHUNK_TOKENS:
+                yield joined(rows, texts)
+                rows, texts, size = [], [], 0
+    yield joined(rows, texts)
 
-def _in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(sorted_keys, keys), max(0, len(sorted_keys) - 1))
-    return at, (sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), bool))
 
+def _ngrams(words: np.ndarray, doc: np.ndarray, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the n-grams that begin at each word, and whether they end in the same document."""
+    out = {1: (words, np.ones(len(words), bool))}
+    for k in range(2, most + 1):
+        n = max(0, len(words) - k + 1)
+        out[k] = (_mixed(out[k - 1][0][:n], words[k - 1 :]), doc[:n] == doc[k - 1 :])
+    return out
 
-def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first * np.uint64(0x9E3779B97F4A7C15) ^ (second + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
 
+def _in(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of ``keys`` in a table of sorted hashes and counts, and whether they are there."""
+    if table is None or not len(table[0]):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return table[1][at], table[0][at] == keys
 
-PACKED = "shard int, counts boolean, scores boolean, base long, first binary, runs binary, second_low binary, second_high binary, doc binary"
-#: What a shard gives back: the directory as it came, sums per document of each packed batch, and
-#: the words for which a bigram was missed.
-SUMS = "base long, first binary, runs binary, second_low binary, second_high binary, doc binary, sums binary, row long, step double, word long"
-RESULT = "row long, doc_id long, n_tokens long, log_score double"
-#: A shard's entries are sorted and counted in so many parts, one after the other.
-PARTS = 4
 
+def _counted(docs: DataFrame, length: int, hot: Hot) -> DataFrame:
+    """(gram, n): how often n-grams are in all of ``docs`` (row, text), those of two words or more only if both
+    n-grams of one word less in them are hot."""
 
-def _packed(docs: DataFrame, shards: int, hot: dict[int, int], pairs: dict[tuple[int, int], int], total: int, counts: bool, scores: bool) -> DataFrame:
-    """Bigrams of ``docs`` by shard, and a directory of the documents with what hot bigrams score.
-
-    A shard has all bigrams of a first word; those of hot first words are dealt by both words.
-    Hot bigrams and hot words alone are scored here, from the counts sent along.
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, doc, _ in _chunks(batches):
+            grams, inside = _ngrams(words, doc, length)[length]
+            if length > 1:
+                _, known = _in(hot[length - 1], _ngrams(words, doc, length - 1)[length - 1][0])
+                grams = grams[inside & known[:-1] & known[1:]] if len(grams) else grams
+            grams, n = np.unique(grams, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    return docs.mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def hot_ngrams(docs: DataFrame, order: int) -> tuple[Hot, int]:
+    """The n-grams of each length up to ``order`` that would fill a partition, with their counts, and the number of tokens."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot, total = {}, 0
+    for k in range(1, order + 1):
+        counts = _counted(docs, k, hot)
+        if k == 1:
+            counts = cut(counts)
+            total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = counts.where(F.col("n") > max(1.0, HOT_SHARE * total / partitions)).collect()
+        grams = np.array([r.gram for r in rows], np.int64).view(np.uint64)
+        at = np.argsort(grams)
+        hot[k] = grams[at], np.array([r.n for r in rows], np.int64)[at]
+        if not rows:
+            break
+    return hot, total
+
+
+def _exploded(docs: DataFrame, hot: Hot, order: int, turn: int, flags: int, own_counts: bool) -> DataFrame:
+    """The n-grams of each of ``docs`` (row, text) whose contexts this round has, once per document.
+
+    Rows are keyed by the context X, which brings all counts together that they need. A hot context has its count with it
+    and gives a row for what precedes it, which needs a X and a X b, and one for what follows, which needs X b and a X b;
+    if those are hot too, they have their counts with them and are keyed by one word more, or are on their own.
     """
-    hot_words = np.array(sorted(hot), np.uint64)
-    pair_keys = {int(_pair_keys(*(np.array([w], np.uint64) for w in p))[0]): math.log(n / hot[p[0]]) for p, n in pairs.items()}
-    sorted_pairs = np.array(sorted(pair_keys), np.uint64)
-    pair_scores = np.array([pair_keys[k] for k in sorted_pairs.tolist()])
-    hot_alone = np.array([math.log(hot[w] / total) for w in hot_words.tolist()])
-
-    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, done = Numbers(), 0
-        base = (int(counts and scores) + 2 * int(scores) << 60) + (TaskContext.get().partitionId() << 33)
-        schema = _schema(PACKED)
-
-        def flushed(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-            sizes = np.array([len(t) for t in texts], np.int64)
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            first = np.concatenate([np.zeros(0, np.uint64), *texts])
-            second = np.append(first[1:], np.uint64(END))
-            second[np.cumsum(sizes)[sizes > 0] - 1] = END
-            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-            first = np.append(first, first[starts])
-            second = np.append(second, np.full(len(starts), ALONE, np.uint64))
-            doc = np.append(doc, doc[starts])
-            _, is_hot = _in(hot_words, first)
-            own = np.zeros(len(texts))
-            here = np.zeros(len(first), bool)
-            at, hit = _in(sorted_pairs, _pair_keys(first, second))
-            hit &= is_hot & (second > ALONE)
-            if scores:
-                own += np.bincount(doc[hit], pair_scores[at[hit]], len(texts)) if hit.any() else 0
-                alone = is_hot & (second == ALONE)
-                own += np.bincount(doc[alone], hot_alone[_in(hot_words, first[alone])[0]], len(texts)) if alone.any() else 0
-            here |= hit | is_hot & (second <= ALONE)
-            if not scores:
-                here |= second == ALONE
-            first, second, doc, is_hot = first[~here], second[~here], doc[~here], is_hot[~here]
-            dealt = np.where(is_hot, _pair_keys(first, second) & BITS, first)
-            shard = (dealt >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)
-            order = np.lexsort((first, shard))
-            first, second, doc, shard = first[order], second[order], doc[order], shard[order].astype(np.int64)
-            rows = []
-            if scores:
-                rows.append((-1 - TaskContext.get().partitionId(), counts, scores, base + done, np.array([-1 if i is None else i for i in ids], "<i8").tobytes(), sizes.tobytes(), own.tobytes(), np.array([i is None for i in ids]).tobytes(), b""))
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                i, j = cuts[s], cuts[s + 1]
-                change = np.flatnonzero(np.append(True, first[i + 1 : j] != first[i : j - 1]))
-                runs = np.diff(np.append(change, j - i)).astype("<u4")
-                low, high = (second[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4"), (second[i:j] >> np.uint64(32)).astype("<u2")
-                rows.append((int(s), counts, scores, base + done, first[i:j][change].astype("<u8").tobytes(), runs.tobytes(), low.tobytes(), high.tobytes(), doc[i:j].astype("<u2").tobytes()))
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-
-        ids, texts, tokens = [], [], 0
+    fields = [f.split()[0] for f in GRAMS.split(", ")]
+
+    def rows_of(words: np.ndarray, doc: np.ndarray, rows: np.ndarray, core: int) -> list[dict[str, np.ndarray]]:
+        grams = _ngrams(words, doc, core + 2)
+        at = np.flatnonzero(grams[core][1] & (grams[core][0] % np.uint64(ROUNDS) == turn))
+        if not len(at):
+            return []
+        x = grams[core][0][at]
+        begins = (at == 0) | (doc[at - 1] != doc[at])
+        ends = at + core == len(words)
+        ends |= doc[np.where(ends, at, at + core)] != doc[at]
+        a = np.where(begins, np.uint64(START), words[at - 1])
+        b = np.where(ends, np.uint64(END), words[np.where(ends, at, at + core)])
+        hashes = {"core": x, "left": _mixed(a, x), "right": _mixed(x, b), "whole": _mixed(a, x, b)}
+        n, count, is_hot, own = None, {}, {}, doc[at].astype(np.uint64)
+        for name, h in hashes.items():
+            _, first, place, times = np.unique(_mixed(own, h), return_index=True, return_inverse=True, return_counts=True)
+            mine = times[place] if own_counts else np.zeros(len(at), np.int64)
+            if name == "whole":
+                n, once = times[place], first
+            start = at - (name in ("left", "whole"))
+            length = core + {"core": 0, "left": 1, "right": 1, "whole": 2}[name]
+            whole = ~(begins & (name in ("left", "whole"))) & ~(ends & (name in ("right", "whole")))
+            gram = grams[length][0][np.where(whole, start, 0)] if len(grams[length][0]) else np.zeros(len(at), np.uint64)
+            others, known = _in(hot.get(length), gram)
+            is_hot[name] = known & whole
+            count[name] = np.where(is_hot[name], others - mine, -1 - mine)
+        table = {"first": a, "second": b, "row": rows[doc[at]], "n": n, **count}
+        table["flags"] = flags | np.where(begins, FIRST, 0) | np.where(ends, LAST, 0) | core << LENGTH
+        table["key"] = x
+
+        def part(rows_: np.ndarray, role: int, **changed: np.ndarray) -> dict[str, np.ndarray]:
+            out = {k: v[rows_] for k, v in (table | changed).items()}
+            return out | {"flags": out["flags"] | role}
+
+        row, kept = table["row"].astype(np.uint64), np.zeros(len(at), bool)
+        kept[once] = True
+        before, after = _mixed(hashes["left"], np.uint64(HIGH)), _mixed(hashes["right"], np.uint64(LOW))
+        before = np.where(is_hot["left"], _mixed(before, b), before)
+        before = np.where(begins | is_hot["left"] & (ends | is_hot["whole"]), _mixed(before, row), before)
+        after = np.where(is_hot["right"], _mixed(after, a), after)
+        after = np.where(is_hot["right"] & (begins | is_hot["whole"]), _mixed(after, row), after)
+        none = np.zeros(len(at), np.uint64)
+        return [
+            part(kept & ~is_hot["core"], HIGH | LOW),
+            part(kept & is_hot["core"], HIGH, key=before, first=none),
+            part(kept & is_hot["core"] & ~ends, LOW, key=after, second=none),
+        ]
+
+    def exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, doc, rows in _chunks(batches):
+            for core in range(1, max(2, order - 1)):
+                for part in rows_of(words, doc, rows, core):
+                    yield pa.RecordBatch.from_arrays([pa.array(part[f].view(np.int64)) for f in fields], fields)
+
+    return docs.mapInArrow(exploded, GRAMS)
+
+
+def _scored(order: int, alpha: float):
+    """A function from n-grams in order of their keys to sums of log scores per document; a key's rows meet in one part."""
+
+    def scores(t: dict[str, np.ndarray]) -> pa.RecordBatch:
+        flags, n = t["flags"], t["n"]
+        weight, sums = np.where(flags & COUNTS, n, 0), {}
+        for names in (["key", "first", "second"], ["key", "second"]):
+            at = np.lexsort([t[c] for c in reversed(names)])
+            new = np.zeros(len(at), bool)
+            for i, c in enumerate(names):
+                new[1:] |= t[c][at][1:] != t[c][at][:-1]
+                group = np.cumsum(new)
+                total = np.empty(len(at))
+                total[at] = np.bincount(group, weight[at])[group]
+                sums[tuple(names[: i + 1])] = total
+        others = lambda c, *names: np.where(t[c] >= 0, t[c], sums[names] + t[c] + 1)
+        whole, left = others("whole", "key", "first", "second"), others("left", "key", "first")
+        right, core = others("right", "key", "second"), others("core", "key")
+        begins, ends, length = (flags & FIRST) > 0, (flags & LAST) > 0, flags >> LENGTH
+        high, low = (flags & HIGH) > 0, (flags & LOW) > 0
+        longer = ~begins & ~ends & (whole > 0) & (order > 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs = np.where(high & longer & (length == order - 2), np.log(whole) - np.log(left), 0.0)
+            step = (order - length - 1) * math.log(alpha) + np.log(right) - np.log(core)
+            logs += np.where(low & ~ends & ~longer & (right > 0), step, 0.0)
+            alone = high & (length == 1) & (begins | (left <= 0))
+            logs += np.where(alone, (order - 1) * math.log(alpha) + np.where(core > 0, np.log(core), 0.0), 0.0)
+        scored = (flags & SCORES) > 0
+        rows, at = np.unique(t["row"][scored], return_inverse=True)
+        tokens = np.where(high & (length == 1), n, 0)
+        values = [np.bincount(at, v[scored], len(rows)) for v in (tokens, n * logs, n * (alone & (core > 0)), n * (alone & (core <= 0)))]
+        kinds = [np.int64, float, np.int64, np.int64]
+        return pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(v.astype(k)) for v, k in zip(values, kinds, strict=True))], [f.split()[0] for f in SUMS.split(", ")])
+
+    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids.append(doc_id)
-                texts.append(numbers.of(text.as_py()))
-                tokens += len(texts[-1])
-                if tokens >= FLUSH_TOKENS or len(ids) == FLUSH_DOCS:
-                    yield flushed(ids, texts)
-                    done += len(ids)
-                    ids, texts, tokens = [], [], 0
-        yield flushed(ids, texts)
-
-    return docs.mapInArrow(packed, PACKED)
-
-
-def _schema(fields: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
-    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")])
-
-
-def _score_shard(hot: dict[int, int], total: int):
-    """A function from the packed batches of a shard to sums per batch and document."""
-    hot_words = np.array(sorted(hot), np.uint64)
-    hot_counts = np.array([hot[w] for w in hot_words.tolist()], float)
-    schema = _schema(SUMS)
-
-    def part_scores(first: np.ndarray, second: np.ndarray, counts: np.ndarray, scores: np.ndarray):
-        """Log scores in the order of the entries, and which of them are seen and missed."""
-        order = np.lexsort((second, first))
-        first, second = first[order], second[order]
-        alone = second == ALONE
-        counts, use = counts[order] & ~alone, scores[order] & (second != END)
-        new_first = np.append(True, first[1:] != first[:-1])
-        word = np.cumsum(new_first) - 1
-        pair = np.cumsum(new_first | np.append(True, second[1:] != second[:-1])) - 1
-        of_word = np.bincount(word, counts)
-        at, is_hot = _in(hot_words, first[new_first])
-        if len(hot_words):
-            of_word = np.where(is_hot, hot_counts[at], of_word)
-        of_word, of_pair = of_word[word], np.bincount(pair, counts)[pair]
-        seen = use & np.where(alone, of_word > 0, of_pair > 0)
-        with np.errstate(divide="ignore"):
-            logs = np.log(np.where(alone, of_word, of_pair)) - np.log(np.where(alone, total, np.maximum(of_word, 1)))
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return logs[back], seen[back], (use & ~seen)[back]
-
-    def scored(key: tuple, table: pa.Table) -> pa.Table:
-        names = schema.names
-        empty = lambda name, n: pa.nulls(n, schema.field(name).type)
-        if key[0].as_py() < 0:
-            return pa.table([table[n] if n in table.column_names else empty(n, len(table)) for n in names], schema=schema)
-        blobs = lambda name, kind: [np.frombuffer(b.as_py(), kind) for b in table[name]]
-        docs = blobs("doc", "<u2")
-        sizes, base = [len(d) for d in docs], np.array(table["base"].to_pylist())
-        first = np.concatenate([np.repeat(f, n) for f, n in zip(blobs("first", "<u8"), blobs("runs", "<u4"), strict=True)])
-        low, high = np.concatenate(blobs("second_low", "<u4")), np.concatenate(blobs("second_high", "<u2"))
-        counts, scores = (np.repeat(np.array(table[c].to_pylist(), bool), sizes) for c in ("counts", "scores"))
-        place = np.repeat(np.arange(len(sizes)) << 16, sizes) + np.concatenate(docs)  # batch and document
-        places, sums, missed = [], [], [[], [], []]
-        for part in range(PARTS):
-            own = np.flatnonzero(first % np.uint64(PARTS) == part)
-            if not len(own):
-                continue
-            head, second = first[own], low[own].astype(np.uint64) | high[own].astype(np.uint64) << np.uint64(32)
-            logs, seen, miss = part_scores(head, second, counts[own], scores[own])
-            spots, at = np.unique(place[own][seen], return_inverse=True)
-            places.append(spots)
-            sums.append(np.bincount(at, logs[seen], len(spots)))
-            alone = second[miss] == ALONE
-            missed[0].append(base[place[own][miss] >> 16] + (place[own][miss] & 0xFFFF))
-            missed[1].append(np.where(alone, 0.0, math.log(ALPHA)))
-            missed[2].append(np.where(alone, head[miss], second[miss]).view(np.int64))
-        spots, at = np.unique(np.concatenate(places), return_inverse=True)
-        values = np.bincount(at, np.concatenate(sums), len(spots))
-        cuts = np.searchsorted(spots, np.arange(len(sizes) + 1) << 16)
-        kept = [i for i in range(len(sizes)) if cuts[i] < cuts[i + 1]]
-        rows, steps, words = (np.concatenate(m) for m in missed)
-        columns = {
-            "base": pa.array([*base[kept].tolist(), *[None] * len(rows)], pa.int64()),
-            "doc": pa.array([(spots[cuts[i] : cuts[i + 1]] & 0xFFFF).astype("<u2").tobytes() for i in kept] + [None] * len(rows), pa.binary()),
-            "sums": pa.array([values[cuts[i] : cuts[i + 1]].tobytes() for i in kept] + [None] * len(rows), pa.binary()),
-        }
-        for name, found in (("row", rows), ("step", steps), ("word", words)):
-            columns[name] = pa.concat_arrays([empty(name, len(kept)), pa.array(found, schema.field(name).type)])
-        return pa.table([columns.get(n, empty(n, len(kept) + len(rows))) for n in names], schema=schema)
+            held.append(batch)
+            size += len(batch)
+            if size >= CHUNK_ROWS:
+                t = pa.Table.from_batches(held)
+                key = t["key"].to_numpy()
+                end = int(np.searchsorted(key, key[-1]))  # the last key goes on, maybe
+                if end:
+                    yield scores({c: t[c][:end].to_numpy() for c in t.column_names})
+                held, size = t.slice(end).to_batches(), len(t) - end
+        if size:
+            t = pa.Table.from_batches(held)
+            yield scores({c: t[c].to_numpy() for c in t.column_names})
 
     return scored
 
 
-def _add_up(key: tuple, table: pa.Table) -> pa.Table:
-    """The documents of a packed batch, with the sums that the shards have for them."""
-    rows = table.to_pylist()
-    head = next(r for r in rows if r["first"] is not None)
-    ids, none = np.frombuffer(head["first"], "<i8"), np.frombuffer(head["second_high"], bool)
-    total = np.frombuffer(head["second_low"]).copy()
-    for r in rows:
-        if r["sums"] is not None:
-            total[np.frombuffer(r["doc"], "<u2")] += np.frombuffer(r["sums"])
-    columns = [head["base"] + np.arange(len(ids)), pa.array(ids, mask=none), np.frombuffer(head["runs"], np.int64), total]
-    return pa.table([pa.array(c) for c in columns], schema=_schema(RESULT))
-
-
-def stupid_backoff(docs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """Stupid-backoff scores of each row of ``docs`` (doc_id, text, ...) under bigrams of ``counted``.
-
-    A word w after v scores count(v w) / count(v), or where that bigram isn't known ALPHA *
-    count(w) / total; a first word scores count(w) / total, a word that isn't known 1 / (total + 1)
-    in place of its share. Without ``counted`` the counts are those of ``docs`` itself, all of it.
-    Returns doc_id, n_tokens, log_score (the sum of natural logarithms) and score, the mean per
-    token, null for null and blank texts. Every row gets its row: repeated rows and null ids stay;
-    no rows give none; other columns are ignored.
-
-    Bigrams are packed and shuffled once by the hash of their first word; a shard counts and scores
-    its own, and the sums are added up per document. Words and bigrams that would fill a shard
-    are counted ahead and scored where they are read.
+def stupid_backoff(docs: DataFrame, counted: DataFrame | None = None, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
+    """Stupid-backoff scores of each row of ``docs`` (doc_id, text, ...) under the n-grams of all its other rows, or of
+    ``counted`` (text, ...).
+
+    A word scores count(n-gram) / count(context) by the longest n-gram of ``order`` words at most that ends with it and is
+    counted, times ``alpha`` for each word less than could be; without its context it scores count / number of tokens, a
+    word that isn't counted 1 / (number of tokens + 1). A document's own n-grams don't count for it, so a text that is there
+    twice scores high. Returns doc_id, n_tokens, log_score (the sum of natural logarithms) and score, the mean per token,
+    null for null and blank texts. Every row gets its row: repeated rows are documents of their own, null ids stay; no rows
+    give none; other columns are ignored. The rows are read several times and must come in the same order each time, as
+    those of a table do.
+
+    N-grams, once per document, are hash-partitioned by their inner words, the context. All counts that a X b takes part in
+    meet there: of a X b and a X, which score b by the whole n-gram; of X b and X, which score it by one word less; of X,
+    which, if it is one word that a doesn't precede elsewhere, scores X alone. So no n-gram travels to look up a lower order:
+    a longer n-gram that is counted implies the shorter ones, and each step scores just those that no longer one does.
     """
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    apart = counted is not None
-    source = counted.select(F.lit(None).cast("long").alias("doc_id"), text_or_empty().alias("text")) if apart else docs
-    words = cut(word_counts(source.select("text")))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = HOT_SHARE * total / shards
-    hot = {r.word: r.n for r in words.where(F.col("n") > max(least, 1)).collect()}
-    pairs = hot_bigrams(source.select("text"), np.array(sorted(hot), np.uint64), least)
-    packed = _packed(docs, shards, hot, pairs, max(total, 1), not apart, True)
-    if apart:
-        packed = packed.unionByName(_packed(source, shards, hot, pairs, max(total, 1), True, False))
-    sums = packed.groupBy("shard").applyInArrow(_score_shard(hot, max(total, 1)), SUMS)
-    sums = cut(sums) if apart else sums
-    scored = sums.where("base is not null").groupBy("base").applyInArrow(_add_up, RESULT)
-    if apart:
-        share = F.log(F.coalesce(F.col("n") / total, F.lit(1.0 / (total + 1))))
-        backed = (
-            sums.where("word is not null")
-            .join(words.toDF("known", "n"), F.col("word") == F.col("known"), "left")
-            .groupBy("row")
-            .agg(F.sum(F.col("step") + share).alias("backed"))
-        )
-        scored = scored.join(backed, "row", "left").withColumn("log_score", F.col("log_score") + F.coalesce("backed", F.lit(0.0)))
-    return scored.select("doc_id", "n_tokens", "log_score", F.try_divide("log_score", "n_tokens").alias("score"))
+    spark, partitions = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = docs.select("row", "text")
+    source = texts if counted is None else counted.select(F.lit(-1).cast("long").alias("row"), text_or_empty().alias("text"))
+    sums = []
+    with freeing_shuffles(spark):
+        hot, total = hot_ngrams(source, order)
+        for turn in range(ROUNDS):
+            if counted is None:
+                rows = _exploded(texts, hot, order, turn, COUNTS | SCORES, True)
+            else:
+                rows = _exploded(texts, hot, order, turn, SCORES, False).unionByName(_exploded(source, hot, order, turn, COUNTS, False))
+            scored = rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_scored(order, alpha), SUMS)
+            sums.append(cut(scored.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("tokens", "logs", "known", "unseen")))))
+    per_row = reduce(DataFrame.unionAll, sums).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("tokens", "logs", "known", "unseen")))
+    others = F.lit(total) - (F.col("tokens") if counted is None else F.lit(0))
+    # the first words of a document have fewer words before them, so fewer steps back
+    fewer = F.least("tokens", F.lit(order - 1))
+    steps = fewer * order - fewer * (fewer + 1) / 2
+    share = F.when(F.col("known") > 0, F.col("known") * F.log(others)).otherwise(0.0) + F.col("unseen") * F.log(others + 1)
+    scores = per_row.where("tokens > 0").select("row", "tokens", (F.col("logs") - steps * math.log(alpha) - share).alias("sum"))
+    joined = docs.select("row", "doc_id").join(scores, "row", "left")
+    return joined.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("n_tokens"), F.coalesce("sum", F.lit(0.0)).alias("log_score"), F.try_divide("sum", "tokens").alias("score"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import shared_folder, table
 from .decontaminate import leaks
@@ -57,7 +58,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(table(spark, sf_dir, "documents"))
+    scores = stupid_backoff(table(spark, sf_dir, "documents"))
+    # sums of floating-point numbers depend on their order in the last digits
+    return scores.withColumns({"log_score": F.round("log_score", 3) + 0.0, "score": F.round("score", 6) + 0.0})
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +114,14 @@ alike AS (SELECT doc_id, item_id, start, len(shingles) + len(own) AS sizes, list
     least(len(list_filter(shingles, lambda y: y = s)), len(list_filter(own, lambda y: y = s))))) AS common FROM windows)
 SELECT doc_id, item_id, max(common / (sizes - common)) AS similarity, CAST(min(start) AS INT) AS first_word FROM alike
 WHERE common / (sizes - common) >= 0.8 GROUP BY doc_id, item_id""",
+    "op9_lm_scoring": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT r, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+k AS (SELECT *, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) AS k1, count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY r, b, c) AS k2,
+    count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY r, a, b, c) AS k3, count(*) OVER () - count(*) OVER (PARTITION BY r) AS others FROM t),
+p AS (SELECT *, lag(k1) OVER (PARTITION BY r ORDER BY i) AS p1, lag(k2) OVER (PARTITION BY r ORDER BY i) AS p2 FROM k),
+s AS (SELECT r, CASE WHEN i > 2 AND k3 > 0 THEN ln(k3 / p2) WHEN i > 1 AND k2 > 0 THEN (least(i, 3) - 2) * ln(0.4) + ln(k2 / p1)
+    ELSE (least(i, 3) - 1) * ln(0.4) + CASE WHEN k1 > 0 THEN ln(k1 / others) ELSE -ln(others + 1) END END AS s FROM p)
+SELECT d.doc_id, count(s.r) AS n_tokens, round(coalesce(sum(s.s), 0), 3) + 0.0 AS log_score, round(avg(s.s), 6) + 0.0 AS score FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id""",
 }

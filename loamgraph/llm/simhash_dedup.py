@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, text_or_empty
-from .components import connected_components
+from loamgraph.operators.components import connected_components
 
 SHINGLE_WORDS = 3
 RADIUS = 3

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import xxhash
-from loamgraph.llm.components import connected_components
+from loamgraph.operators.components import connected_components
 from loamgraph.llm.simhash_dedup import drop_near_duplicates, fingerprint, links, near_duplicates
 
 
