@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +22,10 @@ ROUNDS = 4
 #: An n-gram is hot if it is more than this share of a partition's mean number of tokens. There are partitions / HOT_SHARE
 #: hot ones of a length at most; their counts are sent to all tasks.
 HOT_SHARE = 0.25
-#: Tokens of documents that a task turns into rows at a time, and rows that it counts at a time.
-CHUNK_TOKENS, CHUNK_ROWS = 1 << 18, 1 << 19
-#: Words whose hashes a task remembers; it starts anew beyond them.
-REMEMBERED = 1 << 18
+#: Bytes of documents that a task turns into rows at a time, bytes that it hashes at a time, and rows that it counts at a time.
+CHUNK_BYTES, LARGEST, CHUNK_ROWS = 1 << 20, 1 << 22, 1 << 19
+#: Sums of documents travel in blocks of 256 rows.
+BLOCK_BITS = 8
 #: In place of the word before a document's first one, and behind its last one; words have greater numbers.
 START, END = 0, 1
 #: Flags of a row: what it is for, whether it adds to counts and is scored itself, and which end it touches. The length of
@@ -35,6 +35,8 @@ HIGH, LOW, COUNTS, SCORES, FIRST, LAST, LENGTH = 1, 2, 4, 8, 16, 32, 6
 #: An n-gram a X b of a document: what its counts are grouped by, the document, how often it is there, and of a X b, a X, X b
 #: and X the count in other documents where it is known beforehand, else -1 - the count in this one.
 GRAMS = "key long, first long, second long, row long, flags long, n long, whole long, left long, right long, core long"
+VALUES = ["tokens", "logs", "known", "unseen"]
+BLOCKS = "block long, row array<long>, tokens array<double>, logs array<double>, known array<double>, unseen array<double>"
 SUMS = "row long, tokens long, logs double, known long, unseen long"
 Hot = dict[int, tuple[np.ndarray, np.ndarray]]
 
@@ -50,38 +52,68 @@ def _mixed(*parts) -> np.ndarray:
     return h
 
 
-class Words:
-    """64-bit hashes of words: what ASCII white space separates, A-Z lower-cased."""
+#: A number for each byte, the same for A-Z and a-z, and powers of an odd number and of its inverse modulo 2^64.
+_BYTES = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64))
+_WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+_BASE = 0xD1342543DE82EF95
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def of(self, text: str) -> np.ndarray:
-        known, words = self.known, text.encode().lower().split()
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = max(xxhash.xxh64_intdigest(w), 2)
-        return np.array([known[w] for w in words], np.uint64)
+@cache
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Some documents at a time: words after each other, their documents' places in the chunk, and the documents' rows."""
-    words = Words()
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, bytes ``data`` cut at ``offsets``, and the text of each; words are what ASCII
+    white space separates, A-Z lower-cased.
+
+    A word's hash is the sum of numbers for its bytes, times powers of a base by their places: a difference of running sums.
+    """
+    size = len(data)
+    inside = ~_WHITE[data]
+    edge = np.zeros(size + 1, bool)
+    edge[offsets] = True
+    follows = np.concatenate([[False], inside[:-1]]) & ~edge[:size]
+    starts = np.flatnonzero(inside & ~follows)
+    goes_on = np.concatenate([inside[1:], [False]]) & ~edge[1:]
+    ends = np.flatnonzero(inside & ~goes_on) + 1
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _powers(_BASE, max(LARGEST, size))[:size])])
+        hashes = _mixed((sums[ends] - sums[starts]) * _powers(pow(_BASE, -1, 1 << 64), max(LARGEST, size))[starts], (ends - starts).astype(np.uint64))
+    return np.maximum(hashes, np.uint64(2)), np.searchsorted(offsets, starts, "right") - 1
 
-    def joined(rows: list[int], texts: list[np.ndarray]):
-        return np.concatenate([np.zeros(0, np.uint64), *texts]), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.array(rows, np.int64)
 
-    rows, texts, size = [], [], 0
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some documents at a time: words after each other, their documents' places in the chunk, and the documents' rows."""
     for batch in batches:
-        for row, text in zip(batch["row"].to_pylist(), batch["text"], strict=True):
-            rows.append(row)
-            texts.append(words.of(text.as_py()))
-            size += len(texts[-1])
-            if size >= CHUNK_TOKENS:
-                yield joined(rows, texts)
-                rows, texts, size = [], [], 0
-    yield joined(rows, texts)
+        rows, texts = batch["row"].to_numpy(), batch["text"].cast(pa.large_binary())
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(batch):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + CHUNK_BYTES, "right")))
+            own = texts.slice(at, stop - at)
+            offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + stop - at + 1]
+            data = np.frombuffer(own.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            yield *_hashed(data, offsets - offsets[0]), rows[at:stop]
+            at = stop
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``word_hashes`` for texts of any length, which are cut into pieces at white space."""
+    if len(data) <= LARGEST:
+        return word_hashes(data, offsets)
+    parts, at = [], 0
+    while at < len(data):
+        stop = min(len(data), at + LARGEST)
+        white = np.flatnonzero(_WHITE[data[at:stop]])
+        if stop < len(data):  # a word that is longer than a piece makes it longer
+            stop = at + int(white[-1]) + 1 if len(white) else stop + int(np.argmax(np.append(_WHITE[data[stop:]], True)))
+        inner = offsets[(offsets > at) & (offsets < stop)] - at
+        words, text = word_hashes(data[at:stop], np.concatenate([[0], inner, [stop - at]]))
+        parts.append((words, text + np.searchsorted(offsets, at, "right") - 1))
+        at = stop
+    return np.concatenate([w for w, _ in parts]), np.concatenate([d for _, d in parts])
 
 
 def _ngrams(words: np.ndarray, doc: np.ndarray, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -93,6 +125,14 @@ def _ngrams(words: np.ndarray, doc: np.ndarray, most: int) -> dict[int, tuple[np
     return out
 
 
+def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal hashes are together, which place begins a group, and each place's group."""
+    order = np.argsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    return order, new, np.cumsum(new) - 1
+
+
 def _in(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of ``keys`` in a table of sorted hashes and counts, and whether they are there."""
     if table is None or not len(table[0]):
@@ -158,10 +198,12 @@ def _exploded(docs: DataFrame, hot: Hot, order: int, turn: int, flags: int, own_
         hashes = {"core": x, "left": _mixed(a, x), "right": _mixed(x, b), "whole": _mixed(a, x, b)}
         n, count, is_hot, own = None, {}, {}, doc[at].astype(np.uint64)
         for name, h in hashes.items():
-            _, first, place, times = np.unique(_mixed(own, h), return_index=True, return_inverse=True, return_counts=True)
-            mine = times[place] if own_counts else np.zeros(len(at), np.int64)
+            order_, new, group = _grouped(_mixed(own, h))
+            times = np.empty(len(at), np.int64)
+            times[order_] = np.bincount(group)[group]
+            mine = times if own_counts else np.zeros(len(at), np.int64)
             if name == "whole":
-                n, once = times[place], first
+                n, once = times, order_[new]
             start = at - (name in ("left", "whole"))
             length = core + {"core": 0, "left": 1, "right": 1, "whole": 2}[name]
             whole = ~(begins & (name in ("left", "whole"))) & ~(ends & (name in ("right", "whole")))
@@ -204,17 +246,12 @@ def _scored(order: int, alpha: float):
     """A function from n-grams in order of their keys to sums of log scores per document; a key's rows meet in one part."""
 
     def scores(t: dict[str, np.ndarray]) -> pa.RecordBatch:
-        flags, n = t["flags"], t["n"]
-        weight, sums = np.where(flags & COUNTS, n, 0), {}
-        for names in (["key", "first", "second"], ["key", "second"]):
-            at = np.lexsort([t[c] for c in reversed(names)])
-            new = np.zeros(len(at), bool)
-            for i, c in enumerate(names):
-                new[1:] |= t[c][at][1:] != t[c][at][:-1]
-                group = np.cumsum(new)
-                total = np.empty(len(at))
-                total[at] = np.bincount(group, weight[at])[group]
-                sums[tuple(names[: i + 1])] = total
+        flags, n, sums = t["flags"], t["n"], {}
+        weight = np.where(flags & COUNTS, n, 0)
+        for names in (("key",), ("key", "first"), ("key", "first", "second"), ("key", "second")):
+            at, _, group = _grouped(_mixed(*(t[c].view(np.uint64) for c in names)))
+            sums[names] = np.empty(len(at))
+            sums[names][at] = np.bincount(group, weight[at])[group]
         others = lambda c, *names: np.where(t[c] >= 0, t[c], sums[names] + t[c] + 1)
         whole, left = others("whole", "key", "first", "second"), others("left", "key", "first")
         right, core = others("right", "key", "second"), others("core", "key")
@@ -231,8 +268,13 @@ def _scored(order: int, alpha: float):
         rows, at = np.unique(t["row"][scored], return_inverse=True)
         tokens = np.where(high & (length == 1), n, 0)
         values = [np.bincount(at, v[scored], len(rows)) for v in (tokens, n * logs, n * (alone & (core > 0)), n * (alone & (core <= 0)))]
-        kinds = [np.int64, float, np.int64, np.int64]
-        return pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(v.astype(k)) for v, k in zip(values, kinds, strict=True))], [f.split()[0] for f in SUMS.split(", ")])
+        return in_blocks(rows, values)
+
+    def in_blocks(rows: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        blocks, starts = np.unique(rows >> BLOCK_BITS, return_index=True)
+        offsets = pa.array(np.append(starts, len(rows)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (rows, *values)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks), *lists], ["block", "row", *VALUES])
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -253,6 +295,13 @@ def _scored(order: int, alpha: float):
     return scored
 
 
+def _added_up(table: pa.Table) -> pa.Table:
+    """The sums of a block's documents over all parts that have some."""
+    rows, at = np.unique(pc.list_flatten(table["row"]).to_numpy(), return_inverse=True)
+    sums = [np.bincount(at, pc.list_flatten(table[v]).to_numpy(), len(rows)) for v in VALUES]
+    return pa.table([rows, *(v if c == "logs" else v.astype(np.int64) for c, v in zip(VALUES, sums, strict=True))], ["row", *VALUES])
+
+
 def stupid_backoff(docs: DataFrame, counted: DataFrame | None = None, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """Stupid-backoff scores of each row of ``docs`` (doc_id, text, ...) under the n-grams of all its other rows, or of
     ``counted`` (text, ...).
@@ -282,9 +331,9 @@ def stupid_backoff(docs: DataFrame, counted: DataFrame | None = None, order: int
                 rows = _exploded(texts, hot, order, turn, COUNTS | SCORES, True)
             else:
                 rows = _exploded(texts, hot, order, turn, SCORES, False).unionByName(_exploded(source, hot, order, turn, COUNTS, False))
-            scored = rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_scored(order, alpha), SUMS)
-            sums.append(cut(scored.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("tokens", "logs", "known", "unseen")))))
-    per_row = reduce(DataFrame.unionAll, sums).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("tokens", "logs", "known", "unseen")))
+            scored = rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_scored(order, alpha), BLOCKS)
+            sums.append(cut(scored.groupBy("block").applyInArrow(_added_up, SUMS)))
+    per_row = reduce(DataFrame.unionAll, sums).groupBy("row").agg(*(F.sum(c).alias(c) for c in VALUES))
     others = F.lit(total) - (F.col("tokens") if counted is None else F.lit(0))
     # the first words of a document have fewer words before them, so fewer steps back
     fewer = F.least("tokens", F.lit(order - 1))

@@ -81,9 +81,10 @@ def test_factor_matters(documents):
 
 
 def test_small_chunks(documents, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 50)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(lm_scoring, "LARGEST", 1000)
     monkeypatch.setattr(lm_scoring, "CHUNK_ROWS", 7)
-    rows = texts(4)
+    rows = [*texts(4), "x" * 5000, "a " + "y" * 3000 + " a", "x" * 5000]
     assert rows_of(stupid_backoff(documents(rows))) == brute(list(enumerate(rows)))
 
 
