@@ -46,6 +46,19 @@ def estimate(text: Column, family: str = "unknown") -> Column:
     return estimate_from_lengths(cjk_length(text), F.length(text), family)
 
 
+def estimate_text(text: str, family: str = "unknown") -> int:
+    """The same estimate of a Python string, for folds."""
+    per_cjk, divisor = FAMILIES.get(family, FAMILIES["unknown"])
+    cjk = sum(CJK[0] <= c <= CJK[-1] for c in text)
+    return max(1, int(cjk * per_cjk + (len(text) - cjk) // divisor)) if text else 0
+
+
+def rendered_node(id: str, name: str, content: str | None) -> str:
+    """The same as ``render_node`` of a focus, for folds."""
+    body = content or ""
+    return f"- {name} (id={id})" + (f"\n  {body}" if body not in ("", name) else "")
+
+
 def tokens(text: Column) -> Column:
     """Pieces between separators; a piece of CJK only gives its characters and itself."""
     pieces = F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda p: p != "")
@@ -134,12 +147,6 @@ def is_vacuous(summary: Column) -> Column:
     return (F.length(F.trim(plain)) < 3) | found
 
 
-def word_jaccard(a: Column, b: Column) -> Column:
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
-    union = F.size(F.array_union(words(a), words(b)))
-    return F.when(union > 0, F.size(F.array_intersect(words(a), words(b))) / union).otherwise(F.lit(0.0))
-
-
 def ranked_indices(raw: Column, most: int) -> Column:
     """0-based indices from ``3, 1,7`` without repeats; ``none`` gives none; out of range ones go."""
     parts = F.filter(F.split(F.trim(F.coalesce(raw, F.lit(""))), r"[,，\s]+"), lambda p: p.rlike(r"^\d{1,9}$"))

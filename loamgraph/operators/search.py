@@ -18,11 +18,19 @@ def postings(nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     return entries.where("entry <> ''").select("id", F.explode(terms).alias("term")).distinct()
 
 
+def updated_postings(index: DataFrame, changed: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """The index after nodes of ``changed`` (id, name) came or changed; those whose name is null are removed."""
+    kept = index.join(changed.select("id").distinct(), "id", "left_anti").select("term", "id")
+    mine = None if aliases is None else aliases.join(changed.where("name is not null").select("id").distinct(), "id", "left_semi")
+    return kept.unionByName(postings(changed.where("name is not null"), mine).select("term", "id"))
+
+
 def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, id, pos): nodes that share a token with the query (query_id, query), by the first
-    such token. The index is sharded by term, and only terms that queries have are shuffled."""
+    such token. Postings of terms that no query has go before the join."""
     words = queries.select("query_id", F.posexplode(tx.tokens(F.col("query"))).alias("pos", "term"))
-    return words.join(index, "term").groupBy("query_id", "id").agg(F.min("pos").alias("pos"))
+    asked = index.join(words.select("term").distinct(), "term", "left_semi")
+    return words.join(asked, "term").groupBy("query_id", "id").agg(F.min("pos").alias("pos"))
 
 
 def merge_entries(hits: DataFrame) -> DataFrame:

@@ -1,31 +1,77 @@
 """Reading and writing graphs, change logs, chunk tables and evaluation data.
 
-Tables are Parquet: nodes partitioned by class. A rewrite goes to a new folder next to the old one,
-so that a job that fails leaves the old state whole.
+A graph is Parquet: nodes partitioned by class, edges by type, meta as key and value. Each save is a version of its
+own; readers follow the list of finished versions, so a job that fails, or that reads what it replaces, leaves the old
+state whole.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.operators.graph import Graph
 from loamgraph.operators.ingest import flush
+from loamgraph.operators.shared import remove_folder
 
 NODE_COLUMNS = ["id", "name", "content", "node_class", "hub", "doc_id", "event_ts", "seq"]
 EDGE_COLUMNS = ["id", "source_id", "target_id", "type", "priority"]
 SCHEMA_VERSION = "2"
-
-
-def save(graph: Graph, folder: str) -> None:
-    graph.nodes.select(NODE_COLUMNS).write.partitionBy("node_class").mode("overwrite").parquet(f"{folder}/nodes")
-    graph.edges.select(EDGE_COLUMNS).write.mode("overwrite").parquet(f"{folder}/edges")
-
-
-def load(spark: SparkSession, folder: str) -> Graph:
-    return Graph(spark.read.parquet(f"{folder}/nodes").select(NODE_COLUMNS), spark.read.parquet(f"{folder}/edges").select(EDGE_COLUMNS))
+#: Versions that a folder keeps, for readers that are still at work.
+KEPT_VERSIONS = 2
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The finished versions in ``folder``, the newest last."""
+    try:
+        return sorted(r.v for r in spark.read.schema("v long").json(f"{folder}/finished").where("v is not null").distinct().collect())
+    except AnalysisException:
+        return []
+
+
+def save(graph: Graph, folder: str, extensions: Mapping[str, str] | None = None) -> int:
+    """Write all of a graph, columns beyond the usual ones too, as the next version, and return its number. The
+    folder may be the one that the graph was loaded from. ``extensions``, names and versions, go into meta."""
+    spark = graph.nodes.sparkSession
+    before = versions(spark, folder)
+    version = before[-1] + 1 if before else 0
+    at = f"{folder}/v={version}"
+    graph.nodes.write.mode("overwrite").partitionBy("node_class").parquet(f"{at}/nodes")
+    graph.edges.write.mode("overwrite").partitionBy("type").parquet(f"{at}/edges")
+    now = spark.createDataFrame(list(provenance(extensions or {}).items()), "key string, value string")
+    write_meta(meta(spark, folder), now).write.mode("overwrite").parquet(f"{at}/meta")
+    spark.createDataFrame([(version,)], "v long").coalesce(1).write.mode("append").json(f"{folder}/finished")
+    for old in before[:-KEPT_VERSIONS + 1]:
+        remove_folder(spark, f"{folder}/v={old}")
+    return version
+
+
+def load(spark: SparkSession, folder: str, version: int | None = None) -> Graph:
+    """The newest version of a graph, or a given one, with all its columns."""
+    known = versions(spark, folder)
+    if not known:
+        raise FileNotFoundError(f"no finished version of a graph in {folder}")
+    at = f"{folder}/v={known[-1] if version is None else version}"
+    nodes, edges = spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges")
+    rest = lambda df, first: df.select(*first, *(c for c in df.columns if c not in first))
+    return Graph(rest(nodes, NODE_COLUMNS), rest(edges, EDGE_COLUMNS))
+
+
+def meta(spark: SparkSession, folder: str) -> DataFrame:
+    """Key and value of the newest version; none if there is none."""
+    known = versions(spark, folder)
+    return spark.read.parquet(f"{folder}/v={known[-1]}/meta") if known else spark.createDataFrame([], "key string, value string")
+
+
+def set_meta(spark: SparkSession, folder: str, added: DataFrame) -> None:
+    """Put key and value rows into the newest version's meta, without a new version of nodes and edges."""
+    at = f"{folder}/v={versions(spark, folder)[-1]}/meta"
+    rows = [tuple(r) for r in write_meta(spark.read.parquet(at), added).select("key", "value").collect()]  # a few keys a graph
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(at)
 
 
 def without_dangling(graph: Graph) -> Graph:
@@ -53,19 +99,36 @@ def write_meta(meta: DataFrame, added: DataFrame) -> DataFrame:
     return added.unionByName(meta.join(added.select("key"), "key", "left_anti").select(added.columns))
 
 
-def provenance_warnings(meta: DataFrame, extensions: list[str]) -> list[str]:
+def provenance(extensions: Mapping[str, str]) -> dict[str, str]:
+    """What meta says about how a graph was written."""
+    return {"schema_version": SCHEMA_VERSION, "extensions": ",".join(f"{k}={extensions[k]}" for k in sorted(extensions))}
+
+
+def provenance_warnings(meta: DataFrame, extensions: Mapping[str, str]) -> list[str]:
     """How stored provenance differs from what is used now; differing data is still read."""
-    known = {r.key: r.value for r in meta.where(F.col("key").isin("schema_version", "extensions")).collect()}
-    now = {"schema_version": SCHEMA_VERSION, "extensions": ",".join(sorted(extensions))}
+    now = provenance(extensions)
+    known = {r.key: r.value for r in meta.where(F.col("key").isin(*now)).collect()}
     return [f"{k}: stored {known[k]}, used {v}" for k, v in now.items() if k in known and known[k] != v]
 
 
-def read_extensions(raw: str = "extensions"):
+def encoded_extensions(slots: Mapping[str, Column]) -> Column:
+    """An extension bag as JSON text: a field per slot; slots that are null are left out."""
+    return F.to_json(F.struct(*(c.alias(name) for name, c in slots.items())))
+
+
+def read_extensions(raw: Column) -> Column:
     """An extension bag kept as JSON text, as VARIANT; what can't be parsed is null."""
-    return F.try_parse_json(F.col(raw))
+    return F.try_parse_json(raw)
+
 
+def decoded_extensions(raw: Column, slots: Mapping[str, str]) -> dict[str, Column]:
+    """A column per slot of a bag, of its DDL type; a slot that is missing or of another kind is null."""
+    bag = F.from_json(raw, ", ".join(f"`{name}` {kind}" for name, kind in slots.items()), {"mode": "PERMISSIVE"})
+    return {name: bag[name] for name in slots}
 
-def extension_path(bag, path: str, kind: str = "string"):
+
+def extension_path(bag: Column, path: str, kind: str = "string") -> Column:
+    """One value of a bag by a path like ``$.source_tracking.sources[0].doc_id``, null where it isn't there."""
     return F.try_variant_get(bag, path, kind)
 
 
@@ -76,6 +139,10 @@ QUESTIONS = (
 )
 
 
+#: A sample is drawn on the driver by Python's generator, so that seeds mean the same; a benchmark has some hundred titles.
+MOST_TITLES = 1_000_000
+
+
 def read_benchmark(spark: SparkSession, corpus: str, questions: str, sample: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Documents and questions of a retrieval benchmark in JSON files. A sample takes so many titles and
     the questions whose evidence is among them."""
@@ -83,7 +150,9 @@ def read_benchmark(spark: SparkSession, corpus: str, questions: str, sample: int
     asked = spark.read.schema(QUESTIONS).json(questions, multiLine=True)
     if sample is None:
         return docs, asked
-    titles = [r.title for r in docs.select("title").orderBy("title").collect()]
+    titles = [r.title for r in docs.select("title").distinct().orderBy("title").limit(MOST_TITLES + 1).collect()]
+    if len(titles) > MOST_TITLES:
+        raise ValueError(f"samples are drawn from {MOST_TITLES} titles at most")
     kept = spark.createDataFrame([(t,) for t in random.Random(seed).sample(titles, min(sample, len(titles)))], "title string")
     docs = docs.join(kept, "title", "left_semi")
     rows = asked.withColumn("_id", F.monotonically_increasing_id())
@@ -93,9 +162,7 @@ def read_benchmark(spark: SparkSession, corpus: str, questions: str, sample: int
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON lines file; lines that can't be parsed are left out."""
-    bad = "_corrupt_record"
-    rows = spark.read.schema(f"{schema}, {bad} string").option("columnNameOfCorruptRecord", bad).json(path)
-    return rows.cache().where(f"{bad} is null").drop(bad)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def append_json_lines(rows: DataFrame, path: str) -> None:

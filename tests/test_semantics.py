@@ -168,6 +168,25 @@ def test_dedup_leaves_mutex_pairs(spark):
     assert pairs(done.edges.select("source_id", "target_id")) == [("a", "b"), ("e", "a")]
 
 
+def test_dedup_hangs_mutex_edges_to_the_survivor(spark):
+    g = graph(spark, {c: {"name": "n", "cls": "fact", "content": c} for c in "abc"}, [("c", "b", "mutex")])
+    done = link.dedup(g)
+    assert pairs(done.nodes.select("id", "content")) == [("a", "a\nb"), ("c", "c")]
+    assert pairs(done.edges.select("source_id", "target_id", "type")) == [("c", "a", "mutex")]
+
+
+def test_dedup_within_the_budget(spark):
+    long = {c: {"name": "n", "content": c * 60} for c in "abcd"}
+    copies = {f"{c}{i}": {"name": "n", "content": c * 60} for c in "abd" for i in range(3)}
+    g = graph(spark, long | copies | {"z": {"name": "other"}}, [])
+    done = link.dedup(g, budget=50)
+    # 27 tokens alone, 47 with b, too many with c; copies go the way of the first of their content
+    assert pairs(done.nodes.select("id")) == [(i,) for i in ("a", "c", "d", "d0", "d1", "d2", "z")]
+    assert done.nodes.where("id = 'a'").first().content == "a" * 60 + "\n" + "b" * 60
+    none = link.dedup(g, budget=5)
+    assert none.nodes.count() == 14
+
+
 def test_absorption(spark):
     g = graph(spark, {"h": {"hub": True}, "x": {}, "m": {}, "n": {}, "o": {}}, [("h", "m", "assoc"), ("h", "n", "assoc"), ("x", "m", "assoc"), ("x", "n", "assoc"), ("x", "o", "assoc")])
     assert pairs(link.absorb(g).edges.select("source_id", "target_id")) == [("h", "m"), ("h", "n"), ("x", "h"), ("x", "o")]
@@ -224,11 +243,39 @@ def test_parsed_columns(spark):
 
 def test_store_round_trip(spark, tmp_path):
     g = graph(spark, {"a": {}, "b": {"cls": "fact"}}, [("a", "b", "assoc"), ("a", "x", "assoc")])
-    store.save(g, str(tmp_path))
+    store.save(g, str(tmp_path), {"alias_index": "1"})
     back = store.without_dangling(store.load(spark, str(tmp_path)))
     assert pairs(back.nodes.select(store.NODE_COLUMNS)) == pairs(g.nodes) and back.edges.count() == 1
-    meta = spark.createDataFrame([("schema_version", "1"), ("extensions", "a")], "key string, value string")
-    assert len(store.provenance_warnings(meta, ["a"])) == 1
+    meta = store.meta(spark, str(tmp_path))
+    assert store.provenance_warnings(meta, {"alias_index": "1"}) == [] and len(store.provenance_warnings(meta, {"alias_index": "2"})) == 1
+    store.set_meta(spark, str(tmp_path), spark.createDataFrame([("graph_summary", "s")], "key string, value string"))
+    assert store.meta(spark, str(tmp_path)).count() == 3
+
+
+def test_saving_to_the_folder_loaded_from(spark, tmp_path):
+    g = graph(spark, {"a": {}, "b": {}}, [("a", "b", "assoc")])
+    for n in range(4):
+        assert store.save(g, str(tmp_path)) == n
+        g = store.load(spark, str(tmp_path))
+        more = graph(spark, {f"new{n}": {}}, [])
+        g = Graph(g.nodes.unionByName(more.nodes), g.edges)
+    assert store.save(g, str(tmp_path)) == 4 and store.load(spark, str(tmp_path)).nodes.count() == 6
+    # a version that isn't finished isn't read
+    (tmp_path / "v=9" / "nodes").mkdir(parents=True)
+    assert store.load(spark, str(tmp_path)).edges.count() == 1
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, str(tmp_path / "none"))
+
+
+def test_extension_bags(spark):
+    rows = spark.createDataFrame([("a", ["x"], None), ("b", None, "s")], "id string, aliases array<string>, summary string")
+    bags = rows.select("id", store.encoded_extensions({"alias_index": F.struct("aliases"), "summary": F.col("summary")}).alias("bag"))
+    slots = {"alias_index": "struct<aliases:array<string>>", "summary": "string"}
+    back = bags.select("id", *(c.alias(n) for n, c in store.decoded_extensions(F.col("bag"), slots).items())).select("id", "alias_index.aliases", "summary")
+    assert pairs(back) == [("a", ["x"], None), ("b", None, "s")]
+    odd = spark.createDataFrame([("not json",), ('{"source_tracking": {"sources": [{"doc_id": "d"}]}}',)], "bag string")
+    read = lambda path: [r.v for r in odd.select(store.extension_path(store.read_extensions(F.col("bag")), path).alias("v")).collect()]
+    assert read("$.source_tracking.sources[0].doc_id") == [None, "d"] and read("$.none") == [None, None]
 
 
 def test_benchmark_files(spark, tmp_path):
