@@ -35,6 +35,35 @@ def lexical_search(queries: DataFrame, texts: DataFrame, title: str | None = Non
     return found.join(terms, "term").groupBy("query_id", "id").agg((F.sum("weight") / F.first("n")).alias("score"))
 
 
+#: Inner words of a passage that it is looked up by, at most.
+KEY_WORDS = 4
+
+
+def passage_docs(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of ``texts`` (doc_id, text) that contain a passage of ``passages`` (query_id, passage).
+
+    A text that contains a passage has all its words but the first and last whole, so the two meet by the hash of up to
+    KEY_WORDS of these; only ids and hashes are exploded, and texts are fetched for what meets. Passages of one or two
+    words have no inner word: those, a stated set of queries, are held against all texts.
+    """
+    key = lambda words: F.xxhash64(F.concat_ws(" ", words))
+    split = passages.select("query_id", "passage", F.split("passage", " ").alias("w")).withColumn("width", F.least(F.lit(KEY_WORDS), F.size("w") - 2))
+    items = split.where("width > 0").select("query_id", "passage", "width", key(F.slice("w", F.lit(2), F.col("width"))).alias("key"))
+    words = F.col("words")
+    parts = []
+    for width in sorted(r.width for r in items.select("width").distinct().collect()):
+        windows = F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: key(F.slice(words, i, width)))  # noqa: B023
+        keys = texts.select("doc_id", F.split("text", " ").alias("words")).where(F.size("words") >= width).select("doc_id", F.explode(F.array_distinct(windows)).alias("key"))
+        wanted = items.where(F.col("width") == width)
+        parts.append(keys.join(wanted.select("key").distinct(), "key", "left_semi").join(wanted.select("query_id", "passage", "key"), "key").select("query_id", "passage", "doc_id"))
+    short = split.where("width <= 0").select("query_id", "passage")
+    held = texts.join(short, F.col("text").contains(F.col("passage"))).select("query_id", "doc_id") if short.limit(1).count() else None
+    if not parts:
+        return texts.join(passages.limit(0), F.lit(False)).select("query_id", "doc_id") if held is None else held.distinct()
+    met = reduce(DataFrame.unionByName, parts).distinct().join(texts, "doc_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    return (met if held is None else met.unionByName(held)).distinct()
+
+
 def rerank(scored: DataFrame, top: int | None = None, least: float = 0.0, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """``scored`` (keys, pos, score, ...) by falling score, then pos; None keeps all, 0 none."""
     kept = scored.where(F.col("score") >= least)

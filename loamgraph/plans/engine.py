@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import traceback
+import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.operators import budget, compact, ingest, iterate, link, quality, search
+from loamgraph.operators import budget, compact, ingest, iterate, link, maintain, quality, search
 from loamgraph.operators.graph import Graph
 from loamgraph.sources import store
 
 #: Points at which functions are plugged in, all from DataFrames to a DataFrame, but for "maintenance"
 #: and "compaction", which take and give a Graph.
-POINTS = ["entry", "trim", "arbitrate", "postprocess", "write_preprocess", "query_preprocess", "compaction", "maintenance", "edge_score"]
+POINTS = ["entry", "trim", "arbitrate", "postprocess", "write_preprocess", "query_preprocess", "compaction", "maintenance"]
 ALONE = {"arbitrate"}
 
 
@@ -41,6 +44,19 @@ class Registry:
         return [f for _, f in sorted(self.known[point].values(), key=lambda x: -x[0])]
 
 
+@dataclass(frozen=True)
+class Subgraph:
+    """Results of queries: nodes (query_id, round, place, id, content), edges (query_id, edge_id) between known nodes, and
+    focus (query_id, id), each query's first node."""
+
+    nodes: DataFrame
+    edges: DataFrame
+
+    @property
+    def focus(self) -> DataFrame:
+        return self.nodes.groupBy("query_id").agg(F.min_by("id", F.struct("round", "place")).alias("id"))
+
+
 @dataclass
 class Engine:
     """Queries run for many texts at once: a DataFrame (query_id, query) in, rows per query out."""
@@ -51,19 +67,29 @@ class Engine:
     selector: iterate.Selector = iterate.lexical_selector
     decider: compact.Decider = compact.by_first_word
     registry: Registry = field(default_factory=Registry)
+    done: DataFrame | None = None  #: chunks ingested before: doc_id, chunk_id, content_hash
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str, **settings) -> Engine:
+        for warning in store.provenance_warnings(store.meta(spark, folder), {}):
+            warnings.warn(warning, stacklevel=2)
         return cls(spark, store.without_dangling(store.load(spark, folder)), **settings)
 
+    def aliases(self) -> DataFrame | None:
+        if "aliases" not in self.graph.nodes.columns:
+            return None
+        return self.graph.nodes.select("id", F.explode("aliases").alias("alias"))
+
     def locate(self, queries: DataFrame) -> DataFrame:
-        """Seeds (query_id, query, id, place): names that share a token, hubs besides, trimmed to the budget."""
+        """Seeds (query_id, query, id, place): names and aliases that share a token, then what is below the root or, where
+        there is no root, hubs; trimmed to the budget."""
         for f in self.registry.all("query_preprocess"):
             queries = f(queries)
-        hits = search.lookup(queries, search.postings(self.graph.nodes))
+        hits = search.lookup(queries, search.postings(self.graph.nodes, self.aliases()))
         named = hits.select("query_id", "id", F.lit(100).alias("priority"), F.lit(False).alias("exclusive"), "pos")
-        hubs = F.broadcast(self.graph.hubs().orderBy("seq").limit(10).select("id", F.col("seq").alias("pos")))
-        fallback = queries.select("query_id").withColumn("_k", F.lit(1)).join(hubs.withColumn("_k", F.lit(1)), "_k").select("query_id", "id", F.lit(0).alias("priority"), F.lit(False).alias("exclusive"), "pos")
+        top = [(r.id, r.seq) for r in maintain.top_seeds(self.graph, 10).collect()]
+        seeds = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).cast("long").alias("pos")) for i, n in top)) if top else F.array().cast("array<struct<id:string,pos:bigint>>")
+        fallback = queries.select("query_id", F.inline(seeds)).select("query_id", "id", F.lit(0).alias("priority"), F.lit(False).alias("exclusive"), "pos")
         entries = named.unionByName(fallback)
         for f in self.registry.all("entry"):
             entries = entries.unionByName(f(queries))
@@ -73,19 +99,30 @@ class Engine:
         kept = budget.trim_prefix(merged, ["query_id"], "place", "tokens", self.task_budget)
         return kept.join(queries, "query_id").select("query_id", "query", "id", "place")
 
-    def query(self, queries: DataFrame, context: DataFrame | None = None, rounds: int = 5) -> DataFrame:
-        """(query_id, round, id): what a walk from the located seeds, or from ``context``, gathers."""
+    def query(self, queries: DataFrame, context: DataFrame | None = None, rounds: int = 5) -> Subgraph:
+        """What a walk from the located seeds, or from ``context`` (query_id, id), gathers, after what is registered to
+        change it, in the order of priorities; that gets and gives nodes (query_id, round, place, id, content)."""
         seeds = self.locate(queries) if context is None else context.join(queries, "query_id")
-        found = iterate.traverse(self.graph, seeds.select("query_id", "query", "id"), self.selector, self.task_budget, rounds)
+        found = iterate.traverse(self.graph, seeds, self.selector, self.task_budget, rounds)
+        nodes = found.nodes
         for point in ("arbitrate", "postprocess"):
             for f in self.registry.all(point):
-                found = f(found)
-        return found
+                nodes = f(nodes)
+                if missing := {"query_id", "id"} - set(nodes.columns):
+                    raise ValueError(f"{point}: no column {', '.join(sorted(missing))}")
+        ends = self.graph.edges.select(F.col("id").alias("edge_id"), "source_id", "target_id").join(found.edges, "edge_id")
+        ids = nodes.select("query_id", "id").distinct()
+        kept = ends.join(ids.withColumnRenamed("id", "source_id"), ["query_id", "source_id"], "left_semi").join(ids.withColumnRenamed("id", "target_id"), ["query_id", "target_id"], "left_semi")
+        return Subgraph(nodes, kept.select("query_id", "edge_id"))
+
+    def query_nodes(self, queries: DataFrame) -> DataFrame:
+        """The light query: one round, nothing that changes results, nodes only."""
+        return iterate.traverse(self.graph, self.locate(queries), self.selector, self.task_budget, 1).nodes
 
     def associate(self, node_id: str, rounds: int = 5) -> DataFrame:
         seed = self.spark.createDataFrame([("associate", "", node_id)], "query_id string, query string, id string")
         every = lambda c: c.withColumns({"result": F.lit(True), "expand": F.lit(True)})
-        return iterate.traverse(self.graph, seed, every, self.task_budget, rounds)
+        return iterate.traverse(self.graph, seed, every, self.task_budget, rounds).nodes
 
     def recall(self, limit: int = 5) -> DataFrame:
         return budget.recall_events(self.graph.of_class("event"), limit, self.task_budget)
@@ -97,45 +134,51 @@ class Engine:
     def view(self, node_id: str) -> tuple[DataFrame, DataFrame]:
         return self.graph.view(self.spark.createDataFrame([(node_id,)], "me string"))
 
-    def ingest(self, inputs: DataFrame, decisions: DataFrame) -> Engine:
-        """Add events of ``inputs`` (ingest_id, content, ts) and what ``decisions`` (ingest_id, pos,
-        action, name, content, target_id, node_class) say, with endorsements and compaction."""
+    def ingest(self, inputs: DataFrame, decisions: DataFrame, drafts: DataFrame | None = None, sources: DataFrame | None = None) -> Engine:
+        """The engine after ``ingest.apply``: inputs (ingest_id, content, ts, and maybe doc_id, chunk_id), whose chunks are
+        passed over where they were ingested before, decisions about them, drafts (name, pos, content, node_class) and
+        sources (ingest_id, name, content, chunks). Neighbourhoods that outgrow the budget are split."""
         for f in self.registry.all("write_preprocess"):
             inputs = f(inputs)
-        nodes = self.graph.nodes
-        resolved = iterate.cut(ingest.resolve_decisions(decisions, nodes).join(decisions.select("pos", "ingest_id", "content", F.coalesce("node_class", F.lit("concept")).alias("kind")), "pos"))
-        blank = {"hub": F.lit(False), "doc_id": F.lit(None).cast("string"), "event_ts": F.lit(None).cast("string")}
-        created = resolved.where("action = 'create'").select(F.col("target_id").alias("id"), "name", "content", F.col("kind").alias("node_class"))
-        events = ingest.event_nodes(inputs)
-        fresh = created.withColumns(blank).unionByName(events.select("id", "name", "content", "node_class", "event_ts").withColumns({k: v for k, v in blank.items() if k != "event_ts"}))
-        base = nodes.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        fresh = fresh.withColumn("seq", F.lit(base + 1) + F.monotonically_increasing_id())
-        merges = resolved.where("action = 'merge'").groupBy(F.col("target_id").alias("id")).agg(F.array_join(F.array_distinct(F.collect_list("content")), "\n").alias("added"))
-        both = iterate.cut(nodes.unionByName(fresh.select(nodes.columns)))
-        grown = both.join(merges, "id", "left").withColumn("content", ingest.appended(F.col("content"), F.col("added"))).select(nodes.columns)
-        changed = resolved.where("action <> 'no_op'").select("ingest_id", "target_id")
-        edges = ingest.endorsements(events.select("ingest_id", "id"), changed, grown)
-        named = edges.select(F.concat("source_id", F.lit(">"), "target_id", F.lit(":assoc")).alias("id"), "source_id", "target_id", F.lit("assoc").alias("type"), F.lit(0.0).alias("priority"))
-        return Engine(self.spark, Graph(iterate.cut(grown), self.graph.edges).with_edges(named), self.task_budget, self.selector, self.decider, self.registry).compacted()
+        applied = ingest.apply(self.graph, inputs, decisions, drafts, sources, self.done)
+        grown = Graph(iterate.cut(applied.graph.nodes), iterate.cut(applied.graph.edges))
+        return replace(self, graph=grown, done=iterate.cut(applied.done)).compacted()
+
+    def update_document(self, doc_id: str, chunks: DataFrame, decisions: DataFrame, drafts: DataFrame | None = None) -> Engine:
+        """Ingest what is new or changed of a document's ``chunks`` (chunk_id, content), and let nodes forget the chunks
+        that it no longer has; ``decisions`` name inputs as ``<doc_id>/<chunk_id>``. Nothing is deleted: see ``purged``."""
+        name = F.concat(F.lit(f"{doc_id}/"), "chunk_id")
+        inputs = chunks.select(name.alias("ingest_id"), "content", F.lit(None).cast("string").alias("ts"), F.lit(doc_id).alias("doc_id"), "chunk_id")
+        grown = self.ingest(inputs, decisions, drafts)
+        nodes = ingest.pruned_sources(ingest.with_optional(grown.graph.nodes), doc_id, ingest.chunk_keys(chunks))
+        done = grown.done.join(chunks.select(F.lit(doc_id).alias("doc_id"), "chunk_id", F.lit(True).alias("_here")), ["doc_id", "chunk_id"], "left")
+        kept = done.where((F.col("doc_id") != doc_id) | F.col("_here")).drop("_here")
+        return replace(grown, graph=Graph(iterate.cut(nodes), grown.graph.edges), done=iterate.cut(kept.select("doc_id", "chunk_id", "content_hash")))
+
+    def purged(self) -> Engine:
+        """Without nodes that had sources and have none left, and without their edges."""
+        return replace(self, graph=self.graph.without_nodes(ingest.orphans(ingest.with_optional(self.graph.nodes)).select("id")))
 
     def compacted(self) -> Engine:
         graph = compact.compact(self.graph, self.task_budget, self.decider)
         for f in self.registry.all("compaction"):
             graph = f(graph)
-        return Engine(self.spark, graph, self.task_budget, self.selector, self.decider, self.registry)
+        return replace(self, graph=graph)
 
     def maintained(self) -> tuple[Engine, list[str]]:
-        """After deduplication, absorption by hubs and registered jobs; a job that fails is reported and
-        leaves the graph as it was."""
+        """After deduplication, absorption by hubs, upkeep of the root and registered jobs. A registered job that fails is
+        reported with its traceback and leaves the graph as it was; the engine's own jobs raise."""
         graph, failed = self.graph, []
-        jobs = {"dedup": link.dedup, "absorb": link.absorb} | {n: f for n, (_, f) in self.registry.known["maintenance"].items()}
-        for name, job in jobs.items():
+        for job in (lambda g: link.dedup(g, self.task_budget), link.absorb, maintain.rooted):
+            done = job(graph)
+            graph = Graph(iterate.cut(done.nodes), iterate.cut(done.edges))
+        for name, (_, job) in sorted(self.registry.known["maintenance"].items(), key=lambda x: -x[1][0]):
             try:
                 done = job(graph)
                 graph = Graph(iterate.cut(done.nodes), iterate.cut(done.edges))
-            except Exception as e:
-                failed.append(f"{name}: {str(e).splitlines()[0]}")
-        return Engine(self.spark, graph, self.task_budget, self.selector, self.decider, self.registry), failed
+            except (ArithmeticError, LookupError, TypeError, ValueError, AnalysisException, PythonException) as e:
+                failed.append(f"{name}: {e}\n{traceback.format_exc()}")
+        return replace(self, graph=graph), failed
 
     def report(self) -> DataFrame:
         return quality.graph_quality(self.graph)

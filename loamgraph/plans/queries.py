@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as tx
-from loamgraph.operators import budget, compact, ingest, iterate, link, quality, rank, search
-from loamgraph.operators.graph import Graph, edge_faults, first_by, is_core, valid_edges
+from loamgraph.operators import budget, compact, ingest, iterate, link, maintain, quality, rank, search
+from loamgraph.operators.shared import cut
+from loamgraph.operators.graph import ROOT, Graph, edge_faults, is_core, valid_edges
 from loamgraph.sources import derive, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +30,12 @@ drill AS (SELECT DISTINCT e.source_id AS me, e.target_id AS child FROM edges e J
 neighbours AS (SELECT me, child AS other FROM drill UNION SELECT me, other FROM relations)"""
 
 
+CJK_RANGE = "一-鿿"
+
+
 def words_sql(text: str) -> str:
-    return f"list_filter(string_split_regex(coalesce({text}, ''), '[\\s,.;:!?]+'), lambda p: p <> '')"
+    pieces = f"list_filter(string_split_regex(coalesce({text}, ''), '[\\s,.;:!?　，。；！？]+'), lambda p: p <> '')"
+    return f"flatten(list_transform({pieces}, lambda p: CASE WHEN regexp_full_match(p, '[{CJK_RANGE}]+') THEN list_concat(string_split(p, ''), [p]) ELSE [p] END))"
 
 
 def set_sql(text: str) -> str:
@@ -38,7 +43,8 @@ def set_sql(text: str) -> str:
 
 
 def tokens_sql(text: str) -> str:
-    return f"(CASE WHEN length({text}) > 0 THEN greatest(1, length({text}) // 3) ELSE 0 END)"
+    cjk = f"length(regexp_replace({text}, '[^{CJK_RANGE}]', '', 'g'))"
+    return f"(CASE WHEN length({text}) > 0 THEN greatest(1, CAST(trunc({cjk} * 1.7 + (length({text}) - {cjk}) // 3) AS BIGINT)) ELSE 0 END)"
 
 
 def node_sql(prefix: str = "", full: bool = True) -> str:
@@ -271,6 +277,20 @@ def tok_estimate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.estimate(F.col("text")).cast("long").alias("tokens"))
 
 
+MIXED = [
+    ("深度学习 abc", "plain"), ("深度，学习。x?", "full-width signs"), ("图谱记忆是一种结构", "only CJK"), ("a,b;c 图 d", "single"), ("", "empty"), ("。！", "signs only"), ("graph 图谱 memory 记忆 graph", "alternating")
+]
+MIXED_SQL = "(VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in MIXED) + ") m(text, kind)"
+
+
+@query(f"SELECT kind, CAST({tokens_sql('text')} AS BIGINT) AS tokens, array_to_string({words_sql('text')}, '|') AS words, array_to_string(list_sort({set_sql('text')}), '|') AS distinct_words FROM {MIXED_SQL}")
+def tok_mixed_scripts(spark, sf_dir):
+    text = F.col("text")
+    return rows(spark, "text string, kind string", *MIXED).select(
+        "kind", tx.estimate(text).cast("long").alias("tokens"), F.array_join(tx.tokens(text), "|").alias("words"), F.array_join(F.array_sort(tx.token_set(text)), "|").alias("distinct_words")
+    )
+
+
 @query(f"{GRAPH_SQL} SELECT id, {node_sql()} AS line FROM nodes")
 def render_node(spark, sf_dir):
     return graph_of(spark, sf_dir).nodes.select("id", budget.rendered().alias("line"))
@@ -433,27 +453,41 @@ def entry_merge(spark, sf_dir):
 
 
 @query(
-    f"""{GRAPH_SQL} SELECT source, target, len(path) - 1 AS hops FROM (
-    WITH RECURSIVE pairs AS (SELECT * FROM (VALUES ('r:0', 'n:0'), ('n:0', 'n:5'), ('r:0', 's:1'), ('c:1', 'c:1'), ('n:0', 'x:9')) p(source, target)),
+    f"""{GRAPH_SQL}, pairs AS (SELECT 'c:' || c_custkey AS source, 'c:' || (c_custkey + 1) AS target FROM customer WHERE c_custkey % 20 = 0 UNION ALL
+      SELECT 'e:' || event_id, 's:1' FROM events WHERE event_id % 2000 = 0 UNION ALL SELECT 'n:' || n_nationkey, 'n:' || n_nationkey FROM nation WHERE n_nationkey % 20 = 0),
     walk AS (SELECT DISTINCT source, source AS at, 0 AS hop FROM pairs JOIN nodes ON id = source
-      UNION SELECT w.source, n.other, w.hop + 1 FROM walk w JOIN neighbours n ON n.me = w.at WHERE w.hop < 2)
-    SELECT p.source, p.target, list_value(0).list_concat(range(min(hop))) AS path FROM pairs p JOIN walk w ON w.source = p.source AND w.at = p.target GROUP BY p.source, p.target)"""
+      UNION SELECT w.source, n.other, w.hop + 1 FROM walk w JOIN neighbours n ON n.me = w.at WHERE w.hop < 6)
+    SELECT p.source, p.target, CAST(min(hop) AS BIGINT) AS hops FROM pairs p JOIN walk w ON w.source = p.source AND w.at = p.target GROUP BY p.source, p.target"""
 )
 def shortest_path(spark, sf_dir):
-    pairs = rows(spark, "source string, target string", ("r:0", "n:0"), ("n:0", "n:5"), ("r:0", "s:1"), ("c:1", "c:1"), ("n:0", "x:9"))
-    found = iterate.shortest_paths(graph_of(spark, sf_dir), pairs, most_hops=2)
+    """From customers to the next ones, from events to a supplier that nothing reaches, and from nations to themselves."""
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    c = read(spark, sf_dir, "customer").where("c_custkey % 20 = 0").withColumn("next", F.col("c_custkey") + 1)
+    pairs = c.select(named("c:", "c_custkey").alias("source"), named("c:", "next").alias("target"))
+    pairs = pairs.unionByName(read(spark, sf_dir, "events").where("event_id % 2000 = 0").select(named("e:", "event_id").alias("source"), F.lit("s:1").alias("target")))
+    n = read(spark, sf_dir, "nation").where("n_nationkey % 20 = 0").select(named("n:", "n_nationkey").alias("source"))
+    found = iterate.shortest_paths(graph_of(spark, sf_dir), pairs.unionByName(n.withColumn("target", F.col("source"))))
     return found.select("source", "target", (F.size("path") - 1).cast("long").alias("hops"))
 
 
-@query()
+@query(
+    f"""{GRAPH_SQL}, {COSTS_SQL}, tree AS (SELECT id AS me, id, CAST(NULL AS VARCHAR) AS via, 0 AS depth, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM nodes WHERE id LIKE 'r:%'
+      UNION ALL SELECT e.source_id, n.id, e.id, 1, n.seq, 0, 0 FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.source_id LIKE 'r:%'
+      UNION ALL SELECT r.source_id, n.id, e.id, 2, m.seq, n.seq, 0 FROM edges r JOIN nodes m ON m.id = r.target_id JOIN edges e ON e.source_id = m.id JOIN nodes n ON n.id = e.target_id WHERE r.source_id LIKE 'r:%'
+      UNION ALL SELECT r.source_id, n.id, e.id, 3, m.seq, k.seq, n.seq FROM edges r JOIN nodes m ON m.id = r.target_id JOIN edges f ON f.source_id = m.id JOIN nodes k ON k.id = f.target_id
+        JOIN edges e ON e.source_id = k.id AND e.type = 'assoc' JOIN nodes n ON n.id = e.target_id WHERE r.source_id LIKE 'r:%'),
+    summed AS (SELECT t.me, t.id, t.via, row_number() OVER w AS pos, sum(k.tokens) OVER w AS used FROM tree t JOIN costs k ON k.id = t.id WINDOW w AS (PARTITION BY t.me ORDER BY depth, a, b, c ROWS UNBOUNDED PRECEDING))
+    SELECT me, CAST(pos AS BIGINT) AS pos, id, via FROM summed WHERE used <= 2000"""
+)
 def subgraph_budget(spark, sf_dir):
+    """From regions over nations and customers to orders, where the budget ends; the SQL follows that tree."""
     g = graph_of(spark, sf_dir)
     return iterate.subgraphs(g, g.nodes.where("id like 'r:%'").select(F.col("id").alias("me")), 2000)
 
 
 @query(
     f"""{GRAPH_SQL}, {COSTS_SQL}, views AS (SELECT d.me, n.seq AS pos, c.tokens, row_number() OVER (PARTITION BY d.me ORDER BY n.seq) AS nth
-      FROM drill d JOIN nodes n ON n.id = d.child JOIN costs c ON c.id = n.id WHERE d.me LIKE 'n:%'),
+      FROM drill d JOIN nodes n ON n.id = d.child JOIN costs c ON c.id = n.id),
     packed AS (SELECT me, pos, tokens, nth, 0 AS batch, tokens AS used FROM views WHERE nth = 1 UNION ALL
       SELECT v.me, v.pos, v.tokens, v.nth, CASE WHEN p.used + v.tokens <= 60 THEN p.batch ELSE p.batch + 1 END,
         CASE WHEN p.used + v.tokens <= 60 THEN p.used + v.tokens ELSE v.tokens END FROM packed p JOIN views v ON v.me = p.me AND v.nth = p.nth + 1)
@@ -461,7 +495,7 @@ def subgraph_budget(spark, sf_dir):
 )
 def layer_pack(spark, sf_dir):
     g = graph_of(spark, sf_dir)
-    views = g.drill_down().where("me like 'n:%'").join(budget.node_costs(g.nodes), F.col("child") == F.col("id")).join(g.nodes.select("id", "seq"), "id")
+    views = g.drill_down().join(budget.node_costs(g.nodes), F.col("child") == F.col("id")).join(g.nodes.select("id", "seq"), "id")
     return iterate.pack_layer(views.select("me", F.col("seq").alias("pos"), "tokens"), ["me"], 60)
 
 
@@ -480,10 +514,10 @@ def batch_merge(spark, sf_dir):
 
 @query()
 def traverse_lexical(spark, sf_dir):
-    g = graph_of(spark, sf_dir)
-    nation = read(spark, sf_dir, "nation")
-    seeds = nation.select(F.col("n_nationkey").alias("query_id"), F.lit("BUILDING nation order").alias("query"), F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"))
-    return iterate.traverse(g, seeds, budget=500, most_rounds=2)
+    """Every twentieth customer is a query of its own, with the limits that the operator has by default."""
+    customers = read(spark, sf_dir, "customer").where("c_custkey % 20 = 0")
+    seeds = customers.select(F.col("c_custkey").alias("query_id"), F.lit("BUILDING nation order").alias("query"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return iterate.traverse(graph_of(spark, sf_dir), seeds).nodes.select("query_id", "round", "place", "id")
 
 
 # diagnostics
@@ -538,7 +572,12 @@ def health_check(spark, sf_dir):
     return quality.health(graph_of(spark, sf_dir), 900)
 
 
-@query()
+@query(
+    f"""{GRAPH_SQL}, label(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
+      SELECT e.other, min(l.component) FROM label l JOIN ends e ON e.me = l.id JOIN recurring.label r ON r.id = e.other WHERE l.component < r.component GROUP BY e.other),
+    sizes AS (SELECT component, count(*) AS n FROM label GROUP BY component)
+    SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS largest_share FROM sizes"""
+)
 def components(spark, sf_dir):
     return quality.component_summary(iterate.weak_components(graph_of(spark, sf_dir)))
 
@@ -569,15 +608,8 @@ def searched(spark: SparkSession, sf_dir: str, top: int | None = None) -> DataFr
 
 
 def gold_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a passage: candidates share its first five words, then all is compared."""
-    key = lambda words: F.xxhash64(F.concat_ws(" ", words))
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split("text", " ").alias("w"))
-    items = items.select("query_id", "passage", key(F.slice("w", 2, 4)).alias("key"))
-    # split into a column of its own: inside the lambda it would be done anew for each place
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", " ").alias("words"))
-    words = F.col("words")
-    docs = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 3)), lambda i: key(F.slice(words, i, 4))))).alias("key"))
-    return docs.join(items, "key").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id").distinct()
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return rank.passage_docs(queries, read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
@@ -608,7 +640,7 @@ def gold_passages(spark, sf_dir):
     + " FROM per GROUP BY GROUPING SETS ((type), ())"
 )
 def retrieval_metrics(spark, sf_dir):
-    gold = iterate.cut(gold_docs(spark, sf_dir))
+    gold = cut(gold_docs(spark, sf_dir))
     kinds = F.when(F.col("item_id") % 3 == 0, "inference_query").when(F.col("item_id") % 3 == 1, "comparison_query").otherwise("temporal_query")
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), kinds.alias("type")).join(gold.select("query_id").distinct(), "query_id", "left_semi")
     return rank.retrieval_metrics(searched(spark, sf_dir), gold, queries)
@@ -780,15 +812,32 @@ def synonym_migrate(spark, sf_dir):
 
 
 @query(
-    f"""{GRAPH_SQL}, heads AS (SELECT me AS hub_id, min(child) AS a, max(child) AS b FROM drill WHERE me LIKE 'o:%' GROUP BY me HAVING count(*) = 2),
-    own AS (SELECT me, child FROM drill WHERE me LIKE 'o:%')
-    SELECT x.me AS node_id, h.hub_id, 2 AS members FROM heads h JOIN own x ON x.child = h.a JOIN own y ON y.child = h.b AND y.me = x.me WHERE x.me <> h.hub_id"""
+    f"""{GRAPH_SQL}, own AS (SELECT me, child FROM drill WHERE me LIKE 'o:%'), sizes AS (SELECT me, count(*) AS members FROM own GROUP BY me HAVING count(*) >= 2)
+    SELECT x.me AS node_id, h.me AS hub_id, CAST(s.members AS INT) AS members FROM sizes s JOIN own h ON h.me = s.me JOIN own x ON x.child = h.child AND x.me <> h.me GROUP BY x.me, h.me, s.members HAVING count(*) = s.members"""
 )
 def hub_absorb(spark, sf_dir):
     g = graph_of(spark, sf_dir)
     orders = Graph(g.nodes, g.edges.where("source_id like 'o:%' and type = 'assoc'"))
-    pairs = orders.drill_down().groupBy("me").count().where("count = 2").select(F.col("me").alias("id"))
-    return link.absorbing_hubs(orders, pairs).withColumn("members", F.col("members").cast("int"))
+    heads = orders.drill_down().groupBy("me").count().where("count >= 2").select(F.col("me").alias("id"))
+    return link.absorbing_hubs(orders, heads).withColumn("members", F.col("members").cast("int"))
+
+
+FOLD_SQL = f"""{GRAPH_SQL}, facts AS (SELECT 'o:' || o_orderkey AS id, 'c ' || o_custkey AS name, o_orderstatus || ' ' || o_orderpriority AS content, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders),
+against AS (SELECT me AS id, list(other) AS others FROM ends WHERE type = 'mutex' GROUP BY me),
+merging(id, name, nth, first, text, apart, canonical) AS (SELECT f.id, f.name, f.nth, f.id, f.content, coalesce(a.others, []), f.id FROM facts f LEFT JOIN against a ON a.id = f.id WHERE f.nth = 1 UNION ALL
+  SELECT id, name, nth, first, CASE WHEN fits THEN grown ELSE text END, CASE WHEN fits THEN list_concat(apart, others) ELSE apart END, CASE WHEN fits THEN first ELSE id END FROM (SELECT *,
+    NOT list_contains(apart, id) AND {tokens_sql("'- ' || name || ' (id=' || first || ')' || chr(10) || '  ' || grown")} <= 40 AS fits FROM (
+    SELECT f.id, f.name, f.nth, m.first, m.text, m.apart, coalesce(a.others, []) AS others, CASE WHEN contains(m.text, f.content) THEN m.text ELSE m.text || chr(10) || f.content END AS grown
+    FROM merging m JOIN facts f ON f.name = m.name AND f.nth = m.nth + 1 LEFT JOIN against a ON a.id = f.id)))"""
+
+
+@query(f"{FOLD_SQL} SELECT id, canonical FROM merging WHERE name IN (SELECT name FROM facts WHERE nth = 2)")
+def dedup_nodes(spark, sf_dir):
+    """Orders named by their customer: what each becomes, with mutex edges and a budget of 40 tokens in the way."""
+    g = graph_of(spark, sf_dir)
+    orders = read(spark, sf_dir, "orders")
+    facts = orders.select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("c "), F.col("o_custkey").cast("string")).alias("name"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("content"), F.lit("fact").alias("node_class"), F.col("o_orderkey").alias("seq"))
+    return link.merge_plan(Graph(facts, g.edges), 40).select("id", "canonical")
 
 
 # writing
@@ -820,7 +869,7 @@ def endorse_edges(spark, sf_dir):
       SELECT doc_id + 1000000, 'create', 'Topic ' || source FROM documents UNION ALL SELECT doc_id + 2000000, 'no_op', source FROM documents),
     k AS (SELECT d.*, lower(trim(d.name)) AS key, min(CASE WHEN action = 'create' THEN pos END) OVER (PARTITION BY lower(trim(d.name))) AS first FROM d)
     SELECT k.pos, CASE WHEN k.action = 'create' AND (known.id IS NOT NULL OR k.first < k.pos) THEN 'merge' ELSE k.action END AS action, k.name,
-      CASE WHEN k.action = 'create' THEN coalesce(known.id, 'new:' || k.key) END AS target_id FROM k LEFT JOIN known ON known.key = k.key"""
+      CASE WHEN k.action = 'create' THEN coalesce(known.id, 'new::' || k.first) END AS target_id FROM k LEFT JOIN known ON known.key = k.key"""
 )
 def apply_create_merge(spark, sf_dir):
     docs, parts = read(spark, sf_dir, "documents"), read(spark, sf_dir, "part")
@@ -857,6 +906,63 @@ def purge_orphans(spark, sf_dir):
     return ingest.orphans(with_sources).select("id")
 
 
+@query(
+    f"""{GRAPH_SQL}, d AS (SELECT c_custkey AS pos, c_nationkey AS k, CASE c_custkey % 3 WHEN 0 THEN ' ' || upper(c_name) || ' ' ELSE 'Topic ' || c_mktsegment END AS name,
+      CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' more' ELSE 'about ' || c_mktsegment || ' ' || c_nationkey || '.' END AS content FROM customer WHERE c_custkey % 3 < 2),
+    known AS (SELECT name, content || chr(10) || content || ' more' AS content, 1 AS names FROM nodes JOIN customer ON id = 'c:' || c_custkey WHERE c_custkey % 3 = 0),
+    parts AS (SELECT name, content, min(pos) AS first FROM d WHERE name LIKE 'Topic %' GROUP BY name, content)
+    SELECT name, content, CAST(names AS INT) AS names FROM known UNION ALL SELECT name, string_agg(content, chr(10) ORDER BY first), 0 FROM parts GROUP BY name"""
+)
+def ingest_apply(spark, sf_dir):
+    """An input per nation, with decisions about its customers: merges into them, and topics of which all but the first are merged."""
+    c = read(spark, sf_dir, "customer").withColumns({"kind": F.col("c_custkey") % 3, "ingest_id": F.concat(F.lit("i"), F.col("c_nationkey").cast("string"))})
+    name = F.when(F.col("kind") == 0, F.concat(F.lit(" "), F.upper("c_name"), F.lit(" "))).otherwise(F.concat(F.lit("Topic "), "c_mktsegment"))
+    content = F.when(F.col("kind") == 0, F.concat("c_mktsegment", F.lit(" more"))).otherwise(F.concat(F.lit("about "), "c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(".")))
+    none = F.lit(None).cast("string")
+    decisions = c.select("ingest_id", F.col("c_custkey").alias("pos"), F.when(F.col("kind") < 2, "create").otherwise("no_op").alias("action"), name.alias("name"), content.alias("content"), none.alias("target_id"), none.alias("node_class"))
+    inputs = read(spark, sf_dir, "nation").select(F.concat(F.lit("i"), F.col("n_nationkey").cast("string")).alias("ingest_id"), F.col("n_name").alias("content"), F.lit("2026").alias("ts"))
+    done = ingest.apply(graph_of(spark, sf_dir), inputs, decisions)
+    changed = done.graph.nodes.join(done.changed.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi")
+    # what is merged into a customer's content is longer than it, so it gets a line of its own
+    return changed.select("name", "content", F.size("aliases").alias("names"))
+
+
+@query(
+    f"""{GRAPH_SQL}, s AS (SELECT doc_id, CAST(doc_id % 7 AS VARCHAR) AS chunk, CASE WHEN doc_id % 14 < 7 THEN 'new' ELSE 'old' END AS hash FROM documents)
+    SELECT 'd:' || doc_id AS id, CAST(CASE WHEN (chunk IN ('0', '1') AND hash = 'new') OR doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS kept FROM s"""
+)
+def update_document(spark, sf_dir):
+    """Sources of a document's chunks that are gone, or that have other content now, are forgotten; other documents' stay."""
+    docs = read(spark, sf_dir, "documents")
+    source = F.struct(F.when(F.col("doc_id") % 3 == 0, "other").otherwise("mine").alias("doc_id"), (F.col("doc_id") % 7).cast("string").alias("chunk_id"), F.when(F.col("doc_id") % 14 < 7, "new").otherwise("old").alias("content_hash"))
+    nodes = docs.select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), F.array(source).alias("sources"))
+    now = rows(spark, "chunk_id string, content_hash string", ("0", "new"), ("1", "new"))
+    return ingest.pruned_sources(nodes, "mine", now).select("id", F.size("sources").alias("kept"))
+
+
+@query(f"{GRAPH_SQL} SELECT e.id FROM edges e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id WHERE (a.doc_id IS NOT NULL OR a.node_class <> 'concept') AND (b.doc_id IS NOT NULL OR b.node_class <> 'concept')")
+def purge_apply(spark, sf_dir):
+    """Concepts without a document go, with their edges; nodes of other classes never had sources."""
+    g = graph_of(spark, sf_dir)
+    sources = F.when(F.col("doc_id").isNotNull(), F.array("doc_id")).when(F.col("node_class") == "concept", F.array().cast("array<string>"))
+    return g.without_nodes(ingest.orphans(g.nodes.withColumn("sources", sources)).select("id")).edges.select("id")
+
+
+@query(f"{GRAPH_SQL} SELECT '__seed_root__>' || n.id || ':assoc' AS id FROM nodes n WHERE node_class IN ('concept', 'fact') AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.me = n.id)")
+def root_hang(spark, sf_dir):
+    return maintain.rooted(graph_of(spark, sf_dir)).edges.where(F.col("source_id") == ROOT).select("id")
+
+
+@query(
+    f"""{GRAPH_SQL}, s AS (SELECT id, content, CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN 'short' ELSE 'was long' END AS text, CASE WHEN seq % 3 = 2 THEN length(content) + 1 ELSE length(content) END AS len FROM nodes WHERE node_class = 'concept')
+    SELECT id FROM s WHERE text IS NULL OR len <> length(content)"""
+)
+def summary_stale(spark, sf_dir):
+    nth = F.col("seq") % 3
+    summary = F.struct(F.when(nth == 0, F.lit(None)).when(nth == 1, "short").otherwise("was long").alias("text"), (F.length("content") + (nth == 2).cast("int")).alias("length"))
+    return maintain.stale_summaries(graph_of(spark, sf_dir).of_class("concept").withColumn("summary", summary)).select("id")
+
+
 # bounding
 
 
@@ -899,10 +1005,7 @@ def hub_similar(spark, sf_dir):
 
 @query()
 def compact_graph(spark, sf_dir):
-    g = graph_of(spark, sf_dir)
-    upper = g.nodes.where("id like 'r:%' or id like 'n:%' or id like 'c:%'")
-    done = compact.compact(Graph(upper, g.within(upper.select("id"))), 300)
-    return budget.neighbourhood_costs(done).select("id", "members", "tokens")
+    return budget.neighbourhood_costs(compact.compact(graph_of(spark, sf_dir), 300)).select("id", "members", "tokens")
 
 
 # scalar functions

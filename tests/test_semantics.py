@@ -1,15 +1,18 @@
 """Literal cases for what the SQL comparison can't show: CJK, order, asymmetry, folds, parsers, writes."""
 
 import json
+import random
+import zlib
 
 import pytest
 from loamgraph.functions import parse
 from loamgraph.functions import text as tx
-from loamgraph.operators import budget, compact, ingest, iterate, link, rank, search
-from loamgraph.operators.graph import Graph, check_classes, edge_faults
+from loamgraph.operators import budget, compact, ingest, iterate, link, maintain, rank, search
+from loamgraph.operators.graph import ROOT, Graph, check_classes, edge_faults
 from loamgraph.plans.engine import Engine, Registry
 from loamgraph.sources import store
 from loamgraph.streaming.ingest import hourly_counts, ingest_once, newest_events, timeline
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 NODE = "id string, name string, content string, node_class string, hub boolean, doc_id string, event_ts string, seq long"
@@ -161,6 +164,14 @@ def test_counterfactual_and_reached(spark):
     assert rank.reached(ranked.limit(0), gold.limit(0)).count() == 0
 
 
+def test_passages_of_any_length_are_found(spark):
+    texts = ["one two three four five six", "xone two threex", "a onetwo b", "one", "", "one two three fourx", "two three"]
+    passages = ["one two three four", "one two three", "two", "o", "one two", "one two three four five six", "none of it is there", "ee fo"]
+    frame = lambda rows, names: spark.createDataFrame(list(enumerate(rows)), names)
+    got = pairs(rank.passage_docs(frame(passages, "query_id int, passage string"), frame(texts, "doc_id int, text string")))
+    assert got == sorted((i, j) for i, p in enumerate(passages) for j, t in enumerate(texts) if p in t)
+
+
 def test_dedup_leaves_mutex_pairs(spark):
     g = graph(spark, {"a": {"name": "n", "cls": "fact", "content": "one"}, "b": {"name": "n", "cls": "fact", "content": "two"}, "c": {"name": "n", "cls": "fact", "content": "on"}, "e": {"cls": "event"}}, [("a", "b", "mutex"), ("e", "c", "assoc")])
     done = link.dedup(g)
@@ -197,18 +208,205 @@ def test_decisions(spark):
     rows = [(1, "create", " known ", None, None), (2, "create", "Fresh", None, None), (3, "create", "fresh", None, None), (4, "create", "event", None, None), (5, "merge", "m", None, None), (6, "merge", "m", "k", None)]
     frame = spark.createDataFrame(rows, "pos int, action string, name string, target_id string, node_class string")
     got = {r.pos: (r.action, r.target_id) for r in ingest.resolve_decisions(frame, g.nodes).collect()}
-    assert got == {1: ("merge", "k"), 2: ("create", "new:fresh"), 3: ("merge", "new:fresh"), 4: ("create", "new:event"), 6: ("merge", "k")}
+    assert got == {1: ("merge", "k"), 2: ("create", "new::2"), 3: ("merge", "new::2"), 4: ("create", "new::4"), 6: ("merge", "k")}
     with pytest.raises(Exception, match="unknown action"):
         ingest.sane_decisions(frame.withColumn("action", F.lit("odd"))).collect()
 
 
-def test_merged_text_and_aliases(spark):
-    assert value(spark, ingest.appended(F.lit("one two"), F.lit(" two "))) == "one two"
-    assert value(spark, ingest.appended(F.lit("one"), F.lit("three"))) == "one\nthree"
+def test_merged_aliases(spark):
     lists = lambda *x: F.array(*map(F.lit, x))
     assert value(spark, ingest.merged_aliases(lists("a"), lists("b", "", "n", "a"), F.lit("n"))) == ["a", "b"]
 
 
+DECISION = "ingest_id string, pos int, action string, name string, content string, target_id string, node_class string, aliases array<string>, edges_to array<string>, edges_to_names array<string>, mutex_with array<string>, mutex_with_names array<string>"
+INPUT = "ingest_id string, content string, ts string, doc_id string, chunk_id string"
+
+
+def test_ingest_applies_decisions(spark):
+    g = graph(spark, {"k": {"name": "Known", "content": "one"}, "f": {"name": "old fact", "cls": "fact"}}, [])
+    inputs = spark.createDataFrame([("i", "text", "2020", "d", "1"), ("j", "other", "2021", None, None)], INPUT)
+    rows = [
+        ("i", 1, "create", " known ", "two", None, None, ["K2", "Known"], ["f"], ["Fresh"], None, None),
+        ("i", 2, "create", "Fresh", None, None, None, None, None, None, None, None),
+        ("i", 3, "create", "New fact", "says", None, "fact", None, None, None, ["f", "k"], ["Other fact", "Fresh"]),
+        ("i", 4, "create", "Other fact", "denies", None, "fact", None, None, None, None, None),
+        ("j", 5, "merge", "Alias", "three", "k", None, None, None, None, None, None),
+        ("j", 6, "merge", "No target", "x", None, None, None, None, None, None, None),
+        ("j", 7, "no_op", "Fresh", "x", None, None, None, None, None, None, None),
+        ("gone", 8, "create", "Nobody", "x", None, None, None, None, None, None, None),
+    ]
+    drafts = spark.createDataFrame([("Fresh", 1, "first", "concept"), ("Fresh", 2, "last", "concept")], "name string, pos int, content string, node_class string")
+    sources = spark.createDataFrame([("i", "paper", "whole", ["c1", "c2"]), ("j", "note", "whole", [])], "ingest_id string, name string, content string, chunks array<string>")
+    done = ingest.apply(g, inputs, spark.createDataFrame(rows, DECISION), drafts, sources)
+    nodes = {r.name: r for r in done.graph.nodes.collect()}
+    assert len(nodes) == 2 + 3 + 2 + 2 and nodes["Known"].content == "one\ntwo\nthree" and nodes["Fresh"].content == "last"
+    assert nodes["Known"].aliases == [" known ", "Alias", "K2"] and nodes["New fact"].node_class == "fact"
+    assert [tuple(s)[:2] for s in nodes["Known"].sources] == [("d", "1")] and nodes["old fact"].sources is None
+    by_id = {r.id: r.name for r in done.graph.nodes.collect()}
+    edges = {(by_id[r.source_id], by_id[r.target_id], r.type) for r in done.graph.edges.collect()}
+    own = {e for e in edges if e[0] not in ("text", "other", "paper", "note")}
+    assert own == {("Known", "old fact", "assoc"), ("Known", "Fresh", "assoc"), ("New fact", "old fact", "mutex"), ("New fact", "Other fact", "mutex")}
+    assert {e[:2] for e in edges if e[0] in ("other", "note")} == {("other", "Known"), ("note", "Known")}
+    assert {e[1] for e in edges if e[0] == "paper"} == {"Known", "Fresh", "New fact", "Other fact"}
+    # what was ingested before brings nothing, and an ingest that runs again no new nodes
+    again = ingest.apply(done.graph, inputs, spark.createDataFrame(rows, DECISION), drafts, sources, done.done)
+    assert again.graph.nodes.where("name = 'text'").count() == 1 and again.done.count() == 1
+    assert again.graph.nodes.where("name = 'Known'").first().content == "one\ntwo\nthree"
+    assert again.graph.nodes.count() == done.graph.nodes.count()
+
+
+def test_repeated_names_of_any_class_give_one_node(spark):
+    g = graph(spark, {"k": {"name": "Known"}}, [])
+    rows = [("i", p, "create", "Talk", f"c{p}", None, "event", None, None, None, None, None) for p in (1, 2)]
+    for n in ("i", "j"):
+        inputs = spark.createDataFrame([(n, f"text {n}", "2020", None, None)], INPUT)
+        g = ingest.apply(g, inputs, spark.createDataFrame([(n, *r[1:]) for r in rows], DECISION)).graph
+    ids = [r.id for r in g.nodes.where("name = 'Talk'").collect()]
+    assert len(ids) == len(set(ids)) == 2 and g.nodes.select("id").distinct().count() == g.nodes.count()
+
+
+def test_documents_are_updated_and_purged(spark):
+    engine = Engine(spark, graph(spark, {"k": {"name": "Known"}}, []), task_budget=1000)
+    chunk = lambda *rows: spark.createDataFrame(rows, "chunk_id string, content string")
+    decide = lambda *rows: spark.createDataFrame([(i, p, "create", n, n, None, None, None, None, None, None, None) for i, p, n in rows], DECISION)
+    first = engine.update_document("d", chunk(("1", "a"), ("2", "b"), ("3", "c")), decide(("d/1", 1, "A"), ("d/2", 2, "B"), ("d/3", 3, "C"), ("d/3", 4, "Known")))
+    sources = lambda e: {r.name: None if r.sources is None else [s.chunk_id for s in r.sources] for r in e.graph.nodes.where("node_class = 'concept'").collect()}
+    assert sources(first) == {"Known": ["3"], "A": ["1"], "B": ["2"], "C": ["3"]}
+    second = first.update_document("d", chunk(("1", "a"), ("2", "changed")), decide(("d/1", 1, "Z"), ("d/2", 2, "B2")))
+    assert sources(second) == {"Known": [], "A": ["1"], "B": [], "C": [], "B2": ["2"]}
+    assert pairs(second.done.select("chunk_id")) == [("1",), ("2",)]
+    assert set(sources(second.purged())) == {"A", "B2"}
+
+
+def test_root_summaries_and_links(spark):
+    g = graph(spark, {"a": {"content": "One. Two."}, "b": {"content": "x"}, "c": {"hub": True}, "e": {"cls": "event"}}, [("a", "b", "assoc")])
+    done = maintain.rooted(g)
+    assert pairs(done.edges.where(f"source_id = '{ROOT}'").select("target_id")) == [("c",)] and maintain.rooted(done).nodes.count() == 5
+    assert [r.id for r in maintain.top_seeds(done, 5).collect()] == ["c"] and [r.id for r in maintain.top_seeds(g, 5).collect()] == ["c"]
+    assert maintain.graph_summary(done).first().value == "c"
+    none = F.lit(None).cast("struct<text:string,length:int>")
+    nodes = maintain.with_summaries(g.nodes.withColumn("summary", none), maintain.first_sentences)
+    assert {r.id: r.summary and r.summary.text for r in nodes.collect()} == {"a": "One.", "b": "x", "c": None, "e": None}
+    assert pairs(maintain.stale_summaries(nodes.withColumn("content", F.when(F.col("id") == "a", "longer now").otherwise(F.col("content")))).select("id")) == [("a",), ("c",), ("e",)]
+    links = spark.createDataFrame([("a", "c", 0.9), ("b", "a", 1.0), ("c", "b", 0.5)], "source_id string, target_id string, confidence double")
+    assert pairs(maintain.with_links(g, links).edges.select("id")) == [("a>b:assoc",), ("a>c:assoc",)]
+
+
+def chosen_by_id(candidates):
+    """Choices that depend on nothing but the candidate, and answers that can't be read for batches of three views."""
+    code = F.crc32(F.col("id"))
+    return candidates.withColumns({"result": code % 3 == 0, "expand": code % 2 == 0})
+
+
+def walked(nodes, edges, seeds, budget_, rounds, most_frontier, most_nodes):
+    """The traversal of one query, step by step."""
+    known = {i: k for k, i in enumerate(nodes)}
+    core = lambda i: nodes[i].get("cls", "concept") in ("concept", "fact")
+    name, content = lambda i: nodes[i].get("name", i), {i: n.get("content", "") for i, n in nodes.items()}
+    sees = {i: [] for i in nodes}
+    for a, b, t in sorted(edges, key=lambda e: f"{e[0]}>{e[1]}:{e[2]}"):
+        for me, other in {(a, b), (b, a)}:
+            if me in nodes and not (core(me) and t == "assoc" and nodes[other].get("cls") == "event"):
+                sees[me].append((f"{a}>{b}:{t}", other))
+    down = {i: {b for a, b, t in edges if a == i and t == "assoc"} for i in nodes}
+    cost = lambda i, c: tx.estimate_text(tx.rendered_node(i, name(i), c))
+    frontier, visited, held, order, picked = list(dict.fromkeys(seeds)), set(), {}, [], []
+    used, names = 0, {}
+    ends = {f"{a}>{b}:{t}": (a, b) for a, b, t in edges}
+    for _ in range(rounds):
+        if not frontier or len(held) >= most_nodes or used >= budget_:
+            break
+        views = []
+        for i in frontier:
+            around = sorted({o for _, o in sees[i]} | down[i] - {i}, key=lambda o: (known[o], o))
+            links = sorted({e for e, _ in sees[i]})
+            if not around and i in visited:
+                continue
+            lines = [tx.rendered_node(x, name(x), nodes[x].get("content", ""))[1:] for x in [i, *around]] + [f" {name(ends[e][0])} — {name(ends[e][1])}" for e in links]
+            views.append(([i, *around], links, tx.estimate_text("\n".join(f"{k}.{line}" for k, line in enumerate(lines, 1)))))
+        if not views:
+            break
+        room, batches, load = budget_ - used, [], 0
+        for v in views:
+            if not batches or load + v[2] > room:
+                batches.append([])
+                load = 0
+            batches[-1].append(v)
+            load += v[2]
+        frontier, stop = [], False
+        for batch in batches:
+            if len(held) >= most_nodes or used >= budget_:
+                stop = True
+                break
+            shown = list(dict.fromkeys(x for v in batch for x in v[0])) + list(dict.fromkeys(e for v in batch for e in v[1]))
+            code = {x: zlib.crc32(x.encode()) for x in shown}
+            for x in sorted(shown, key=lambda x: (code[x] % 3 != 0, shown.index(x))):
+                result, expand = code[x] % 3 == 0, code[x] % 2 == 0
+                if not (result or expand) or stop:
+                    continue
+                if x in ends and result and x not in picked:
+                    picked.append(x)
+                for i in ends.get(x, (x,)):
+                    if i in visited or stop:
+                        continue
+                    visited.add(i)
+                    if result:
+                        first = names.get(name(i))
+                        if first is not None and nodes[i].get("content", "") not in ("",):
+                            own, new = content[first], nodes[i]["content"]
+                            merged = own if new in own else f"{own}\n{new}"
+                        elif first is not None:
+                            merged = content[first]
+                        if first is not None and used + cost(first, merged) - cost(first, content[first]) <= budget_:
+                            used += cost(first, merged) - cost(first, content[first])
+                            content[first] = merged
+                            continue
+                        names.setdefault(name(i), i)
+                        held[i] = True
+                        order.append(i)
+                        used += cost(i, nodes[i].get("content", ""))
+                        stop = len(held) >= most_nodes
+                    if expand and len(frontier) < most_frontier:
+                        frontier.append(i)
+        if stop:
+            break
+    return [(i, content[i]) for i in order], sorted(picked)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_traversal_against_a_walk_step_by_step(spark, seed):
+    rng = random.Random(seed)
+    nodes = {f"n{i}": {"name": rng.choice(["same", "twin", f"name {i}", f"word {i}"]), "content": rng.choice(["", "text", "longer text " * rng.randrange(1, 9)]), "cls": rng.choice(["concept", "fact", "fact", "event"])} for i in range(40)}
+    ids = list(nodes)
+    drawn = {(rng.choice(ids), rng.choice(ids)) for _ in range(60)}
+    edges = [(a, b, rng.choice(["assoc", "assoc", "mutex"]) if nodes[a]["cls"] == nodes[b]["cls"] == "fact" else "assoc") for a, b in drawn if a != b]
+    g = graph(spark, nodes, edges)
+    limits = {q: rng.choices(ids, k=3) for q in range(3)}
+    for budget_, frontier, most in ((120, 4, 9), (100_000, 500, 1000)):
+        rows = [(q, "", s, k) for q, seeds in limits.items() for k, s in enumerate(seeds)]
+        found = iterate.traverse(g, spark.createDataFrame(rows, "query_id int, query string, id string, place int"), chosen_by_id, budget_, 4, frontier, most)
+        got, linked = {q: [] for q in limits}, {q: [] for q in limits}
+        for r in sorted(found.nodes.collect(), key=lambda r: (r.query_id, r.place)):
+            got[r.query_id].append((r.id, r.content))
+        for r in found.edges.collect():
+            linked[r.query_id].append(r.edge_id)
+        for q, seeds in limits.items():
+            assert (got[q], sorted(linked[q])) == walked(nodes, edges, seeds, budget_, 4, frontier, most)
+
+
+def test_answers_that_cannot_be_read_are_asked_again_by_view(spark):
+    g = graph(spark, {c: {} for c in "abcd"}, [("a", "b", "assoc"), ("c", "d", "assoc")])
+    seeds = spark.createDataFrame([(1, "", "a"), (1, "", "c")], "query_id int, query string, id string")
+
+    def unreadable(candidates):
+        lost = F.count("*").over(Window.partitionBy("query_id", "batch", *(["at"] if asked else []))) > 3
+        asked.append(1)
+        return candidates.withColumns({"result": F.when(~lost, F.col("kind") == "node"), "expand": F.when(~lost, F.lit(False))})
+
+    asked = []
+    assert {r.id for r in iterate.traverse(g, seeds, unreadable, most_rounds=1).nodes.collect()} == set("abcd") and len(asked) == 2
+
+
 def test_compaction_bounds_a_neighbourhood(spark):
     nodes = {"c": {}} | {f"m{i}": {"content": ("red thing " if i % 2 else "blue thing ") + "z" * 20} for i in range(12)}
     g = graph(spark, nodes, [("c", f"m{i}", "assoc") for i in range(12)])
@@ -335,18 +533,21 @@ def test_engine(spark, tmp_path):
     engine = Engine(spark, g, task_budget=1000)
     asked = spark.createDataFrame([(1, "graph memory"), (2, "nothing")], "query_id int, query string")
     assert {r.id for r in engine.locate(asked).where("query_id = 1").collect()} == {"a", "r"}
-    assert {(r.query_id, r.id) for r in engine.query(asked).collect()} == {(1, "a"), (1, "b")}
+    found = engine.query(asked)
+    assert {(r.query_id, r.id) for r in found.nodes.collect()} == {(1, "a"), (1, "b"), (1, "r")}
+    assert pairs(found.edges) == [(1, "a>b:assoc"), (1, "r>a:assoc")] and pairs(found.focus) == [(1, "a")]
+    assert {r.id for r in engine.query_nodes(asked).collect()} == {"a", "b", "r"}
     assert {r.id for r in engine.associate("r", 2).collect()} == {"a", "b", "r"}
     inputs = spark.createDataFrame([("i1", "saw other things", "2020")], "ingest_id string, content string, ts string")
     choices = [("i1", 1, "create", "Other", "new words", None, None), ("i1", 2, "create", "brand new", "body", None, "fact")]
     decided = spark.createDataFrame(choices, "ingest_id string, pos int, action string, name string, content string, target_id string, node_class string")
     grown = engine.ingest(inputs, decided)
-    nodes = {r.id: r for r in grown.graph.nodes.collect()}
-    assert nodes["b"].content == "memory of graphs\nnew words" and nodes["new:brand new"].node_class == "fact" and len(nodes) == 5
-    assert {r.node_id for r in grown.graph.related_events().collect()} == {"b", "new:brand new"}
+    nodes = {r.name: r for r in grown.graph.nodes.collect()}
+    assert nodes["other"].content == "memory of graphs\nnew words" and nodes["brand new"].node_class == "fact" and len(nodes) == 5
+    assert {r.node_id for r in grown.graph.related_events().collect()} == {"b", nodes["brand new"].id}
     grown.registry.register("maintenance", "bad", lambda graph: 1 / 0)
     kept, failed = grown.maintained()
-    assert failed == ["bad: division by zero"] and kept.report().first().nodes == 5
+    assert len(failed) == 1 and failed[0].startswith("bad: division by zero") and kept.report().first().nodes == 6
     kept.save(str(tmp_path))
-    assert Engine.from_folder(spark, str(tmp_path)).graph.nodes.count() == 5
+    assert Engine.from_folder(spark, str(tmp_path)).graph.nodes.count() == 6
     assert grown.recall().count() == 1 and kept.find_path("r", "b").first().path == ["r", "a", "b"]
