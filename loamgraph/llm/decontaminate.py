@@ -16,7 +16,8 @@ SIMILARITY = 0.8
 #: more than this happens once in several hundred thousand times at the very threshold.
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
-#: What an item's shingles and blocks are sent to all tasks for; larger benchmarks are shuffled.
+#: Benchmarks of so many items and words at most are sent to all tasks; for larger ones, places of words in documents are
+#: shuffled to them, and the texts of documents with a place in common are fetched afterwards.
 BROADCAST_ITEMS = 2_000
 BROADCAST_WORDS = 500_000
 WHITE = " \t\n\x0b\f\r"
@@ -51,6 +52,21 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def _places(words: DataFrame, width: int, keys: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, words, at, size): where in ``words`` (doc_id, words) a shingle of ``width`` words begins whose hash is in
+    ``keys`` (key, size). If the keys are small they are sent to the words; else hashes of places go to the keys, and
+    words, which travel once a document, to what is met there."""
+    key = F.xxhash64(F.concat_ws(" ", *(F.expr(f"get(words, at + {i})") for i in range(width)))).alias("key")
+    fits = words.select("doc_id", "words", F.posexplode("words").alias("at", "word")).where(f"at + {width} <= size(words)")
+    if small:
+        return fits.select("doc_id", "words", "at", key).join(F.broadcast(keys), "key").drop("key")
+    # rows of one id and text have the same places, so the text's hash names the row
+    text = F.xxhash64("words").alias("text")
+    met = fits.select("doc_id", text, "at", key).join(keys, "key").select("doc_id", "text", "at", "size").distinct()
+    named = words.select(F.col("doc_id").alias("_id"), text.alias("_text"), "words").dropDuplicates(["_id", "_text"])
+    return met.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))).select("doc_id", "words", "at", "size")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents of ``docs`` (doc_id, text, ...) that have a window like an item of ``benchmark``
     (item_id, text, ...).
@@ -88,25 +104,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = docs.select("doc_id", _words(text_or_empty()).alias("words")).where("words[0] <> ''")
     windows = None
     for width in sorted(r.width for r in items.select("width").distinct().collect()):
-        shingle = F.concat_ws(" ", *(F.expr(f"get(words, at + {i})") for i in range(width)))
-        met = (
-            words.select("doc_id", "words", F.posexplode_outer("words").alias("at", "word"))
-            .where(f"at + {width} <= size(words)")
-            .select("doc_id", "words", "at", F.xxhash64(shingle).alias("key"))
-            .join(_maybe_broadcast(places.where(F.col("width") == width).drop("width"), small), "key")
-            .withColumn("start", F.expr("greatest(0, least(at, size(words) - size))"))
-            .select("doc_id", "start", F.col("size"), F.lit(width).alias("width"), F.expr("slice(words, start + 1, size)").alias("window"))
+        met = _places(words, width, places.where(F.col("width") == width).select("key", "size"), small)
+        met = met.withColumn("start", F.expr("greatest(0, least(at, size(words) - size))")).select(
+            "doc_id", "start", "size", F.lit(width).alias("width"), F.expr("slice(words, start + 1, size)").alias("window")
         )
         windows = met if windows is None else windows.unionByName(met)
     if windows is None:
         return docs.join(benchmark.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word"))
-    found = cut(windows.groupBy("doc_id", "size", "width", "window").agg(F.min("start").alias("start")))
+    # windows are known by two hashes, so that no arrays of words are compared or joined
+    own = ["size", "width", "hash", "hash2"]
+    hashed = windows.withColumns({"hash": F.xxhash64("window"), "hash2": F.xxhash64(F.lit("second"), "window")})
+    found = cut(hashed.groupBy("doc_id", *own).agg(F.min("start").alias("start"), F.first("window").alias("window")))
 
     distinct = (
-        found.select("size", "width", "window")
-        .distinct()
+        found.groupBy(*own)
+        .agg(F.first("window").alias("window"))
         .withColumn("shingles", F.expr(_shingles("window", "width")))
         .withColumn("print", F.expr(_fingerprint("shingles")))
+        .drop("window")
     )
     probes = distinct.withColumn("block", F.explode(_blocks("print", "size")))
     flipped = F.transform(F.array(*map(F.lit, FLIPS)), lambda f: F.col("own").bitwiseXOR(f.cast("long")))
@@ -116,8 +131,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     within = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     near = (
         probes.join(_maybe_broadcast(index, few), (F.col("block") == F.col("item_block")) & within)
-        .select("window", "size", "shingles", "item_key")
-        .distinct()
+        .dropDuplicates([*own, "item_key"])
+        .select(*own, "shingles", "item_key")
         .join(_maybe_broadcast(items.select("item_key", "item_id", "item_shingles"), small), "item_key")
     )
     common = (
@@ -128,10 +143,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         near.withColumn("common", F.expr(common))
         .withColumn("similarity", F.expr("common / (size(shingles) + size(item_shingles) - common)"))
         .where(F.col("similarity") >= SIMILARITY)
-        .select("window", "size", "item_id", "similarity")
+        .select(*own, "item_id", "similarity")
     )
     return (
-        found.join(alike, ["window", "size"])
+        found.drop("window").join(alike, own)
         .groupBy("doc_id", "item_id")
         .agg(F.max("similarity").alias("similarity"), F.min("start").alias("first_word"))
     )

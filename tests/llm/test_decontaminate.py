@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from loamgraph.llm import decontaminate
 from loamgraph.llm.decontaminate import drop_leaks, leaks
 
 BENCHMARK = "item_id long, text string"
@@ -66,6 +67,28 @@ def test_against_brute_force(spark, documents, seed):
     assert (504, 3) in got and len(want) > 30
 
 
+def test_large_benchmarks_against_brute_force(spark, documents, monkeypatch):
+    for name in ("BROADCAST_WORDS", "BROADCAST_ITEMS"):
+        monkeypatch.setattr(decontaminate, name, 0)
+    docs, items = cases(3)
+    docs += [docs[0], (docs[0][0], docs[1][1]), (None, docs[2][1])]
+    frame = documents([t for _, t in docs], [i for i, _ in docs])
+    want = brute([x for x in docs if x[0] != 504], items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(frame, spark.createDataFrame(items, BENCHMARK)).collect()}
+    assert {k: round(v, 9) for k, v in got.items() if k[0] != 504} == {k: round(v, 9) for k, (v, _) in want.items()}
+
+
+def test_large_benchmarks_shuffle_no_texts_per_word(spark, documents, monkeypatch):
+    """Where places of words are shuffled, the rows have no arrays; texts are fetched by document."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+    words = documents(["a b c d e f g"]).selectExpr("doc_id", "split(text, ' ') as words")
+    keys = spark.createDataFrame([(1, 5)], "key long, size int")
+    plan = decontaminate._places(words, 5, keys, False)._jdf.queryExecution().optimizedPlan().toString()
+    exploded = next(part for part in plan.split("Join") if "Generate" in part)
+    project = next(line for line in exploded.splitlines() if "Project" in line)
+    assert "doc_id" in project and not re.search(r"(\[|, )words#\d+(,|\])", project)
+
+
 def test_passages_in_another_order(spark, documents):
     item = [f"w{i}" for i in range(60)]
     docs = [(1, " ".join(["x", *item[30:], *item[:30], "y"])), (2, " ".join([*item[31:], *item[:30]])), (3, " ".join(item[20:] + item[:10]))]
