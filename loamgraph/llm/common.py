@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.operators.shared import cut, freeing_shuffles, shared_folder
+from loamgraph.operators.shared import cut, freeing_shuffles, remove_folder, shared_folder
 
-__all__ = ["cut", "freeing_shuffles", "shared_folder", "table", "text_or_empty"]
+__all__ = ["cut", "freeing_shuffles", "remove_folder", "shared_folder", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import cut, remove_folder, shared_folder, table
 from .decontaminate import leaks
 from .license_scan import license_digest, scan_licenses
 from .lm_scoring import stupid_backoff
@@ -42,7 +42,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    rows = cut(archive_pages(table(spark, sf_dir, "pages"), folder))
+    remove_folder(spark, folder)
+    return rows
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
