@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,6 +34,8 @@ LEAST_REVISIT_BYTES = 0
 #: Digests that repeat, so many at most, are sent to where records are read; more are joined by shuffles.
 BROADCAST_DIGESTS = 1_000_000
 END = "\r\n\r\n"
+#: Bytes of a gzip stream that are unpacked at a time.
+PIECE = 1 << 14
 #: Behind a record that can't be read, the next line like this begins one.
 HEADER_LINE = re.compile(rb"^[a-z][a-z0-9+.-]*:.* \d{12}(\d{2})? .*\d+\r?$", re.IGNORECASE)
 #: Archive dates by their length.
@@ -65,16 +68,18 @@ class ArcRecord:
 
 def _unpacked(content: bytes) -> bytes:
     """The content of all gzip members, as far as they can be read."""
+    view, parts, at = memoryview(content), [], 0
     if content[:2] != b"\x1f\x8b":
         return content
-    parts = []
-    while content[:2] == b"\x1f\x8b":
+    while content[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
         try:
-            parts.append(member.decompress(content))
+            while not member.eof and at < len(content):  # a piece at a time, as what is left over is copied
+                piece = view[at : at + PIECE]
+                parts.append(member.decompress(piece))
+                at += len(piece) - len(member.unused_data)
         except zlib.error:
             break
-        content = member.unused_data
     return b"".join(parts)
 
 
@@ -177,6 +182,7 @@ def _number(value: str | None) -> int | None:
     return int(value) if value is not None and re.fullmatch(r"-?[0-9]{1,18}", value) else None
 
 
+@lru_cache(maxsize=4096)
 def _warc_date(value: str) -> str | None:
     """A W3C date of an archive date of 14, 12 or 8 digits, null if it is none."""
     try:
