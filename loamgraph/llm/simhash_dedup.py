@@ -119,10 +119,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component kept, the one with the smallest doc_id.
-
-    All columns stay. Rows that repeat the kept id all stay, as they are one document; so do
-    rows whose id is null, which no decision can name.
-    """
-    copies = near_duplicates(docs, radius).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    """``docs``, all columns, with one row of each component kept: that with the smallest doc_id, of several by the hash
+    of the row; rows without an id count as the last. Of rows that are the same in all columns one stays."""
+    own = "__near"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    print_, group, place, least = (f"{own}_{n}" for n in ("print", "group", "place", "least"))
+    rows = with_fingerprint(docs, print_)
+    classes = cut(rows.select(F.col(print_).alias("simhash")).distinct())
+    parts = connected_components(links(classes, radius), "a", "b").toDF(print_, group)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("hash"))
+    keyed = rows.join(parts, print_, "left").withColumns({group: F.coalesce(group, print_), place: order})
+    first = keyed.groupBy(group).agg(F.min(place).alias(least))
+    kept = keyed.join(first, (keyed[group] == first[group]) & keyed[place].eqNullSafe(first[least]), "left_semi")
+    return kept.select(*(f"`{c}`" for c in docs.columns)).dropDuplicates()

@@ -89,3 +89,10 @@ def test_one_document_of_each_group_stays(documents):
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 4]
+
+
+def test_one_row_of_repeated_and_nameless_rows_stays(spark, documents):
+    docs = documents(["a b c d"] * 5 + ["q r s"] * 2, [4, 4, None, None, 7, None, None])
+    assert sorted(((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()), key=repr) == [(4, "a b c d"), (None, "q r s")]
+    clash = spark.createDataFrame([(1, "a", 2, "x"), (1, "a", 3, "y")], "doc_id long, text string, __near_print int, `a.b` string")
+    assert drop_near_duplicates(clash).columns == clash.columns and drop_near_duplicates(clash).count() == 1
