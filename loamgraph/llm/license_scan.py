@@ -56,6 +56,71 @@ TEMPLATES = BASE + (
         "this source code form is subject to the terms of the mozilla public license v 2 0",
         ("mozilla public license",),
     ),
+    # whole notices
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+        " documentation files the software to deal in the software without restriction including without limitation the"
+        " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+        " persons to whom the software is furnished to do so subject to the following conditions the above copyright notice"
+        " and this permission notice shall be included in all copies or substantial portions of the software the software is"
+        " provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+        " merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright"
+        " holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+        " arising from out of or in connection with the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "the software is provided as is without warranty of any kind"),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies the software is provided"
+        " as is and the author disclaims all warranties with regard to this software including all implied warranties of"
+        " merchantability and fitness",
+        ("permission to use copy modify and or distribute this software", "the author disclaims all warranties"),
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
+        " following conditions are met redistributions of source code must retain the above copyright notice this list of"
+        " conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice"
+        " this list of conditions and the following disclaimer in the documentation and or other materials provided with the"
+        " distribution",
+        ("redistribution and use in source and binary forms", "must retain the above copyright notice"),
+    ),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the"
+        " license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by"
+        " applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+        " without warranties or conditions of any kind either express or implied see the license for the specific language"
+        " governing permissions and limitations under the license",
+        ("apache license version 2 0", "unless required by applicable law"),
+    ),
+    Template(
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
+        " license as published by the free software foundation either version 3 of the license or at your option any later"
+        " version this program is distributed in the hope that it will be useful but without any warranty without even the"
+        " implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for"
+        " more details",
+        ("free software foundation either version 3 of the license",),
+    ),
+    Template(
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
+        " license as published by the free software foundation either version 2 of the license or at your option any later"
+        " version this program is distributed in the hope that it will be useful but without any warranty without even the"
+        " implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for"
+        " more details",
+        ("free software foundation either version 2 of the license",),
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use"
+        " compile sell or distribute this software either in source code form or as a compiled binary for any purpose"
+        " commercial or non commercial and by any means",
+        ("free and unencumbered software released into the public domain",),
+    ),
 )
 #: The least share of a template's IDF weight that must be in place.
 LEAST_SCORE = 0.5
@@ -73,43 +138,68 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Postings of the templates: for looking up, of the rarest word of each template's key
-    phrases; for intersecting, of every word by its position."""
+    """Postings (template, position) of all words of the templates, and which of them is the rarest of each template's key
+    phrases: where that one isn't, the template isn't."""
 
     templates: tuple[Template, ...]
     idf: dict[bytes, float]
-    rare: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
-    words: list[list[bytes]] = field(default_factory=list)
+    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
+    rarest: list[tuple[bytes, int]] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
     keys: list[list[tuple[int, list[bytes]]]] = field(default_factory=list)
 
     def __post_init__(self):
         for n, template in enumerate(self.templates):
             words = words_of(template.text)
+            for i, w in enumerate(words):
+                self.postings.setdefault(w, []).append((n, i))
             spots = []
             for key in map(words_of, template.keys):
                 spots.append((next(i for i in range(len(words)) if words[i : i + len(key)] == key), key))
             at = max((i for i, key in spots for i in range(i, i + len(key))), key=lambda i: (self.idf[words[i]], words[i]))
-            self.rare.setdefault(words[at], []).append((n, at))
-            self.words.append(words)
+            self.rarest.append((words[at], at))
+            self.sizes.append(len(words))
             self.keys.append(spots)
+        self.weights = [sum(self.idf[w] for w in words_of(t.text)) for t in self.templates]
+
+    def _keys_stand(self, words: list[bytes], n: int, start: int) -> bool:
+        return all(start + i >= 0 and words[start + i : start + i + len(key)] == key for i, key in self.keys[n])
 
     def matches(self, words: list[bytes], least: float) -> list[dict]:
-        """Places of templates among a file's words, as label, start, stop, score, base."""
+        """Places of templates among a file's words, as label, start, stop, score, base.
+
+        The file's licence words are looked up by falling IDF. A place of a template is a start that its postings give by
+        their positions: it opens with the template's rarest word, if the key phrases stand whole there, and each other
+        word whose posting gives the same start adds its IDF.
+        """
+        spots: dict[bytes, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.postings:
+                spots.setdefault(w, []).append(i)
+        places: dict[int, dict[int, list]] = {}
+        order = sorted(spots, key=lambda w: (-self.idf[w], w))
+        for w in order:
+            for n, at in self.postings[w]:
+                if self.rarest[n] == (w, at) and (starts := [i - at for i in spots[w] if self._keys_stand(words, n, i - at)]):
+                    places[n] = {start: [0.0, self.sizes[n], -1] for start in starts}
+        if not places:
+            return []
+        for w in order:
+            for n, at in self.postings[w]:
+                if n in places:
+                    found, weight = places[n], self.idf[w]
+                    near = spots[w] if len(spots[w]) <= len(found) else [s + at for s in found]
+                    for i in near:
+                        place = found.get(i - at)
+                        if place is not None and 0 <= i < len(words) and words[i] == w:
+                            place[0] += weight
+                            place[1], place[2] = min(place[1], at), max(place[2], at)
         out = []
-        for at in [i for i, w in enumerate(words) if w in self.rare]:
-            for n, position in self.rare[words[at]]:
-                start, want = at - position, self.words[n]
-                there = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(want)]
-                if not all(all(there[i : i + len(key)]) for i, key in self.keys[n]):
-                    continue
-                weight = [self.idf[w] for w in want]
-                score = sum(x for x, hit in zip(weight, there, strict=True) if hit) / sum(weight)
+        for n in sorted(places):
+            for start, (weight, first, last) in sorted(places[n].items()):
+                score = min(1.0, weight / self.weights[n])
                 if score >= least:
-                    hits = [start + i for i, hit in enumerate(there) if hit]
-                    template = self.templates[n]
-                    out.append(
-                        {"label": template.label, "start": hits[0], "stop": hits[-1] + 1, "score": min(1.0, score), "base": template.base}
-                    )
+                    out.append({"label": self.templates[n].label, "start": start + first, "stop": start + last + 1, "score": score, "base": self.templates[n].base})
         return out
 
 

@@ -1,7 +1,8 @@
 import random
 import re
+from collections import Counter
 
-from loamgraph.llm.license_scan import license_digest, license_word_idf, scan_licenses
+from loamgraph.llm.license_scan import LEAST_SCORE, TEMPLATES, license_digest, license_word_idf, scan_licenses, words_of
 
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -42,6 +43,49 @@ def test_labels_of_the_method(documents):
     assert got[4].score == 0 and 0.5 <= got[5].score < 1
 
 
+def brute_matches(words, idf, templates, least):
+    """Every template at every start, word by word."""
+    out = set()
+    for t in templates:
+        want = words_of(t.text)
+        for start in range(-len(want), len(words)):
+            there = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(want)]
+            keys = [(next(i for i in range(len(want)) if want[i : i + len(k)] == k), k) for k in map(words_of, t.keys)]
+            if not all(all(there[i : i + len(k)]) for i, k in keys):
+                continue
+            score = sum(idf[w] for w, hit in zip(want, there, strict=True) if hit) / sum(idf[w] for w in want)
+            if min(score, 1.0) >= least:
+                hits = [start + i for i, hit in enumerate(there) if hit]
+                out.add((t.label, hits[0], hits[-1] + 1, round(min(score, 1.0), 9), t.base))
+    return out
+
+
+def test_labels_and_scores_against_brute_force(documents):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randrange(4)):
+            part = words_of(rng.choice(TEMPLATES).text)
+            cut = rng.choice([0, 0, rng.randrange(len(part))])
+            part = part[cut:] if rng.random() < 0.5 else part[: len(part) - cut]
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                part[rng.randrange(len(part))] = rng.choice([b"x", b"license", b"software"])
+            words += part + rng.choices([b"the", b"of", b"filler"], k=rng.randrange(4))
+        texts.append(b" ".join(words).decode())
+    texts += ["", None, "the software " * 3000 + TEMPLATES[-1].text]
+    docs = documents(texts)
+    idf, seen = license_word_idf(docs), Counter()
+    scanned = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    digests = {r.doc_id: r for r in license_digest(scan_licenses(docs)).collect()}
+    for i, text in enumerate(texts):
+        want = brute_matches(words_of(text or ""), idf, TEMPLATES, LEAST_SCORE)
+        assert {(m.label, m.start, m.stop, round(m.score, 9), m.base) for m in scanned[i].matches} == want
+        assert digests[i].labels == ",".join(sorted({m[0] for m in want})) and round(digests[i].score, 9) == max((m[3] for m in want), default=0)
+        seen.update(m[0] for m in want)
+    assert len(seen) > 8 and seen["mit"] > 5
+
+
 def test_idf_covers_all_rows(documents):
     idf = license_word_idf(documents(["license license"] * 8 + ["mit"]))
     assert idf[b"license"] < idf[b"mit"] < idf[b"apache"]
