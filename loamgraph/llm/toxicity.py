@@ -11,14 +11,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, text_or_empty
 
-#: Labelled documents that a model is fitted on at most, those with the least hashes of doc_id.
-TRAIN_DOCS = 6000
+#: Labelled documents that a model is fitted on at most, those with the least hashes of doc_id, and their characters, of
+#: which the first document may have more.
+TRAIN_DOCS, TRAIN_CHARS = 6000, 40_000_000
 #: Features that a model has at most: those that tell the labels of the sample apart best.
 FEATURES = 2000
 #: Features in fewer sampled documents than this are passed over.
@@ -140,10 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     least = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    marked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(least), "doc_id")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # over the sample only
+    counted = marked.withColumns({"_chars": F.sum(F.length("text")).over(upto), "_nth": F.count("*").over(upto)})
     sample = cut(
-        docs.select("doc_id", text_or_empty().alias("text"))
-        .join(F.broadcast(least), "doc_id")
+        counted.where((F.col("_nth") == 1) | (F.col("_nth") <= train_docs) & (F.col("_chars") <= TRAIN_CHARS))
         .select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+        .repartition("text")
     )
     chosen = choose_features(sample)
 
@@ -189,16 +193,17 @@ def held_out() -> Column:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text, ...).
+    """(doc_id, held_out, score, predicted, sentences) for every row of ``docs`` (doc_id, text, ...).
 
     The model is fitted to rows that aren't held out; predicted is 1 where the score is one half or
-    more. Texts are the only input of a score: equal texts have equal scores, empty and null ones
-    0. Repeated rows and null ids stay (a null id isn't held out); no labels give one base score to
-    all sentences; no rows give no rows; other columns are ignored.
+    more; sentences are those that score one half or more by themselves, as start, stop (in characters), score. Texts are
+    the only input of a score: equal texts have equal scores, empty and null ones 0. A text of any length is scored whole.
+    Repeated rows and null ids stay (a null id isn't held out); no labels give one base score to all sentences; no rows
+    give no rows; other columns are ignored.
     """
     model = train(docs.where(~held_out()), labels.where(~held_out()), train_docs)
-    rows = docs.select("doc_id", held_out().alias("held_out"), toxicity(model).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select("doc_id", held_out().alias("held_out"), toxicity(model, spans=True).alias("located"))
+    return rows.select("doc_id", "held_out", "located.score", (F.col("located.score") >= 0.5).cast("int").alias("predicted"), "located.sentences")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from loamgraph.llm import toxicity as toxicity_module
 from loamgraph.llm.toxicity import Model, drop_toxic, features, fit_noisy_or, held_out, score_toxicity, toxicity, train
 from pyspark.sql import functions as F
 
@@ -65,6 +66,15 @@ def test_offending_sentences_and_filter(spark, documents):
     assert {r.doc_id % 2 if r.doc_id < 80 else 0 for r in kept.collect()} == {0} and kept.count() == 42
 
 
+def test_very_long_texts_are_scored_whole(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity_module, "TRAIN_CHARS", 50_000)
+    docs = documents(["this is fine. really", "this is trash. fine"] * 40 + ["fine words. " * 200_000 + "this is trash", "x" * 2_000_000])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).limit(80)
+    rows = {r.doc_id: r for r in score_toxicity(docs, labels).collect()}
+    assert rows[80].score > 0.5 and (rows[80].sentences[-1].start, rows[80].sentences[-1].stop) == (2_399_999, 2_400_013)
+    assert 0 <= rows[81].score <= 1 and [s.start for s in rows[1].sentences] == [0] and rows[0].sentences == []
+
+
 def test_odd_tables(spark, documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert score_toxicity(documents([]), none).count() == 0
@@ -72,4 +82,4 @@ def test_odd_tables(spark, documents):
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     odd = spark.createDataFrame([(None, 1), (2, None), (2, 1), (2, 0)], "doc_id long, toxic int")
     clash = spark.createDataFrame([(2, "a", 7, "x")], "doc_id long, text string, toxic int, score string")
-    assert score_toxicity(clash, odd).columns == ["doc_id", "held_out", "score", "predicted"]
+    assert score_toxicity(clash, odd).columns == ["doc_id", "held_out", "score", "predicted", "sentences"]
