@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -28,27 +28,37 @@ BLOCK = 1 << 16
 POSITIONS = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included.
+def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of a text's word shingles in their order, repeats included, BLOCK at a time.
 
-    Null and blank texts have fingerprint zero; a text of fewer than ``width`` words has one
-    shingle, its whole word sequence.
+    Null and blank texts have none; a text of fewer than ``width`` words has one shingle, its
+    whole word sequence.
     """
     words = (text or "").encode().lower().split()  # for bytes both mean ASCII only
     if not words:
-        return 0
+        return
     size = min(width, len(words))
     data = b" ".join(words)
     stops = np.cumsum([len(w) + 1 for w in words])
     starts = (stops - [len(w) + 1 for w in words])[: len(words) - size + 1].tolist()
     ends = (stops - 1)[size - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), BLOCK):
         spans = zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)
-        hashes = np.array([xxhash.xxh64_intdigest(data[i:j], SEED) for i, j in spans], "<u8")
+        yield np.array([xxhash.xxh64_intdigest(data[i:j], SEED) for i, j in spans], "<u8")
+
+
+def simhash(blocks: Iterable[np.ndarray]) -> int:
+    """The 64-bit SimHash of hashes that come in blocks; zero of none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    set_bits = ones * 2 > len(starts)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; zero for null and blank texts."""
+    return simhash(shingle_hashes(text, width))
 
 
 @F.pandas_udf(T.LongType())
