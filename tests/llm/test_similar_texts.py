@@ -2,8 +2,9 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from loamgraph.llm import similar_texts
-from loamgraph.llm.similar_texts import drop_similar, shingle_set, similar_documents
+from loamgraph.llm.similar_texts import _parity, drop_similar, shingle_set, similar_documents
 from test_simhash_dedup import brute_components, brute_fingerprint
 
 
@@ -59,6 +60,16 @@ def test_stage_drops_what_radius_three_leaves(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
 
 
+def test_parities_rule_out_no_link():
+    rng = random.Random(4)
+    for n in (0, 1, 7, 200, 5_000):
+        words = [str(rng.randrange(10**6)) for _ in range(n)]
+        other = [w if rng.random() < 0.98 else "x" for w in words] + words[: n // 9]
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+        bits = int(np.bitwise_count((_parity(a) ^ _parity(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (n != 200 or bits > 0)
+
+
 def test_odd_tables(documents):
     assert similar_documents(documents([])).count() == 0
     assert sorted(r.doc_id or -1 for r in drop_similar(documents(["a", "a", "a", "z"], [4, 5, None, None])).collect()) == [-1, -1, 4]
