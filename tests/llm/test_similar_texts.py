@@ -4,7 +4,7 @@ from itertools import combinations
 import corpus_pipeline
 import numpy as np
 from loamgraph.llm import similar_texts
-from loamgraph.llm.similar_texts import _parity, drop_similar, shingle_set, similar_documents
+from loamgraph.llm.similar_texts import _odd_bits, _parity, drop_similar, shingle_set, similar_documents
 from test_simhash_dedup import brute_components, brute_fingerprint
 
 
@@ -66,8 +66,16 @@ def test_parities_rule_out_no_link():
         words = [str(rng.randrange(10**6)) for _ in range(n)]
         other = [w if rng.random() < 0.98 else "x" for w in words] + words[: n // 9]
         a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
-        bits = int(np.bitwise_count((_parity(a) ^ _parity(b)).view(np.uint64)).sum())
-        assert bits <= len(np.setxor1d(a, b)) and (n != 200 or bits > 0)
+        bits = _odd_bits(_parity(a), _parity(b))
+        assert bits == _odd_bits(_parity(b), _parity(a)) <= len(np.setxor1d(a, b)) and (n < 200 or bits > 0)
+
+
+def test_parities_tell_long_texts_apart():
+    rng = random.Random(6)
+    for n in (200, 5_000, 40_000):
+        a = np.array([rng.getrandbits(63) for _ in range(n)])
+        b = np.concatenate([a[n // 6 :], np.array([rng.getrandbits(63) for _ in range(n // 6)])])
+        assert _odd_bits(_parity(a), _parity(b)) * 9 > 2 * n  # more than a similarity of 0.8 allows
 
 
 def test_odd_tables(documents):
