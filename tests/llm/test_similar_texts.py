@@ -40,8 +40,8 @@ def test_components_against_brute_force_jaccard(documents, monkeypatch):
     texts = edited_texts()
     label = groups(texts)
     assert len(set(label.values())) < len(texts) - 20
-    for sample in (10_000, 0):  # with and without frequent shingles known
-        monkeypatch.setattr(similar_texts, "SAMPLE", sample)
+    for frequent in (10_000, 0):  # with and without frequent shingles known
+        monkeypatch.setattr(similar_texts, "FREQUENT", frequent)
         assert {r.doc_id: r.component_id for r in similar_documents(documents(texts)).collect()} == label
 
 
