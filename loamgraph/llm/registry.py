@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, remove_folder, shared_folder, table
 from .decontaminate import leaks
+from .jaccard_join import jaccard_components
 from .license_scan import license_digest, scan_licenses
 from .lm_scoring import stupid_backoff
 from .packing import pack
 from .phrases import fingerprint_documents
+from .prefix_trie import prefix_trie
 from .quality_kn import classify_quality
 from .simhash_dedup import near_duplicates
 from .token_counts import prefix_token_counts
@@ -70,6 +72,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -83,12 +93,24 @@ QUERIES: dict[str, Query] = {
         op8_quality_classifier,
         op9_lm_scoring,
         op10_toxicity,
+        op11_prefix_trie,
+        op12_jaccard_join,
     )
 }
 
 _WORDS = "string_split_regex(lower(trim(coalesce(text, ''), ' \t\n\x0b\f\r')), '[ \\t-\\r]+')"
+_SPLIT = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+')"
 _BIT = "CAST(substr(bits, CAST(5 * i + {n} AS INT), 1) AS INT)"
 
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    code = f"hex(encode({text}))"
+    byte = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr({code}, CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295], {byte}), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: {bit})), 4294967295)"
+
+
 #: SQL that DuckDB runs for the same rows; the other operators are beyond SQL and tested by brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_arc_to_warc": """
@@ -127,4 +149,25 @@ p AS (SELECT *, lag(k1) OVER (PARTITION BY r ORDER BY i) AS p1, lag(k2) OVER (PA
 s AS (SELECT r, CASE WHEN i > 2 AND k3 > 0 THEN ln(k3 / p2) WHEN i > 1 AND k2 > 0 THEN (least(i, 3) - 2) * ln(0.4) + ln(k2 / p1)
     ELSE (least(i, 3) - 1) * ln(0.4) + CASE WHEN k1 > 0 THEN ln(k1 / others) ELSE -ln(others + 1) END END AS s FROM p)
 SELECT d.doc_id, count(s.r) AS n_tokens, round(coalesce(sum(s.s), 0), 3) + 0.0 AS log_score, round(avg(s.s), 6) + 0.0 AS score FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id""",
+    "op11_prefix_trie": f"""
+WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM c),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS turn FROM conversations),
+r AS (SELECT h.conv_id, 0 AS part, pos, turn FROM h JOIN t ON t.conv_id = base AND pos <= h UNION ALL SELECT h.conv_id, 1, pos, turn FROM h JOIN t ON t.conv_id = h.conv_id AND pos > h),
+f AS (SELECT c.conv_id, coalesce(s.seq, []) AS seq FROM c LEFT JOIN (SELECT conv_id, list(turn ORDER BY part, pos) AS seq FROM r GROUP BY conv_id) s ON s.conv_id = c.conv_id),
+m AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM f),
+n AS (SELECT depth, seq[1:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(seq) = depth) AS ends FROM m GROUP BY ALL),
+k AS (SELECT depth - 1 AS depth, node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * strlen(n.node[n.depth].text) ELSE 0 END AS saved FROM n LEFT JOIN k ON k.depth = n.depth AND k.node = n.node),
+s AS (SELECT d AS depth, node[1:d] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s ON s.depth = v.depth AND s.node = v.node LEFT JOIN v p ON p.depth = v.depth - 1 AND p.node = v.node[1:v.depth - 1]""",
+    "op12_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter({_SPLIT}, lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) < 5 THEN CASE WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS own FROM d),
+e AS (SELECT r, len(own) AS n, unnest(own) AS shingle FROM s),
+links AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r HAVING 180 * count(*) >= 80 * (any_value(a.n) + any_value(b.n))),
+least(r, c) USING KEY (r) AS (SELECT r, doc_id FROM s UNION SELECT l.b, min(x.c) FROM least x JOIN links l ON l.a = x.r JOIN recurring.least y ON y.r = l.b WHERE x.c < y.c GROUP BY l.b)
+SELECT s.doc_id, CAST(len(own) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN least USING (r)""",
 }
