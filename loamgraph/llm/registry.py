@@ -19,6 +19,7 @@ from .phrases import fingerprint_documents
 from .prefix_trie import prefix_trie
 from .quality_kn import classify_quality
 from .simhash_dedup import near_duplicates
+from .spelling import spelling_variants
 from .token_counts import prefix_token_counts
 from .toxicity import score_toxicity
 from .warc import archive_pages
@@ -80,6 +81,10 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op10_toxicity,
         op11_prefix_trie,
         op12_jaccard_join,
+        op13_spelling_variants,
     )
 }
 
@@ -170,4 +176,16 @@ e AS (SELECT r, len(own) AS n, unnest(own) AS shingle FROM s),
 links AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r HAVING 180 * count(*) >= 80 * (any_value(a.n) + any_value(b.n))),
 least(r, c) USING KEY (r) AS (SELECT r, doc_id FROM s UNION SELECT l.b, min(x.c) FROM least x JOIN links l ON l.a = x.r JOIN recurring.least y ON y.r = l.b WHERE x.c < y.c GROUP BY l.b)
 SELECT s.doc_id, CAST(len(own) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN least USING (r)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE o AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, n, {_crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM o),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND x.word <> y.word UNION
+    SELECT d.word, w.word FROM d JOIN w ON d.less = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.less = w.word),
+k AS (SELECT a, b, w.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, encode(b)) AS nth FROM p JOIN w ON w.word = b),
+f AS (SELECT w.word, w.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.n >= 10 * w.n THEN k.b END AS form, CASE WHEN k.n >= 10 * w.n THEN k.n END AS form_n FROM w LEFT JOIN k ON k.a = w.word AND nth = 1),
+r AS (SELECT word, word AS root FROM f UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.root WHERE e.form IS NULL""",
 }
