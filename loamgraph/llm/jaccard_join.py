@@ -110,9 +110,10 @@ def _answers(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     return links.unionByName(more).distinct()
 
 
-def linked_classes(index: Index, docs: DataFrame, width: int, percent: int, known: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) of classes that connect whatever sets of the index are similar enough. ``known`` links (a, b) of similar
-    sets spare comparisons. Sets are written to the shared folder for the classes that the index has, and removed."""
+def linked_classes(index: Index, docs: DataFrame, width: int, percent: int, candidates: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of classes that connect whatever sets of the index are similar enough. ``candidates`` (a, b), pairs of
+    the index's classes that are compared first, spare other comparisons. Sets are written to the shared folder for the
+    classes that the index has, and removed."""
     spark = docs.sparkSession
     posts = index.posts
     own = posts.where("at = 0").select("class", "n")
@@ -131,7 +132,9 @@ def linked_classes(index: Index, docs: DataFrame, width: int, percent: int, know
     followers = leaders.where("leader <> class").join(followed, ["leader", "class"]).dropDuplicates(["class"])
     heads = leaders.where("leader = class").select("leader", "class", none.alias("added"), none.alias("lost"))
     members = cut(followers.unionByName(heads).join(own, "class"))
-    first = reduce(DataFrame.unionByName, [x.select(*ENDS) for x in links] + ([known.select(*ENDS)] if known is not None else []))
+    if candidates is not None:
+        links.append(_overlaps(candidates, sets).where(_enough(F.col("both"), F.col("n_a") + F.col("n_b"), percent)))
+    first = reduce(DataFrame.unionByName, [x.select(*ENDS) for x in links])
     first = cut(first.distinct())
     parts = connected_components(first, *ENDS).toDF("leader", "component")
     parts = cut(leaders.select("leader").distinct().join(parts, "leader", "left").select("leader", F.coalesce("component", "leader").alias("component")))
