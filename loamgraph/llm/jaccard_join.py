@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, freeing_shuffles, remove_folder, shared_folder, text_or_empty
-from .rare_shingles import Index, rare_index, sets_of
+from .rare_shingles import PARITY, Index, rare_index, sets_of
 from loamgraph.operators.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -18,6 +18,10 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 #: Rounds in which sets look for a leader. More make fewer and larger clusters; links are found with any.
 ROUNDS = 2
+#: Rounds in which sets of lists that have several components are compared with one of another component, at most.
+BRIDGES = 3
+#: Lists of more places than this compare parities before pairs leave them.
+LONG = 32
 ENDS = ("a", "b")
 
 
@@ -55,29 +59,59 @@ def _clusters(members: DataFrame) -> DataFrame:
     return members.groupBy("leader").agg(F.count("*").alias("n_members"), F.max(F.size("added")).alias("most"), F.min("n").alias("least"))
 
 
-def _leader_pairs(posts: DataFrame, leaders: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _bridged(posts: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` (a, b) with more of them between components: each round, a set asks one of another component that a list of
+    its has, another one each time. The time goes by sets, not pairs, and most components that belong together meet."""
+    left = posts.select("token", "class")
+    for turn in range(BRIDGES):
+        parts = connected_components(links, *ENDS).toDF("class", "component")
+        placed = left.join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        head = F.struct(F.xxhash64("component", F.lit(turn)).alias("order"), F.xxhash64("class", F.lit(turn)).alias("nth"), "component", "class")
+        ends = placed.groupBy("token").agg(F.min(head).alias("low"), F.max(head).alias("high")).where("low.component <> high.component")
+        listed = cut(placed.join(ends, "token"))
+        left = listed.select("token", "class")
+        other = F.when(F.col("component") == F.col("low.component"), F.col("high.class")).otherwise(F.col("low.class"))
+        asked = listed.select("class", F.xxhash64("token", F.lit(turn)).alias("order"), other.alias("other")).groupBy("class").agg(F.min_by("other", "order").alias("other"))
+        pairs = asked.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+        found = cut(_overlaps(pairs, sets).where(_enough(F.col("both"), F.col("n_a") + F.col("n_b"), percent)).select(*ENDS))
+        if found.isEmpty():
+            break
+        links = cut(links.unionByName(found))
+    return links
+
+
+def _odd_bits(end_a: str, end_b: str) -> Column:
+    """The bits in which two parities differ: no more than the shingles in which their sets do."""
+    return reduce(Column.__add__, (F.bit_count(F.get(end_a, i).bitwiseXOR(F.get(end_b, i))) for i in range(PARITY // 64)))
+
+
+def _leader_pairs(posts: DataFrame, members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of leaders in different components of whose clusters two sets may be similar, as far as their places
     in a list tell.
 
-    Lists are cut into blocks by size and by place. Sets at places i and j of m_a and m_b can have no more in common than
-    min(i, j) + 1 + min(m_a - 1 - i, m_b - 1 - j); whole blocks are passed over by the greatest of these, then clusters.
+    Lists are cut into blocks by size and by place. Sets that meet first after i and j of m_a and m_b can have no more in
+    common than min(m_a - i, m_b - j); whole blocks are passed over by the greatest of these, then clusters. Lists of
+    more than LONG places also compare parities in the join, so that only pairs that may be similar leave it.
     """
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(1.05, 100 / percent))))
-    listed = posts.join(leaders, "class").join(parts, "leader").withColumns({"size": size, "place": F.floor(F.log2(F.col("at") + 1.0)), "after": F.col("m") - 1 - F.col("at")})
-    mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    entries = cut(
-        listed.join(mixed, "token", "left_semi").groupBy("token", "size", "place", "leader", "component")
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("at").alias("before"), F.max("after").alias("after"))
-    )
-    blocks = entries.groupBy("token", "size", "place").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("before").alias("before"), F.max("after").alias("after"))
-    named = lambda df, end, keep=(): df.select(*keep, *(F.col(c).alias(f"{c}_{end}") for c in df.columns if c not in keep))
-    may = _enough(F.least("before_a", "before_b") + 1 + F.least("after_a", "after_b"), F.col("least_a") + F.col("least_b"), percent)
+    listed = posts.join(members.select("class", "leader"), "class").join(parts, "leader").withColumns({"size": size, "place": F.floor(F.log2(F.col("at") + 1.0)), "after": F.col("m") - F.col("at")})
+    mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.count("*") > LONG).alias("long")).where("low < high").select("token", "long")
+    entries = cut(listed.join(mixed, "token").groupBy("token", "long", "size", "place", "leader", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("after").alias("after")))
+    apart = members.groupBy("leader").agg(F.max(F.size("added") + F.size("lost")).alias("apart"))
+    sketches = sets.select(F.col("class").alias("leader"), "odd").join(apart, "leader")
+    named = lambda df, end: df.select("token", *(F.col(c).alias(f"{c}_{end}") for c in df.columns if c not in ("token", "long")))
+    may = _enough(F.least("after_a", "after_b"), F.col("least_a") + F.col("least_b"), percent)
     sized = (F.col("least_a") * percent <= F.col("most_b") * 100) & (F.col("least_b") * percent <= F.col("most_a") * 100)
     once = F.struct("size_a", "place_a") <= F.struct("size_b", "place_b")
-    met = named(blocks, "a", ("token",)).join(named(blocks, "b", ("token",)), "token").where(once & sized & may).select("token", "size_a", "place_a", "size_b", "place_b")
-    left, right = (named(entries, end, ("token",)) for end in ENDS)
-    pairs = met.join(left, ["token", "size_a", "place_a"]).join(right, ["token", "size_b", "place_b"]).where((F.col("component_a") != F.col("component_b")) & sized & may)
-    return pairs.select(F.least("leader_a", "leader_b").alias("a"), F.greatest("leader_a", "leader_b").alias("b")).distinct()
+    differ = _odd_bits("odd_a", "odd_b") - F.col("apart_a") - F.col("apart_b")
+    found = []
+    for rows, also in ((entries.where("not long"), F.lit(True)), (entries.where("long").join(sketches, "leader"), differ * (100 + percent) <= (F.col("most_a") + F.col("most_b")) * (100 - percent))):
+        blocks = rows.groupBy("token", "size", "place").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("after").alias("after"))
+        met = named(blocks, "a").join(named(blocks, "b"), "token").where(once & sized & may).select("token", "size_a", "place_a", "size_b", "place_b")
+        pairs = met.join(named(rows, "a"), ["token", "size_a", "place_a"]).join(named(rows, "b"), ["token", "size_b", "place_b"])
+        other = (F.col("component_a") != F.col("component_b")) & (~F.struct("size_a", "place_a").eqNullSafe(F.struct("size_b", "place_b")) | (F.col("leader_a") < F.col("leader_b")))
+        found.append(pairs.where(other & sized & may & also).select(F.least("leader_a", "leader_b").alias("a"), F.greatest("leader_a", "leader_b").alias("b")))
+    return found[0].unionByName(found[1]).distinct()
 
 
 def _answers(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,7 +154,8 @@ def linked_classes(index: Index, docs: DataFrame, width: int, percent: int, cand
     firsts = index.rows.join(own.select("class"), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     folder = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
     sets_of(docs, cut(firsts), width).write.parquet(folder)
-    sets = spark.read.schema("class long, shingles array<long>").parquet(folder)
+    known = spark.read.schema("class long, shingles array<long>, odd array<long>").parquet(folder)
+    sets = known.drop("odd")
 
     leaders = own.select("class", F.col("class").alias("leader"))
     links = []
@@ -135,10 +170,10 @@ def linked_classes(index: Index, docs: DataFrame, width: int, percent: int, cand
     if candidates is not None:
         links.append(_overlaps(candidates, sets).where(_enough(F.col("both"), F.col("n_a") + F.col("n_b"), percent)))
     first = reduce(DataFrame.unionByName, [x.select(*ENDS) for x in links])
-    first = cut(first.distinct())
+    first = _bridged(posts, sets, cut(first.distinct()), percent)
     parts = connected_components(first, *ENDS).toDF("leader", "component")
     parts = cut(leaders.select("leader").distinct().join(parts, "leader", "left").select("leader", F.coalesce("component", "leader").alias("component")))
-    pairs = cut(_leader_pairs(posts, leaders, parts, percent))
+    pairs = cut(_leader_pairs(posts, members, parts, known.drop("shingles"), percent))
     result = cut(first.unionByName(_answers(pairs, members, sets, percent)))
     remove_folder(spark, folder)
     return result
@@ -164,8 +199,9 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     that repeat a doc_id are documents of their own; null ids are passed over as component_id unless there is no other.
     Other columns are ignored, an empty table gives no rows, and texts are read whole whatever their length.
 
-    Distinct sets only are compared: sets that others follow as leaders first, then, where components are left apart,
-    pairs of leaders, from whose answers those of their followers are derived. No link between components is missed.
+    Distinct sets only are compared: with sets that others follow as leaders first, then with one of another component at
+    a time, and then, where components are left apart, by pairs of leaders, from whose answers those of their followers are
+    derived. No link between components is missed.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")

@@ -21,6 +21,8 @@ from .simhash_dedup import SEED, shingle_hashes, simhash
 FLUSH, BUCKET = 1 << 21, 1 << 21
 #: Documents whose sets are needed are marked among so many bits, sent to all tasks; most others are passed over unhashed.
 MARKS = 1 << 24
+#: Bits of a set's parity.
+PARITY = 1024
 DEALT = "bucket int, tokens binary, classes binary, counts binary, ids array<long>, sizes binary, folded binary, prints binary"
 COUNTED = "class long, tokens array<long>, of array<int>, doc_id long, n int, folded int, simhash long"
 
@@ -207,7 +209,8 @@ def _marks(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """(class, shingles), once for each class of ``firsts`` (class, doc_id), from a document of that id."""
+    """(class, shingles, odd), once for each class of ``firsts`` (class, doc_id), from a document of that id. Bit i of odd, a
+    row of longs, tells whether an odd number of shingles falls on it."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(firsts))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +218,8 @@ def sets_of(docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
             low = batch["id"].to_numpy() & MARKS - 1
             wanted = (marks.value[low >> 5] >> (low & 31).astype(np.uint32) & 1).nonzero()[0]
             sets = [shingle_set(batch["text"][i].as_py(), width) for i in wanted.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), lists(sets)], ["class", "shingles"])
+            odd = [np.packbits((np.bincount(s & PARITY - 1, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), lists(sets), lists(odd)], ["class", "shingles", "odd"])
 
-    found = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("id"), "text").mapInArrow(read, "class long, shingles array<long>")
-    return found.join(firsts, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    found = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("id"), "text").mapInArrow(read, "class long, shingles array<long>, odd array<long>")
+    return found.join(firsts, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("odd").alias("odd"))
