@@ -22,6 +22,8 @@ ROUNDS = 2
 BRIDGES = 3
 #: Lists of more places than this compare parities before pairs leave them.
 LONG = 32
+#: Of a set's places so many are looked at for lists in which two sets met before.
+EARLIER = 64
 ENDS = ("a", "b")
 
 
@@ -90,28 +92,35 @@ def _leader_pairs(posts: DataFrame, members: DataFrame, parts: DataFrame, sets:
     in a list tell.
 
     Lists are cut into blocks by size and by place. Sets that meet first after i and j of m_a and m_b can have no more in
-    common than min(m_a - i, m_b - j); whole blocks are passed over by the greatest of these, then clusters. Lists of
-    more than LONG places also compare parities in the join, so that only pairs that may be similar leave it.
+    common than min(m_a - i, m_b - j); blocks without one that this allows them are passed over, then clusters. Lists of
+    more than LONG places also compare parities in the join, and pass over sets that met in an earlier list, so that
+    pairs that may be similar leave it, and once.
     """
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(1.05, 100 / percent))))
     listed = posts.join(members.select("class", "leader"), "class").join(parts, "leader").withColumns({"size": size, "place": F.floor(F.log2(F.col("at") + 1.0)), "after": F.col("m") - F.col("at")})
     mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.count("*") > LONG).alias("long")).where("low < high").select("token", "long")
-    entries = cut(listed.join(mixed, "token").groupBy("token", "long", "size", "place", "leader", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("after").alias("after")))
-    apart = members.groupBy("leader").agg(F.max(F.size("added") + F.size("lost")).alias("apart"))
-    sketches = sets.select(F.col("class").alias("leader"), "odd").join(apart, "leader")
-    named = lambda df, end: df.select("token", *(F.col(c).alias(f"{c}_{end}") for c in df.columns if c not in ("token", "long")))
+    block = ["token", "size", "place"]
+    entries = cut(listed.join(mixed, "token").groupBy(*block, "long", "leader", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("after").alias("after"), F.min("at").alias("at")))
     may = _enough(F.least("after_a", "after_b"), F.col("least_a") + F.col("least_b"), percent)
     sized = (F.col("least_a") * percent <= F.col("most_b") * 100) & (F.col("least_b") * percent <= F.col("most_a") * 100)
-    once = F.struct("size_a", "place_a") <= F.struct("size_b", "place_b")
+    named = lambda df, end, keys=("token",): df.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in df.columns if c not in keys))
+    blocks = entries.groupBy(*block).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("after").alias("after"), F.count("*").alias("of"))
+    own = F.struct("size_a", "place_a").eqNullSafe(F.struct("size_b", "place_b"))
+    met = named(blocks, "a").join(named(blocks, "b"), "token").where(sized & may & (~own | (F.col("of_a") > 1)))
+    kept = entries.join(met.select("token", F.col("size_a").alias("size"), F.col("place_a").alias("place")).distinct(), block, "left_semi").drop("size", "place")
+    other = (F.col("component_a") != F.col("component_b")) & (F.col("leader_a") < F.col("leader_b"))
+
+    apart = members.groupBy("leader").agg(F.max(F.size("added") + F.size("lost")).alias("apart"), F.count("*").alias("of"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])
+    first = posts.where(F.col("at") < EARLIER).groupBy(F.col("class").alias("leader")).agg(ordered.alias("first"))
+    sketches = sets.select(F.col("class").alias("leader"), "odd").join(apart, "leader").join(first, "leader")
+    # of a leader with followers it isn't known which of them has met
+    earlier = F.when(F.col("of") == 1, F.slice("first", 1, F.least(F.col("at"), F.lit(EARLIER)))).otherwise(F.slice("first", 1, 0))
+    long = kept.where("long").join(sketches, "leader").withColumn("earlier", earlier).drop("of", "first", "at", "long")
     differ = _odd_bits("odd_a", "odd_b") - F.col("apart_a") - F.col("apart_b")
-    found = []
-    for rows, also in ((entries.where("not long"), F.lit(True)), (entries.where("long").join(sketches, "leader"), differ * (100 + percent) <= (F.col("most_a") + F.col("most_b")) * (100 - percent))):
-        blocks = rows.groupBy("token", "size", "place").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("after").alias("after"))
-        met = named(blocks, "a").join(named(blocks, "b"), "token").where(once & sized & may).select("token", "size_a", "place_a", "size_b", "place_b")
-        pairs = met.join(named(rows, "a"), ["token", "size_a", "place_a"]).join(named(rows, "b"), ["token", "size_b", "place_b"])
-        other = (F.col("component_a") != F.col("component_b")) & (~F.struct("size_a", "place_a").eqNullSafe(F.struct("size_b", "place_b")) | (F.col("leader_a") < F.col("leader_b")))
-        found.append(pairs.where(other & sized & may & also).select(F.least("leader_a", "leader_b").alias("a"), F.greatest("leader_a", "leader_b").alias("b")))
-    return found[0].unionByName(found[1]).distinct()
+    alike = (differ * (100 + percent) <= (F.col("most_a") + F.col("most_b")) * (100 - percent)) & ~F.arrays_overlap("earlier_a", "earlier_b")
+    found = [named(rows, "a").join(named(rows, "b"), "token").where(other & sized & may & also) for rows, also in ((kept.where("not long").drop("at", "long"), F.lit(True)), (long, alike))]
+    return found[0].select("leader_a", "leader_b").unionByName(found[1].select("leader_a", "leader_b")).toDF(*ENDS).distinct()
 
 
 def _answers(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
