@@ -30,14 +30,15 @@ class WindowSplit:
         return 2 * self.task
 
 
-def rendered(purpose: str = "decide_hub", focus: bool = True) -> Column:
-    summary = F.lit(None).cast("string")
+def rendered(nodes: DataFrame, purpose: str = "decide_hub", focus: bool = True) -> Column:
+    """The text of a row of ``nodes``, by its summary (a struct with a text) where they have any."""
+    summary = F.col("summary.text") if "summary" in nodes.columns else F.lit(None).cast("string")
     return tx.render_node(F.col("id"), F.col("name"), F.col("content"), summary, purpose, F.lit(focus))
 
 
 def node_costs(nodes: DataFrame, family: str = "unknown") -> DataFrame:
     """(id, tokens): what a node costs as the focus of a fission decision."""
-    return nodes.select("id", tx.estimate(rendered(), family).alias("tokens"))
+    return nodes.select("id", tx.estimate(rendered(nodes), family).alias("tokens"))
 
 
 def named_edges(graph: Graph) -> DataFrame:
@@ -79,20 +80,33 @@ def over_budget(graph: Graph, budget: int, family: str = "unknown") -> DataFrame
     return hierarchy_costs(graph, family).where(F.col("tokens") > budget)
 
 
+#: Lengths of a node's text in full and, as a member, in short.
+SIZES = ["cjk", "len", "s_cjk", "s_len"]
+
+
+def sized_texts(nodes: DataFrame) -> DataFrame:
+    """(id, name, content, cjk, len, s_cjk, s_len) of ``nodes``."""
+    full, short = rendered(nodes), rendered(nodes, focus=False)
+    sizes = (tx.cjk_length(full), F.length(full), tx.cjk_length(short), F.length(short))
+    return nodes.select("id", "name", "content", *(c.alias(n) for n, c in zip(SIZES, sizes, strict=True)))
+
+
+def tokens_of(family: str = "unknown") -> Column:
+    """Tokens of a neighbourhood from its node's lengths (cjk, len) and its members' sums (members, m_cjk, m_len), with a
+    newline between lines."""
+    return tx.estimate_from_lengths(F.col("cjk") + F.col("m_cjk"), F.col("len") + F.col("m_len") + F.col("members"), family)
+
+
 def neighbourhood_costs(graph: Graph, family: str = "unknown") -> DataFrame:
     """(id, members, tokens) of the one text that renders a node in full and its members in short.
 
-    The estimate isn't additive, so lengths are summed, with a newline between lines.
+    The estimate isn't additive, so lengths are summed.
     """
-    full, short = rendered(), rendered(focus=False)
-    lengths = lambda line: [tx.cjk_length(line).alias("cjk"), F.length(line).alias("len")]
-    own = graph.nodes.select("id", *lengths(full))
-    members = graph.drill_down().join(graph.nodes.select(F.col("id").alias("child"), *lengths(short)), "child").groupBy("me").agg(
-        F.count("*").alias("members"), F.sum("cjk").alias("m_cjk"), F.sum("len").alias("m_len")
-    )
+    own = sized_texts(graph.nodes)
+    short = own.select(F.col("id").alias("child"), "s_cjk", "s_len")
+    members = graph.drill_down().join(short, "child").groupBy("me").agg(F.count("*").alias("members"), F.sum("s_cjk").alias("m_cjk"), F.sum("s_len").alias("m_len"))
     joined = own.join(members, F.col("id") == F.col("me"), "left").na.fill(0, ["members", "m_cjk", "m_len"])
-    tokens = tx.estimate_from_lengths(F.col("cjk") + F.col("m_cjk"), F.col("len") + F.col("m_len") + F.col("members"), family)
-    return joined.select("id", "members", tokens.alias("tokens"))
+    return joined.select("id", "members", tokens_of(family).alias("tokens"))
 
 
 def trim_prefix(rows: DataFrame, keys: list[str], order: str, cost: str, budget: int) -> DataFrame:
@@ -137,7 +151,7 @@ def render_facts(nodes: DataFrame, edges: DataFrame, names: DataFrame, keys: lis
 
     nodes: keys, pos and node columns; edges: keys, pos, source_id, target_id; names: id, name.
     """
-    node_line = F.substring(rendered("select_facts"), 2, 1 << 30)
+    node_line = F.substring(rendered(nodes, "select_facts"), 2, 1 << 30)
     known = names.select("id", "name")
     edge_rows = edges.join(known.toDF("source_id", "s_name"), "source_id", "left").join(known.toDF("target_id", "t_name"), "target_id", "left")
     edge_line = F.concat(F.lit(" "), tx.render_edge(F.col("s_name"), F.col("t_name"), F.col("source_id"), F.col("target_id")))

@@ -27,6 +27,12 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
+def shaped(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``like``, null where there are none."""
+    have = set(rows.columns)
+    return rows.select(*(F.col(f"`{c}`") if c in have else F.lit(None).cast(t).alias(c) for c, t in like.dtypes))
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame
@@ -136,21 +142,35 @@ class Graph:
     def with_nodes(self, added: DataFrame) -> Graph:
         """Insert or replace nodes by id; of rows with one id the last by seq holds."""
         check_classes(added)
-        return Graph(latest(self.nodes.unionByName(added), ["id"]), self.edges)
+        return Graph(latest(self.nodes.unionByName(added, allowMissingColumns=True), ["id"]), self.edges)
 
     def with_edges(self, added: DataFrame) -> Graph:
-        """Add edges by the rules of ``valid_edges``; known ones win over added ones."""
+        """Add edges by the rules of ``valid_edges``; known ones win over added ones. Columns that only one side has stay."""
         known = self.edges.withColumn("seq", F.lit(0).cast("long"))
         fresh = added.withColumn("seq", F.monotonically_increasing_id() + 1) if "seq" not in added.columns else added.withColumn("seq", F.col("seq") + 1)
-        return Graph(self.nodes, valid_edges(known.unionByName(fresh), self.nodes).select(self.edges.columns))
+        both = known.unionByName(fresh, allowMissingColumns=True)
+        return Graph(self.nodes, valid_edges(both, self.nodes).select([c for c in both.columns if c != "seq"]))
 
     def updated_nodes(self, changes: DataFrame) -> Graph:
         """``changes`` has id and some columns of nodes; null means unchanged, unknown ids nothing."""
-        named = [c for c in changes.columns if c != "id" and c in self.nodes.columns]
-        new = changes.select("id", *(F.col(c).alias(f"_{c}") for c in named))
-        joined = self.nodes.join(new, "id", "left")
-        values = [F.coalesce(f"_{c}", c).alias(c) if c in named else F.col(c) for c in self.nodes.columns]
-        return Graph(joined.select(values), self.edges)
+        if "node_class" in changes.columns:
+            check_classes(changes)
+        return Graph(_updated(self.nodes, changes), self.edges)
+
+    def updated_edges(self, changes: DataFrame) -> Graph:
+        """The same for edges; an unknown type, or a mutex edge between others than facts, is an error."""
+        edges = _updated(self.edges, changes)
+        touched = edges.join(changes.select("id"), "id", "left_semi")
+        bad = edge_faults(touched, self.nodes).where("fault in ('unknown type', 'mutex needs facts')").limit(1).collect()
+        if bad:
+            raise ValueError(f"edge {bad[0].id}: {bad[0].fault}")
+        return Graph(self.nodes, edges)
+
+
+def _updated(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    named = [c for c in changes.columns if c != "id" and c in rows.columns]
+    joined = rows.join(changes.select("id", *(F.col(c).alias(f"_{c}") for c in named)), "id", "left")
+    return joined.select([F.coalesce(f"_{c}", c).alias(c) if c in named else F.col(f"`{c}`") for c in rows.columns])
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as tx
-from loamgraph.operators.graph import ROOT, Graph, is_core
+from loamgraph.operators.graph import ROOT, Graph, is_core, shaped
 from loamgraph.operators.ingest import roots_to_hang
 from loamgraph.operators.link import links_to_apply
 
@@ -29,11 +29,10 @@ def rooted(graph: Graph, changed: DataFrame | None = None) -> Graph:
     values = {"id": ROOT, "name": ROOT, "content": "", "node_class": "concept", "hub": True, "seq": -1}
     schema = graph.nodes.select(*values).schema
     made = graph.nodes.sparkSession.createDataFrame([tuple(values.values())], schema)
-    fresh = made.join(graph.nodes.select("id"), "id", "left_anti").withColumns({c: F.lit(None).cast(t) for c, t in graph.nodes.dtypes if c not in values})
-    nodes = graph.nodes.unionByName(fresh.select(graph.nodes.columns))
+    nodes = graph.nodes.unionByName(shaped(made.join(graph.nodes.select("id"), "id", "left_anti"), graph.nodes))
     loose = roots_to_hang(graph, graph.nodes if changed is None else changed).where(F.col("id") != ROOT)
     hung = loose.select(F.concat(F.lit(f"{ROOT}>"), "id", F.lit(":assoc")).alias("id"), F.lit(ROOT).alias("source_id"), F.col("id").alias("target_id"), F.lit("assoc").alias("type"), F.lit(0.0).alias("priority"))
-    return Graph(nodes, graph.edges.unionByName(hung.withColumns({c: F.lit(None).cast(t) for c, t in graph.edges.dtypes if c not in hung.columns}).select(graph.edges.columns)))
+    return Graph(nodes, graph.edges.unionByName(shaped(hung, graph.edges)))
 
 
 def stale_summaries(nodes: DataFrame) -> DataFrame:
@@ -69,4 +68,4 @@ def with_links(graph: Graph, candidates: DataFrame, least: float = 0.8) -> Graph
     chosen = links_to_apply(graph, candidates, least)
     edges = chosen.select(F.concat("source_id", F.lit(">"), "target_id", F.lit(":assoc")).alias("id"), "source_id", "target_id", F.lit("assoc").alias("type"), F.lit(0.0).alias("priority"))
     fresh = edges.join(graph.edges.select("id"), "id", "left_anti")
-    return Graph(graph.nodes, graph.edges.unionByName(fresh.withColumns({c: F.lit(None).cast(t) for c, t in graph.edges.dtypes if c not in fresh.columns}).select(graph.edges.columns)))
+    return Graph(graph.nodes, graph.edges.unionByName(shaped(fresh, graph.edges)))

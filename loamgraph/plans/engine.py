@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import budget, compact, ingest, iterate, link, maintain, quality, search
 from loamgraph.operators.graph import Graph
-from loamgraph.sources import store
+from loamgraph.sources import changes, store
 
 #: Points at which functions are plugged in, all from DataFrames to a DataFrame, but for "maintenance"
 #: and "compaction", which take and give a Graph.
@@ -73,7 +73,7 @@ class Engine:
     def from_folder(cls, spark: SparkSession, folder: str, **settings) -> Engine:
         for warning in store.provenance_warnings(store.meta(spark, folder), {}):
             warnings.warn(warning, stacklevel=2)
-        return cls(spark, store.without_dangling(store.load(spark, folder)), **settings)
+        return cls(spark, store.without_dangling(changes.load(spark, folder)), done=changes.done(spark, folder), **settings)
 
     def aliases(self) -> DataFrame | None:
         if "aliases" not in self.graph.nodes.columns:
@@ -141,13 +141,14 @@ class Engine:
         for f in self.registry.all("write_preprocess"):
             inputs = f(inputs)
         applied = ingest.apply(self.graph, inputs, decisions, drafts, sources, self.done)
-        grown = Graph(iterate.cut(applied.graph.nodes), iterate.cut(applied.graph.edges))
-        return replace(self, graph=grown, done=iterate.cut(applied.done)).compacted()
+        touched = applied.new_nodes.select("id")
+        return replace(self, graph=applied.graph, done=iterate.cut(applied.done)).compacted(touched)
 
     def update_document(self, doc_id: str, chunks: DataFrame, decisions: DataFrame, drafts: DataFrame | None = None) -> Engine:
         """Ingest what is new or changed of a document's ``chunks`` (chunk_id, content), and let nodes forget the chunks
         that it no longer has; ``decisions`` name inputs as ``<doc_id>/<chunk_id>``. Nothing is deleted: see ``purged``."""
         name = F.concat(F.lit(f"{doc_id}/"), "chunk_id")
+        chunks = chunks.select("chunk_id", "content")
         inputs = chunks.select(name.alias("ingest_id"), "content", F.lit(None).cast("string").alias("ts"), F.lit(doc_id).alias("doc_id"), "chunk_id")
         grown = self.ingest(inputs, decisions, drafts)
         nodes = ingest.pruned_sources(ingest.with_optional(grown.graph.nodes), doc_id, ingest.chunk_keys(chunks))
@@ -159,8 +160,9 @@ class Engine:
         """Without nodes that had sources and have none left, and without their edges."""
         return replace(self, graph=self.graph.without_nodes(ingest.orphans(ingest.with_optional(self.graph.nodes)).select("id")))
 
-    def compacted(self) -> Engine:
-        graph = compact.compact(self.graph, self.task_budget, self.decider)
+    def compacted(self, changed: DataFrame | None = None) -> Engine:
+        """With neighbourhoods beyond the budget split: all, or those that ``changed`` nodes (id) are in."""
+        graph = compact.compact(self.graph, self.task_budget, self.decider, changed=changed)
         for f in self.registry.all("compaction"):
             graph = f(graph)
         return replace(self, graph=graph)
@@ -184,4 +186,5 @@ class Engine:
         return quality.graph_quality(self.graph)
 
     def save(self, folder: str) -> None:
-        store.save(self.graph, folder)
+        """The next version of the graph in ``folder``, with what was ingested."""
+        store.save(self.graph, folder, done=self.done)

@@ -910,7 +910,7 @@ def purge_orphans(spark, sf_dir):
     f"""{GRAPH_SQL}, d AS (SELECT c_custkey AS pos, c_nationkey AS k, CASE c_custkey % 3 WHEN 0 THEN ' ' || upper(c_name) || ' ' ELSE 'Topic ' || c_mktsegment END AS name,
       CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' more' ELSE 'about ' || c_mktsegment || ' ' || c_nationkey || '.' END AS content FROM customer WHERE c_custkey % 3 < 2),
     known AS (SELECT name, content || chr(10) || content || ' more' AS content, 1 AS names FROM nodes JOIN customer ON id = 'c:' || c_custkey WHERE c_custkey % 3 = 0),
-    parts AS (SELECT name, content, min(pos) AS first FROM d WHERE name LIKE 'Topic %' GROUP BY name, content)
+    parts AS (SELECT DISTINCT name, content, 'i' || k AS first FROM d WHERE name LIKE 'Topic %')
     SELECT name, content, CAST(names AS INT) AS names FROM known UNION ALL SELECT name, string_agg(content, chr(10) ORDER BY first), 0 FROM parts GROUP BY name"""
 )
 def ingest_apply(spark, sf_dir):
@@ -927,6 +927,29 @@ def ingest_apply(spark, sf_dir):
     return changed.select("name", "content", F.size("aliases").alias("names"))
 
 
+@query(
+    """WITH d AS (SELECT 'i' || c_nationkey AS i, c_custkey AS pos, w || ' ' || c_mktsegment AS name, 'about ' || c_custkey || '.' AS content FROM customer, (VALUES ('First'), ('Second')) t(w))
+    SELECT 'concept' AS node_class, name, string_agg(content, chr(10) ORDER BY i, pos) AS content, count(DISTINCT i) AS endorsed FROM d GROUP BY name
+    UNION ALL SELECT 'event', n_name || ' ' || w, n_name || ' ' || w, 0 FROM nation, (VALUES ('First'), ('Second')) t(w)"""
+)
+def ingest_twice(spark, sf_dir):
+    """Two ingests under the same names and places: what the first brought is there after the second, with its endorsements."""
+    c, nation = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    none = F.lit(None).cast("string")
+    g = graph_of(spark, sf_dir)
+    before = g.nodes.select("id")
+    for word in ("First", "Second"):
+        inputs = nation.select(F.concat(F.lit("i"), F.col("n_nationkey").cast("string")).alias("ingest_id"), F.concat("n_name", F.lit(f" {word}")).alias("content"), F.lit("2026").alias("ts"))
+        decisions = c.select(
+            F.concat(F.lit("i"), F.col("c_nationkey").cast("string")).alias("ingest_id"), F.col("c_custkey").alias("pos"), F.lit("create").alias("action"), F.concat(F.lit(f"{word} "), "c_mktsegment").alias("name"),
+            F.concat(F.lit("about "), F.col("c_custkey").cast("string"), F.lit(".")).alias("content"), none.alias("target_id"), none.alias("node_class"),
+        )
+        g = ingest.apply(g, inputs, decisions).graph
+    new = g.nodes.join(before, "id", "left_anti").select("id", "node_class", "name", "content")
+    endorsed = g.edges.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("endorsed"))
+    return new.join(endorsed, "id", "left").select("node_class", "name", "content", F.coalesce("endorsed", F.lit(0).cast("long")).alias("endorsed"))
+
+
 @query(
     f"""{GRAPH_SQL}, s AS (SELECT doc_id, CAST(doc_id % 7 AS VARCHAR) AS chunk, CASE WHEN doc_id % 14 < 7 THEN 'new' ELSE 'old' END AS hash FROM documents)
     SELECT 'd:' || doc_id AS id, CAST(CASE WHEN (chunk IN ('0', '1') AND hash = 'new') OR doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS kept FROM s"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loamgraph.operators.graph import Graph
 from loamgraph.operators.ingest import flush
 from loamgraph.operators.shared import remove_folder
+from loamgraph.sources.ledger import COLUMNS, bucketed
 
 NODE_COLUMNS = ["id", "name", "content", "node_class", "hub", "doc_id", "event_ts", "seq"]
 EDGE_COLUMNS = ["id", "source_id", "target_id", "type", "priority"]
@@ -33,16 +34,19 @@ def versions(spark: SparkSession, folder: str) -> list[int]:
         return []
 
 
-def save(graph: Graph, folder: str, extensions: Mapping[str, str] | None = None) -> int:
+def save(graph: Graph, folder: str, extensions: Mapping[str, str] | None = None, done: DataFrame | None = None, keep_meta: bool = False) -> int:
     """Write all of a graph, columns beyond the usual ones too, as the next version, and return its number. The
-    folder may be the one that the graph was loaded from. ``extensions``, names and versions, go into meta."""
+    folder may be the one that the graph was loaded from. ``extensions``, names and versions, go into meta, unless meta
+    stays as it was. ``done`` (doc_id, chunk_id, content_hash) are the chunks ingested so far, kept by bucket."""
     spark = graph.nodes.sparkSession
     before = versions(spark, folder)
     version = before[-1] + 1 if before else 0
     at = f"{folder}/v={version}"
     graph.nodes.write.mode("overwrite").partitionBy("node_class").parquet(f"{at}/nodes")
     graph.edges.write.mode("overwrite").partitionBy("type").parquet(f"{at}/edges")
-    now = spark.createDataFrame(list(provenance(extensions or {}).items()), "key string, value string")
+    if done is not None:
+        bucketed(done.select(COLUMNS)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/done")
+    now = spark.createDataFrame([] if keep_meta else list(provenance(extensions or {}).items()), "key string, value string")
     write_meta(meta(spark, folder), now).write.mode("overwrite").parquet(f"{at}/meta")
     spark.createDataFrame([(version,)], "v long").coalesce(1).write.mode("append").json(f"{folder}/finished")
     for old in before[:-KEPT_VERSIONS + 1]:
@@ -61,22 +65,46 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> Graph:
     return Graph(rest(nodes, NODE_COLUMNS), rest(edges, EDGE_COLUMNS))
 
 
+def load_done(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, chunk_id, content_hash, bucket) of the chunks ingested by the newest version; ``ingest.new_chunks`` reads the
+    buckets that it needs."""
+    known = versions(spark, folder)
+    schema = "doc_id string, chunk_id string, content_hash string, bucket int"
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/v={known[-1]}/done")
+    except (AnalysisException, IndexError):  # saved without
+        return spark.createDataFrame([], schema)
+
+
 def meta(spark: SparkSession, folder: str) -> DataFrame:
     """Key and value of the newest version; none if there is none."""
     known = versions(spark, folder)
-    return spark.read.parquet(f"{folder}/v={known[-1]}/meta") if known else spark.createDataFrame([], "key string, value string")
+    if not known:
+        return spark.createDataFrame([], "key string, value string")
+    at = f"{folder}/v={known[-1]}"
+    later = _meta_writes(spark, at)
+    return spark.read.parquet(f"{at}/meta-{later}" if later else f"{at}/meta")
+
+
+def _meta_writes(spark: SparkSession, at: str) -> int:
+    try:
+        return spark.read.schema("n int").json(f"{at}/meta-finished").agg(F.max("n")).first()[0] or 0
+    except AnalysisException:
+        return 0
 
 
 def set_meta(spark: SparkSession, folder: str, added: DataFrame) -> None:
-    """Put key and value rows into the newest version's meta, without a new version of nodes and edges."""
-    at = f"{folder}/v={versions(spark, folder)[-1]}/meta"
-    rows = [tuple(r) for r in write_meta(spark.read.parquet(at), added).select("key", "value").collect()]  # a few keys a graph
-    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(at)
+    """Put key and value rows into the newest version's meta, without a new version of nodes and edges. They are written
+    beside the old ones, which hold until the new ones are listed as finished."""
+    at = f"{folder}/v={versions(spark, folder)[-1]}"
+    n = _meta_writes(spark, at) + 1
+    write_meta(meta(spark, folder), added).coalesce(1).write.mode("overwrite").parquet(f"{at}/meta-{n}")
+    spark.createDataFrame([(n,)], "n int").coalesce(1).write.mode("append").json(f"{at}/meta-finished")
 
 
 def without_dangling(graph: Graph) -> Graph:
     """Edges that lack an end, and self loops, go; ids stay."""
-    return Graph(graph.nodes, graph.within(graph.nodes.select("id")).where("source_id <> target_id").select(EDGE_COLUMNS))
+    return Graph(graph.nodes, graph.within(graph.nodes.select("id")).where("source_id <> target_id").select(graph.edges.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
