@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators.graph import Graph, first_by
 from loamgraph.operators.shared import remove_folder
-from loamgraph.sources import store
+from loamgraph.sources import ledger, store
 
 COMMITTED = "seq long, writer string, batch long, version long"
 
@@ -110,14 +110,14 @@ def load(spark: SparkSession, folder: str) -> Graph:
 
 
 def done(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, chunk_id, content_hash) of the chunks ingested so far: the version's and those logged since."""
+    """(doc_id, chunk_id, content_hash, bucket) of the chunks ingested so far: the version's and those logged since."""
     version = store.versions(spark, folder)[-1]
     known = store.load_done(spark, folder)
     log = _log(spark, folder, "done", version)
     if log is None:
         return known
     last = first_by(log, ["doc_id", "chunk_id"], F.desc("_seq"))
-    return known.join(last.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti").unionByName(last.where("content_hash is not null").select(known.columns))
+    return known.join(last.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti").select(known.columns).unionByName(ledger.bucketed(last.where("content_hash is not null")).select(known.columns))
 
 
 def fold(spark: SparkSession, folder: str) -> int:

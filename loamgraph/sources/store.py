@@ -21,7 +21,7 @@ from loamgraph.sources.ledger import COLUMNS, bucketed
 
 NODE_COLUMNS = ["id", "name", "content", "node_class", "hub", "doc_id", "event_ts", "seq"]
 EDGE_COLUMNS = ["id", "source_id", "target_id", "type", "priority"]
-SCHEMA_VERSION = "2"
+SCHEMA_VERSION = "3"
 #: Versions that a folder keeps, for readers that are still at work.
 KEPT_VERSIONS = 2
 
@@ -42,8 +42,10 @@ def save(graph: Graph, folder: str, extensions: Mapping[str, str] | None = None,
     before = versions(spark, folder)
     version = before[-1] + 1 if before else 0
     at = f"{folder}/v={version}"
-    graph.nodes.write.mode("overwrite").partitionBy("node_class").parquet(f"{at}/nodes")
-    graph.edges.write.mode("overwrite").partitionBy("type").parquet(f"{at}/edges")
+    for name, rows, by in (("nodes", graph.nodes, "node_class"), ("edges", graph.edges, "type")):
+        rows.write.mode("overwrite").partitionBy(by).parquet(f"{at}/{name}")
+        # a table without rows has no files that tell its columns
+        spark.createDataFrame([], rows.schema).coalesce(1).write.mode("overwrite").parquet(f"{at}/schema/{name}")
     if done is not None:
         bucketed(done.select(COLUMNS)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/done")
     now = spark.createDataFrame([] if keep_meta else list(provenance(extensions or {}).items()), "key string, value string")
@@ -60,7 +62,7 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> Graph:
     if not known:
         raise FileNotFoundError(f"no finished version of a graph in {folder}")
     at = f"{folder}/v={known[-1] if version is None else version}"
-    nodes, edges = spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges")
+    nodes, edges = (spark.read.schema(spark.read.parquet(f"{at}/schema/{name}").schema).parquet(f"{at}/{name}") for name in ("nodes", "edges"))
     rest = lambda df, first: df.select(*first, *(c for c in df.columns if c not in first))
     return Graph(rest(nodes, NODE_COLUMNS), rest(edges, EDGE_COLUMNS))
 
