@@ -64,6 +64,7 @@ class ArcRecord:
     fields: dict[str, str]
     body: bytes
     error: str | None = None
+    version: bool = False  #: the version block that an archive begins with
 
 
 def _unpacked(content: bytes) -> bytes:
@@ -86,12 +87,13 @@ def _unpacked(content: bytes) -> bytes:
 def arc_records(content: bytes) -> Iterator[ArcRecord]:
     """The records of an ARC archive, version blocks among them.
 
-    The version block says which fields the header lines have; version 1 and 2 lines are told apart by it alone. Fields
-    are read from the right, as URLs may have spaces. A line that can't be read, and a record that ends early, are given
+    The version block says which fields the header lines have; version 1 and 2 lines are told apart by it alone. Only the
+    first record can be one, as pages may be named like it; one whose fields don't begin with a URL and end with a length
+    is given with an error, and the fields of its version hold. Fields are read from the right, as URLs may have spaces. A line that can't be read, and a record that ends early, are given
     with an error, and what follows is passed over up to the next header line.
     """
     content = _unpacked(content)
-    at, fields, lost = 0, None, False
+    at, fields, lost, first = 0, None, False, True
     while at < len(content):
         stop = content.find(b"\n", at)
         stop = len(content) if stop < 0 else stop
@@ -100,6 +102,7 @@ def arc_records(content: bytes) -> Iterator[ArcRecord]:
             continue
         line = raw.decode("utf-8", "replace").rstrip("\r")
         values, lost = line.split(" "), False
+        begins, first = first, False
         if not (values[-1].isascii() and values[-1].isdigit()):
             lost = True
             yield ArcRecord({"URL": values[0]}, b"", f"no length in the header line: {line[:200]}")
@@ -109,11 +112,13 @@ def arc_records(content: bytes) -> Iterator[ArcRecord]:
         at += length
         if len(body) < length:
             yield ArcRecord({"URL": values[0]}, body, f"record ends before its {length} bytes: {line[:200]}")
-        elif values[0].startswith("filedesc://"):
+        elif begins and values[0].startswith("filedesc://"):
             head = body.decode("utf-8", "replace").splitlines()
-            version = 2 if head and head[0].startswith("2") else 1
-            fields = (head[1] if len(head) > 1 and head[1].strip() else ARC_FIELDS[version]).split()
-            yield ArcRecord({"URL": values[0], "Archive-date": values[2] if len(values) > 2 else ""}, body)
+            usual = ARC_FIELDS[2 if head and head[0].startswith("2") else 1].split()
+            named = head[1].split() if len(head) > 1 and head[1].strip() else usual
+            sound = named[0] == "URL" and named[-1].lower().endswith("length") and len(set(named)) == len(named) > 1
+            fields, error = (named, None) if sound else (usual, f"fields of the version block: {head[1][:200]}")
+            yield ArcRecord({"URL": values[0], "Archive-date": values[2] if len(values) > 2 else ""}, body, error, True)
         elif fields is None or len(values) < len(fields):
             yield ArcRecord({"URL": values[0]}, body, f"header line unlike the version block: {line[:200]}")
         else:
@@ -195,14 +200,14 @@ def _converted(record: ArcRecord) -> tuple:
     """What WARC needs of a record, in the order of RECORDS."""
     url, kind = record.fields["URL"], record.fields.get("Content-type", "")
     date = _warc_date(record.fields.get("Archive-date", ""))
-    if record.error is None and date is None and not url.startswith("filedesc://"):
+    if record.error is None and date is None and not record.version:
         record = ArcRecord(record.fields, record.body, f"no date: {record.fields.get('Archive-date')}")
     if record.error is not None:
         own = uuid.uuid5(uuid.NAMESPACE_URL, f"rejected\n{url}\n{record.error}\n{sha1_base32(record.body)}")
         return own.urn, "rejected", url, None, None, None, None, None, record.body, len(record.body), None, record.error
     head, payload = _split_http(record.body)
     digest, ip = sha1_base32(payload), record.fields.get("IP-address")
-    if url.startswith("filedesc://"):
+    if record.version:
         what, kind = "warcinfo", "text/plain"
     else:
         what, kind = ("response", "application/http; msgtype=response") if head else ("resource", kind or "application/octet-stream")

@@ -173,3 +173,19 @@ def test_no_pages_and_clashing_columns(spark, tmp_path):
     assert archive_pages(spark.createDataFrame([], PAGES), str(tmp_path / "a")).count() == 0
     clash = spark.createDataFrame([(1, "u", "x", 2, "y")], PAGES + ", payload_bytes int, content string")
     assert archive_pages(clash, str(tmp_path / "b")).count() == 1
+
+
+def test_pages_named_like_version_blocks_are_pages(spark, tmp_path):
+    rows = [(1, "http://a", "<p>a</p>"), (2, "filedesc://x", "<p>b</p>"), (3, "filedesc://", "2 0 x\nA B\n"), (4, "http://b", "<p>a</p>")]
+    got = sorted((tuple(r) for r in archive_pages(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w")).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_version_blocks_with_odd_fields_are_set_aside(spark):
+    record = (b"http://h/a 1.2.3.4 19970203040506 text/html", b"hello")
+    for odd in ("Name Size", "IP-address URL Archive-length", "URL", "URL URL Archive-length"):
+        rows = {r.url: r for r in converted(spark, arc(record, fields=odd)).collect()}
+        assert rows["filedesc://f.arc"].kind == "rejected" and "version block" in rows["filedesc://f.arc"].error
+        assert rows["http://h/a"].kind == "resource" and bytes(rows["http://h/a"].payload) == b"hello"
+    again = {r.url: r.kind for r in converted(spark, arc(record) + arc((b"http://h/b" + record[0][10:], b"hello"))).collect()}
+    assert again == {"filedesc://f.arc": "resource", "http://h/a": "resource", "http://h/b": "resource"}
