@@ -95,6 +95,20 @@ class Graph:
         by_relation = self.relations().select("me", "other")
         return self.drill_down().select("me", F.col("child").alias("other")).unionByName(by_relation).distinct()
 
+    def steps(self, near: DataFrame, back: bool = False) -> DataFrame:
+        """The rows of ``neighbours`` (me, other) that start at ids of ``near`` (id), or that end there. Only their edges meet
+        with nodes, so that work follows the surroundings of ``near``; edges are read, but shuffled only if ``near`` is large."""
+        out = self.edges.select(F.col("source_id").alias("me"), F.col("target_id").alias("other"), "type", F.lit(True).alias("down"))
+        into = self.edges.where("source_id <> target_id").select(F.col("target_id").alias("me"), F.col("source_id").alias("other"), "type", F.lit(False).alias("down"))
+        key = "other" if back else "me"
+        ends = out.unionAll(into).join(near.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+        classes = self.nodes.select("id", "node_class")
+        ends = ends.join(classes.toDF("me", "me_class"), "me", "left").join(classes.toDF("other", "other_class"), "other", "left")
+        assoc = F.col("type") == "assoc"
+        hidden = is_core(F.col("me_class")) & assoc & (F.coalesce("other_class", F.lit("")) == "event")
+        seen = (F.col("me_class").isNotNull() & ~hidden) | (F.col("down") & assoc & F.col("other_class").isNotNull())
+        return ends.where(seen).select("me", "other").distinct()
+
     def degrees(self) -> DataFrame:
         """(id, degree): drilled-down nodes and relations together; an assoc edge out counts twice."""
         ends = self.drill_down().select("me").unionAll(self.relations().select("me"))

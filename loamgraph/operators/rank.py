@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as tx
+from loamgraph.operators.shared import cut
 
 
 def lexical_scores(candidates: DataFrame) -> DataFrame:
@@ -35,6 +36,56 @@ def lexical_search(queries: DataFrame, texts: DataFrame, title: str | None = Non
     return found.join(terms, "term").groupBy("query_id", "id").agg((F.sum("weight") / F.first("n")).alias("score"))
 
 
+#: Texts that a query's first bound is taken from: so many of each of its rarest words, and so many in all, times the best asked for.
+SEEDS = 4
+
+
+def best_texts(queries: DataFrame, texts: DataFrame, top: int, title: str | None = None) -> DataFrame:
+    """(query_id, id, score) of the ``top`` best of ``lexical_search`` for each query, ties by id, without forming the other pairs.
+
+    A query's words are put in order of how many texts have them. A text whose rarest shared word stands at some place scores no more
+    than all words from there on could give. So a few texts of the rarest words are scored first; the last of the best of those bounds
+    the rest: postings of words from which on the bound can't be reached, the frequent ones, are never joined, and a text goes
+    further only if what it has of the others, with all of those, reaches the bound. What is left is scored by its whole set of words. ``top`` beyond what a query's first texts give
+    leaves no bound, and all its postings are joined.
+    """
+    q = queries.select("query_id", tx.token_set(F.col("query")).alias("words")).where("size(words) > 0")
+    q = cut(q.groupBy("query_id").agg(F.min("words").alias("words")))
+    terms = q.select("query_id", F.explode("words").alias("term"))
+    vocabulary = terms.select("term").distinct()
+    held = texts.select("id", tx.token_set(F.col("text")).alias("text"), (tx.token_set(F.col(title)) if title else F.array().cast("array<string>")).alias("title"))
+    weighed = held.select("id", F.explode(F.array_union("text", "title")).alias("term"), "text", "title").select(
+        "id", "term", (F.array_contains("text", F.col("term")).cast("int") + 2 * F.array_contains("title", F.col("term")).cast("int")).alias("weight")
+    ) if title else held.select("id", F.explode("text").alias("term"), F.lit(1).alias("weight"))
+    # rows per text, written once: its words that queries have, by weight
+    words = cut(weighed.join(vocabulary, "term", "left_semi").groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("terms")))
+    postings = words.select("id", F.inline("terms"))
+    sizes = postings.groupBy("term").agg(F.count("*").alias("held"), F.max("weight").alias("most"))
+    rarest = Window.partitionBy("query_id").orderBy("held", "term")
+    rest = Window.partitionBy("query_id").orderBy(F.desc("held"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.coalesce(F.sum("held").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cut(terms.join(sizes, "term").select("query_id", "term", F.sum("most").over(rest).alias("bound"), before.alias("before")))
+    first = postings.withColumn("_nth", F.row_number().over(Window.partitionBy("term").orderBy("id"))).where(F.col("_nth") <= SEEDS * top)
+    seeds = placed.where(F.col("before") < SEEDS * top).join(first, "term").select("query_id", "id").distinct()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        shared = [w * F.size(F.array_intersect("words", F.filter("terms", lambda t: t["weight"] == w)["term"])) for w in ((1, 2, 3) if title else (1,))]  # noqa: B023
+        total = reduce(lambda a, b: a + b, shared).cast("long")
+        return pairs.join(words, "id").join(q, "query_id").select("query_id", "id", total.alias("total"), F.size("words").alias("n"))
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("total"), "id")
+    known = cut(scored(seeds).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= top))
+    last = known.where(F.col("_nth") == top).select("query_id", F.col("total").alias("least"), F.col("id").alias("last"))
+    bounded = placed.join(last, "query_id", "left").withColumn("asked", F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    unasked = bounded.groupBy("query_id").agg(F.coalesce(F.max(F.when(~F.col("asked"), F.col("bound"))), F.lit(0)).alias("rest"))
+    tallied = bounded.where("asked").join(postings, "term").groupBy("query_id", "id").agg(F.sum("weight").alias("got"))
+    reach = F.col("got") + F.col("rest")
+    within = F.col("least").isNull() | (reach > F.col("least")) | ((reach == F.col("least")) & (F.col("id") <= F.col("last")))
+    pairs = tallied.join(unasked, "query_id").join(last, "query_id", "left").where(within).select("query_id", "id")
+    ranked = scored(pairs).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= top)
+    return ranked.select("query_id", "id", (F.col("total") / F.col("n")).alias("score"))
+
+
 #: Inner words of a passage that it is looked up by, at most.
 KEY_WORDS = 4
 

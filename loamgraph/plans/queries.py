@@ -455,9 +455,10 @@ def entry_merge(spark, sf_dir):
 @query(
     f"""{GRAPH_SQL}, pairs AS (SELECT 'c:' || c_custkey AS source, 'c:' || (c_custkey + 1) AS target FROM customer WHERE c_custkey % 20 = 0 UNION ALL
       SELECT 'e:' || event_id, 's:1' FROM events WHERE event_id % 2000 = 0 UNION ALL SELECT 'n:' || n_nationkey, 'n:' || n_nationkey FROM nation WHERE n_nationkey % 20 = 0),
-    walk AS (SELECT DISTINCT source, source AS at, 0 AS hop FROM pairs JOIN nodes ON id = source
-      UNION SELECT w.source, n.other, w.hop + 1 FROM walk w JOIN neighbours n ON n.me = w.at WHERE w.hop < 6)
-    SELECT p.source, p.target, CAST(min(hop) AS BIGINT) AS hops FROM pairs p JOIN walk w ON w.source = p.source AND w.at = p.target GROUP BY p.source, p.target"""
+    walk AS (SELECT DISTINCT source, source AS at, 0 AS hop, [source] AS path FROM pairs JOIN nodes ON id = source
+      UNION ALL SELECT w.source, n.other, w.hop + 1, min(list_append(w.path, n.other)) FROM walk w JOIN neighbours n ON n.me = w.at WHERE w.hop < 6 GROUP BY w.source, n.other, w.hop)
+    SELECT p.source, p.target, CAST(min(hop) AS BIGINT) AS hops, array_to_string(arg_min(w.path, hop), '>') AS path
+    FROM pairs p JOIN walk w ON w.source = p.source AND w.at = p.target GROUP BY p.source, p.target"""
 )
 def shortest_path(spark, sf_dir):
     """From customers to the next ones, from events to a supplier that nothing reaches, and from nations to themselves."""
@@ -467,7 +468,7 @@ def shortest_path(spark, sf_dir):
     pairs = pairs.unionByName(read(spark, sf_dir, "events").where("event_id % 2000 = 0").select(named("e:", "event_id").alias("source"), F.lit("s:1").alias("target")))
     n = read(spark, sf_dir, "nation").where("n_nationkey % 20 = 0").select(named("n:", "n_nationkey").alias("source"))
     found = iterate.shortest_paths(graph_of(spark, sf_dir), pairs.unionByName(n.withColumn("target", F.col("source"))))
-    return found.select("source", "target", (F.size("path") - 1).cast("long").alias("hops"))
+    return found.select("source", "target", (F.size("path") - 1).cast("long").alias("hops"), F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -617,6 +618,14 @@ def lexical_search(spark, sf_dir):
     return searched(spark, sf_dir, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {PAIRS_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10")
+def lexical_best(spark, sf_dir):
+    """What ``lexical_search`` gives, by bounds instead of all pairs."""
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = rank.best_texts(queries, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def gold_passages(spark, sf_dir):
     return gold_docs(spark, sf_dir)
