@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.operators import budget, compact, ingest, iterate, link, maintain, quality, search
+from loamgraph.operators import budget, compact, descend, ingest, iterate, link, maintain, quality, search
 from loamgraph.operators.graph import Graph
 from loamgraph.sources import changes, store
 
@@ -66,6 +66,7 @@ class Engine:
     task_budget: int = 16_000
     selector: iterate.Selector = iterate.lexical_selector
     decider: compact.Decider = compact.by_first_word
+    chooser: descend.Chooser | None = None  #: goes down from the root level by level; none takes what is right below it
     registry: Registry = field(default_factory=Registry)
     done: DataFrame | None = None  #: chunks ingested before: doc_id, chunk_id, content_hash
 
@@ -80,6 +81,15 @@ class Engine:
             return None
         return self.graph.nodes.select("id", F.explode("aliases").alias("alias"))
 
+    def _fallback(self, queries: DataFrame) -> DataFrame:
+        """Entries below all others: where ``chooser`` lands from the root, or what is right below it."""
+        if self.chooser is not None:
+            landed = descend.descend(self.graph, queries, self.chooser)
+            return landed.select("query_id", "id", F.lit(0).alias("priority"), F.lit(False).alias("exclusive"), (F.col("level") * 1000 + F.col("place")).cast("long").alias("pos"))
+        top = [(r.id, r.seq) for r in maintain.top_seeds(self.graph, 10).collect()]
+        seeds = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).cast("long").alias("pos")) for i, n in top)) if top else F.array().cast("array<struct<id:string,pos:bigint>>")
+        return queries.select("query_id", F.inline(seeds)).select("query_id", "id", F.lit(0).alias("priority"), F.lit(False).alias("exclusive"), "pos")
+
     def locate(self, queries: DataFrame) -> DataFrame:
         """Seeds (query_id, query, id, place): names and aliases that share a token, then what is below the root or, where
         there is no root, hubs; trimmed to the budget."""
@@ -87,10 +97,7 @@ class Engine:
             queries = f(queries)
         hits = search.lookup(queries, search.postings(self.graph.nodes, self.aliases()))
         named = hits.select("query_id", "id", F.lit(100).alias("priority"), F.lit(False).alias("exclusive"), "pos")
-        top = [(r.id, r.seq) for r in maintain.top_seeds(self.graph, 10).collect()]
-        seeds = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).cast("long").alias("pos")) for i, n in top)) if top else F.array().cast("array<struct<id:string,pos:bigint>>")
-        fallback = queries.select("query_id", F.inline(seeds)).select("query_id", "id", F.lit(0).alias("priority"), F.lit(False).alias("exclusive"), "pos")
-        entries = named.unionByName(fallback)
+        entries = named.unionByName(self._fallback(queries))
         for f in self.registry.all("entry"):
             entries = entries.unionByName(f(queries))
         merged = search.merge_entries(entries).join(budget.node_costs(self.graph.nodes), "id")

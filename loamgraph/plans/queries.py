@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as tx
-from loamgraph.operators import budget, compact, ingest, iterate, link, maintain, quality, rank, search
+from loamgraph.operators import budget, compact, descend, ingest, iterate, link, maintain, quality, rank, search
 from loamgraph.operators.shared import cut
 from loamgraph.operators.graph import ROOT, Graph, edge_faults, is_core, valid_edges
 from loamgraph.sources import derive, store
@@ -449,6 +449,43 @@ def entry_merge(spark, sf_dir):
     return search.merge_entries(named.unionByName(hubs))
 
 
+# going down from a root
+
+_SCORE = "(2 * len(list_intersect(q.words, {n})) + len(list_intersect(q.words, {c}))) / len(q.words)"
+
+
+def _level_sql(level: int, edges: str, left: str) -> str:
+    """The choice at a level: what is below the last one, by words shared with the query, within the places that are left."""
+    score = _SCORE.format(n=set_sql("n.name"), c=set_sql("n.content"))
+    return f"""c{level} AS (SELECT DISTINCT q.query_id, n.id, n.seq, {score} AS score FROM {edges} JOIN nodes n ON n.id = e.target_id),
+    l{level} AS (SELECT * FROM (SELECT query_id, id, {level} AS level, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, id) AS INT) AS place FROM c{level} WHERE score > 0)
+      WHERE place <= 10 - {left})"""
+
+
+DESCENT_SQL = f"""{GRAPH_SQL}, asked AS (SELECT n_nationkey AS query_id, r_name || ' ' || n_name || ' ' || (SELECT min(c_mktsegment) FROM customer) AS query FROM nation JOIN region ON r_regionkey = n_regionkey
+      UNION ALL SELECT 1000 + n_nationkey, 'x' || n_nationkey FROM nation),
+    q AS (SELECT query_id, {set_sql("query")} AS words FROM asked),
+    {_level_sql(1, "q JOIN (SELECT id AS target_id FROM nodes WHERE id LIKE 'r:%') e ON true", "0")},
+    {_level_sql(2, "q JOIN l1 l ON l.query_id = q.query_id JOIN edges e ON e.source_id = l.id AND e.type = 'assoc'", "(SELECT count(*) FROM l1 WHERE l1.query_id = c2_.query_id)").replace("FROM c2 WHERE score > 0)", "FROM c2 WHERE score > 0) c2_")},
+    {_level_sql(3, "q JOIN l2 l ON l.query_id = q.query_id JOIN edges e ON e.source_id = l.id AND e.type = 'assoc'", "(SELECT count(*) FROM (SELECT query_id FROM l1 UNION ALL SELECT query_id FROM l2) u WHERE u.query_id = c3_.query_id)").replace("FROM c3 WHERE score > 0)", "FROM c3 WHERE score > 0) c3_")}"""
+
+
+@query(
+    f"""{DESCENT_SQL} SELECT CAST(query_id AS BIGINT) AS query_id, id, level, place FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) UNION ALL
+    SELECT CAST(q.query_id AS BIGINT), n.id, 0, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY n.seq) AS INT) FROM q JOIN nodes n ON n.id LIKE 'r:%' WHERE q.query_id NOT IN (SELECT query_id FROM l1)"""
+)
+def root_descent(spark, sf_dir):
+    """From a root above the regions down to nations and customers, by words; queries that match no region get the regions."""
+    g = graph_of(spark, sf_dir)
+    root = g.nodes.where("id = 'r:0'").withColumns({"id": F.lit(ROOT), "name": F.lit(ROOT), "content": F.lit("")})
+    hung = g.nodes.where("id like 'r:%'").select(F.concat(F.lit(f"{ROOT}>"), "id").alias("id"), F.lit(ROOT).alias("source_id"), F.col("id").alias("target_id"), F.lit("assoc").alias("type"), F.lit(0.0).alias("priority"))
+    segment = read(spark, sf_dir, "customer").agg(F.min("c_mktsegment").alias("segment"))
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(segment, F.lit(True))
+    asked = n.select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat_ws(" ", "r_name", "n_name", "segment").alias("query"))
+    lost = n.select((F.col("n_nationkey") + 1000).cast("long").alias("query_id"), F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("query"))
+    return descend.descend(Graph(g.nodes.unionByName(root), g.edges.unionByName(hung.select(g.edges.columns))), asked.unionByName(lost))
+
+
 # traversal
 
 
