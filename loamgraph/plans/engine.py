@@ -6,6 +6,7 @@ import traceback
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import budget, compact, descend, ingest, iterate, link, maintain, quality, search
 from loamgraph.operators.graph import Graph
-from loamgraph.sources import changes, store
+from loamgraph.sources import changes, store, term_index
 
 #: Points at which functions are plugged in, all from DataFrames to a DataFrame, but for "maintenance"
-#: and "compaction", which take and give a Graph.
-POINTS = ["entry", "trim", "arbitrate", "postprocess", "write_preprocess", "query_preprocess", "compaction", "maintenance"]
+#: and "compaction", which take and give a Graph, and "index", whose members have lookup(queries) and
+#: updated(changed, gone), as TermIndex has, and are told of every write.
+POINTS = ["entry", "trim", "arbitrate", "postprocess", "write_preprocess", "query_preprocess", "compaction", "maintenance", "index"]
 ALONE = {"arbitrate"}
 
 
@@ -91,11 +93,13 @@ class Engine:
         return queries.select("query_id", F.inline(seeds)).select("query_id", "id", F.lit(0).alias("priority"), F.lit(False).alias("exclusive"), "pos")
 
     def locate(self, queries: DataFrame) -> DataFrame:
-        """Seeds (query_id, query, id, place): names and aliases that share a token, then what is below the root or, where
+        """Seeds (query_id, query, id, place): names and aliases that share a token, looked up in the registered indexes or, where
+        there are none, in postings of the whole graph, then what is below the root or, where
         there is no root, hubs; trimmed to the budget."""
         for f in self.registry.all("query_preprocess"):
             queries = f(queries)
-        hits = search.lookup(queries, search.postings(self.graph.nodes, self.aliases()))
+        hits = [index.lookup(queries) for index in self.registry.all("index")]
+        hits = reduce(DataFrame.unionByName, hits) if hits else search.lookup(queries, search.postings(self.graph.nodes, self.aliases()))
         named = hits.select("query_id", "id", F.lit(100).alias("priority"), F.lit(False).alias("exclusive"), "pos")
         entries = named.unionByName(self._fallback(queries))
         for f in self.registry.all("entry"):
@@ -149,7 +153,7 @@ class Engine:
             inputs = f(inputs)
         applied = ingest.apply(self.graph, inputs, decisions, drafts, sources, self.done)
         touched = applied.new_nodes.select("id")
-        return replace(self, graph=applied.graph, done=iterate.cut(applied.done)).compacted(touched)
+        return replace(self, graph=applied.graph, done=iterate.cut(applied.done))._noted(self.graph).compacted(touched)
 
     def update_document(self, doc_id: str, chunks: DataFrame, decisions: DataFrame, drafts: DataFrame | None = None) -> Engine:
         """Ingest what is new or changed of a document's ``chunks`` (chunk_id, content), and let nodes forget the chunks
@@ -165,14 +169,27 @@ class Engine:
 
     def purged(self) -> Engine:
         """Without nodes that had sources and have none left, and without their edges."""
-        return replace(self, graph=self.graph.without_nodes(ingest.orphans(ingest.with_optional(self.graph.nodes)).select("id")))
+        left = self.graph.without_nodes(ingest.orphans(ingest.with_optional(self.graph.nodes)).select("id"))
+        return replace(self, graph=left)._noted(self.graph)
 
     def compacted(self, changed: DataFrame | None = None) -> Engine:
         """With neighbourhoods beyond the budget split: all, or those that ``changed`` nodes (id) are in."""
         graph = compact.compact(self.graph, self.task_budget, self.decider, changed=changed)
         for f in self.registry.all("compaction"):
             graph = f(graph)
-        return replace(self, graph=graph)
+        return replace(self, graph=graph)._noted(self.graph)
+
+    def _noted(self, before: Graph) -> Engine:
+        """With registered indexes that know what is called otherwise, new or gone since ``before``; those of the engine
+        before stay as they are."""
+        indexes = self.registry.known["index"]
+        if not indexes:
+            return self
+        changed, gone = map(iterate.cut, term_index.differences(before.nodes, self.graph.nodes))
+        if changed.isEmpty() and gone.isEmpty():
+            return self
+        told = {name: (priority, index.updated(changed, gone)) for name, (priority, index) in indexes.items()}
+        return replace(self, registry=Registry({**self.registry.known, "index": told}))
 
     def maintained(self) -> tuple[Engine, list[str]]:
         """After deduplication, absorption by hubs, upkeep of the root and registered jobs. A registered job that fails is
@@ -187,7 +204,7 @@ class Engine:
                 graph = Graph(iterate.cut(done.nodes), iterate.cut(done.edges))
             except (ArithmeticError, LookupError, TypeError, ValueError, AnalysisException, PythonException) as e:
                 failed.append(f"{name}: {e}\n{traceback.format_exc()}")
-        return replace(self, graph=graph), failed
+        return replace(self, graph=graph)._noted(self.graph), failed
 
     def report(self) -> DataFrame:
         return quality.graph_quality(self.graph)

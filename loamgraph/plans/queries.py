@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import text as tx
 from loamgraph.operators import budget, compact, descend, ingest, iterate, link, maintain, quality, rank, search
-from loamgraph.operators.shared import cut
+from loamgraph.operators.shared import cut, shared_folder
 from loamgraph.operators.graph import ROOT, Graph, edge_faults, is_core, valid_edges
 from loamgraph.sources import derive, store
+from loamgraph.sources.term_index import TermIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -434,6 +436,28 @@ def alias_lookup(spark, sf_dir):
     return nation_hits(spark, sf_dir, graph_of(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(
+    f"""{GRAPH_SQL}, called AS (SELECT id, CASE WHEN c_custkey IS NULL THEN name ELSE name || ' of ' || c_nationkey END AS name FROM nodes LEFT JOIN customer ON id = 'c:' || c_custkey WHERE id NOT LIKE 's:%'
+      UNION ALL SELECT 'p:' || p_partkey, 'lot ' || (p_partkey % 25) FROM part),
+    postings AS (SELECT DISTINCT id, unnest(list_concat([name], {words_sql('name')})) AS term FROM called WHERE name <> ''),
+    asked AS (SELECT n_nationkey AS query_id, {words_sql("n_name || ' and ' || n_nationkey")} AS words FROM nation),
+    terms AS (SELECT query_id, words[i] AS term, i - 1 AS pos FROM (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS i FROM asked))
+    SELECT t.query_id, p.id, min(t.pos) AS pos FROM terms t JOIN postings p ON p.term = t.term GROUP BY t.query_id, p.id"""
+)
+def kept_index_lookup(spark, sf_dir):
+    """Lookups in a kept index after three updates: customers are called otherwise, parts get an alias, suppliers go."""
+    nodes = graph_of(spark, sf_dir).nodes
+    number = lambda column: F.col(column).cast("string")
+    customer = read(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), number("c_custkey")).alias("id"), F.concat("c_name", F.lit(" of "), number("c_nationkey")).alias("name"))
+    lot = F.concat(F.lit("lot "), (F.col("p_partkey") % 25).cast("string"))
+    part = read(spark, sf_dir, "part").select(F.concat(F.lit("p:"), number("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.array(lot).alias("aliases"))
+    index = TermIndex.build(nodes, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index = index.updated(customer).updated(part).updated(gone=nodes.where("id like 's:%'"))
+    text = F.concat("n_name", F.lit(" and "), number("n_nationkey"))
+    asked = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), text.alias("query"))
+    return index.lookup(asked).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(
     f"""{LOOKUP_SQL}, entries AS (SELECT query_id, id, 100 AS priority, pos FROM hits UNION ALL
     SELECT q.n_nationkey, n.id, 0, n.seq FROM nation q JOIN nodes n ON n.id = 'r:' || q.n_regionkey OR n.id = 'n:' || q.n_nationkey),
@@ -610,10 +634,24 @@ def health_check(spark, sf_dir):
     return quality.health(graph_of(spark, sf_dir), 900)
 
 
+# Nodes hang from regions, and only parts join what hangs from several of them: labels need to run over such roots only.
+ROOTS_SQL = """nation_root AS (SELECT n_nationkey AS key, coalesce('r:' || r_regionkey, 'n:' || n_nationkey) AS root FROM nation LEFT JOIN region ON r_regionkey = n_regionkey),
+customer_root AS (SELECT c_custkey AS key, coalesce(root, 'c:' || c_custkey) AS root FROM customer LEFT JOIN nation_root ON key = c_nationkey),
+order_root AS (SELECT o_orderkey AS key, coalesce(root, 'o:' || o_orderkey) AS root FROM orders LEFT JOIN customer_root ON key = o_custkey),
+met AS (SELECT DISTINCT p_partkey AS key, root FROM lineitem JOIN order_root ON key = l_orderkey JOIN part ON p_partkey = l_partkey),
+part_root AS (SELECT p_partkey AS key, coalesce(root, 'p:' || p_partkey) AS root FROM part LEFT JOIN (SELECT key, min(root) AS root FROM met GROUP BY key) ON key = p_partkey),
+roots AS (SELECT 'r:' || r_regionkey AS root FROM region UNION ALL SELECT root FROM nation_root UNION ALL SELECT root FROM customer_root UNION ALL SELECT root FROM order_root
+  UNION ALL SELECT root FROM part_root UNION ALL SELECT 's:' || s_suppkey FROM supplier
+  UNION ALL SELECT coalesce(root, 'e:' || event_id) FROM events LEFT JOIN customer_root ON key = user_id
+  UNION ALL SELECT coalesce(root, 'd:' || doc_id) FROM documents LEFT JOIN part_root ON key = doc_id),
+bridges AS (SELECT DISTINCT a.root AS a, b.root AS b FROM part_root a JOIN met b ON a.key = b.key WHERE a.root <> b.root),
+sides AS (SELECT a, b FROM bridges UNION SELECT b, a FROM bridges)"""
+
+
 @query(
-    f"""{GRAPH_SQL}, label(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
-      SELECT e.other, min(l.component) FROM label l JOIN ends e ON e.me = l.id JOIN recurring.label r ON r.id = e.other WHERE l.component < r.component GROUP BY e.other),
-    sizes AS (SELECT component, count(*) AS n FROM label GROUP BY component)
+    f"""WITH RECURSIVE {ROOTS_SQL}, reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON s.a = r.b),
+    least AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a),
+    sizes AS (SELECT coalesce(component, root) AS component, count(*) AS n FROM roots LEFT JOIN least ON a = root GROUP BY ALL)
     SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS largest_share FROM sizes"""
 )
 def components(spark, sf_dir):
