@@ -22,25 +22,15 @@ from loamgraph.operators import search
 from loamgraph.operators.shared import cut, remove_folder
 from loamgraph.sources.ledger import within
 
-BUCKETS = 256
-#: Files that a bucket of a part is written in at most, as a term that most nodes have is in one bucket.
-SALTS = 16
+#: Buckets of an index, unless it is built with more: one should be small enough to be read for a lookup.
+BUCKETS = 64
 #: Updates after which the parts are written as one.
 FOLD_EVERY = 25
-HEADS = "head long, fold long, parts array<string>, writers map<string,long>"
+HEADS = "head long, fold long, buckets int, parts array<string>, writers map<string,long>"
 POSTINGS = "term string, id string, added boolean, bucket int"
 ENTRIES = "id string, terms array<string>, bucket int"
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def _buckets(keys: DataFrame, key: str) -> list[int]:
-    """The buckets of ``keys``: BUCKETS at most."""
-    return sorted(r.bucket for r in keys.select(_bucket(key).alias("bucket")).distinct().collect())
-
-
 def named(nodes: DataFrame) -> DataFrame:
     """(id, name, aliases) of nodes with an id; no aliases are an empty array."""
     none = F.array().cast("array<string>")
@@ -71,14 +61,15 @@ class TermIndex:
     parts: tuple[str, ...]
     head: int = 0
     folds: int = 0
+    buckets: int = BUCKETS
     writers: dict[str, int] = field(default_factory=dict)  #: the last batch of each writer
 
     @classmethod
-    def build(cls, nodes: DataFrame, folder: str) -> TermIndex:
+    def build(cls, nodes: DataFrame, folder: str, buckets: int = BUCKETS) -> TermIndex:
         """The index of all ``nodes`` (id, name, and maybe aliases), in place of what ``folder`` had."""
         spark = nodes.sparkSession
         index = cls.open(spark, folder) or cls(spark, folder, (), head=-1, folds=-1)
-        return index._refounded(_postings(nodes))
+        return replace(index, buckets=buckets)._refounded(_postings(nodes))
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> TermIndex | None:
@@ -87,17 +78,25 @@ class TermIndex:
             last = spark.read.schema(HEADS).json(f"{folder}/heads").where("head is not null").orderBy(F.desc("head")).first()
         except AnalysisException:
             return None
-        return last and cls(spark, folder, tuple(last.parts), last.head, last.fold, dict(last.writers or {}))
+        return last and cls(spark, folder, tuple(last.parts), last.head, last.fold, last.buckets, dict(last.writers or {}))
 
     def _committed(self) -> TermIndex:
-        row = (self.head, self.folds, list(self.parts), self.writers)
+        row = (self.head, self.folds, self.buckets, list(self.parts), self.writers)
         self.spark.createDataFrame([row], HEADS).coalesce(1).write.mode("append").json(f"{self.folder}/heads")
         return self
 
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _buckets(self, keys: DataFrame, key: str) -> list[int]:
+        """The buckets that ``keys`` are in: as many at most as the index has."""
+        return sorted(r.bucket for r in keys.select(self._bucket(key).alias("bucket")).distinct().collect())
+
     def _write(self, part: str, postings: DataFrame, entries: DataFrame) -> None:
-        dealt = postings.select("term", "id", "added", _bucket("term").alias("bucket"))
-        dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).write.partitionBy("bucket").parquet(f"{self.folder}/{part}/postings")
-        entries.select("id", "terms", _bucket("id").alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{part}/entries")
+        dealt = postings.select("term", "id", "added", self._bucket("term").alias("bucket"))
+        held = entries.select("id", "terms", self._bucket("id").alias("bucket"))
+        for name, rows in (("postings", dealt), ("entries", held)):  # rebalancing splits the bucket of a term that most nodes have
+            rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{part}/{name}")
 
     def _refounded(self, postings: DataFrame) -> TermIndex:
         """With one part that holds ``postings`` (term, id). Parts of the list before the last fold go; readers of this one go on."""
@@ -122,7 +121,7 @@ class TermIndex:
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, id) as of now, of all terms or of some (term). The full part isn't shuffled for what came behind it,
         unless that is large."""
-        buckets = None if terms is None else _buckets(terms, "term")
+        buckets = None if terms is None else self._buckets(terms, "term")
         asked = (lambda df: df) if terms is None else (lambda df: df.join(terms.select("term").distinct(), "term", "left_semi"))
         full = asked(self._read("postings", POSTINGS, self.parts[:1], buckets)).select("term", "id")
         if len(self.parts) == 1:
@@ -148,7 +147,7 @@ class TermIndex:
         if gone is not None:
             ids = ids.unionByName(gone.where("id is not null").select("id"))
         ids, now = cut(ids.distinct()), _postings(changed)
-        held = self._read("entries", ENTRIES, self.parts, _buckets(ids, "id")).join(ids, "id", "left_semi")
+        held = self._read("entries", ENTRIES, self.parts, self._buckets(ids, "id")).join(ids, "id", "left_semi")
         before = held.groupBy("id").agg(F.max_by(F.struct("terms"), "_seq").alias("last")).select(F.explode("last.terms").alias("term"), "id")
         both = now.withColumn("n", F.lit(1)).unionByName(before.withColumn("n", F.lit(-1)))
         moved = both.groupBy("term", "id").agg(F.sum("n").alias("n")).where("n <> 0").select("term", "id", (F.col("n") > 0).alias("added"))
