@@ -551,3 +551,12 @@ def test_engine(spark, tmp_path):
     kept.save(str(tmp_path))
     assert Engine.from_folder(spark, str(tmp_path)).graph.nodes.count() == 6
     assert grown.recall().count() == 1 and kept.find_path("r", "b").first().path == ["r", "a", "b"]
+
+
+def test_short_rendering_queries_cut_long_contents(spark):
+    from loamgraph.plans.queries import QUERIES
+
+    lines = {name: {r.id: r.line for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()} for name in ("render_node", "render_node_short")}
+    assert lines["render_node"].keys() == lines["render_node_short"].keys()
+    assert all(line.startswith(lines["render_node_short"][i]) for i, line in lines["render_node"].items())
+    assert any(len(line) > len(lines["render_node_short"][i]) for i, line in lines["render_node"].items())
