@@ -1,0 +1,48 @@
+"""Shortest paths where many pairs go by the same nodes of many edges."""
+
+import random
+
+import pytest
+from loamgraph.operators import iterate
+from loamgraph.operators.graph import Graph
+
+NODES = "id string, name string, content string, node_class string, hub boolean, seq long"
+EDGES = "id string, source_id string, target_id string, type string, priority double"
+PAIRS = "source string, target string"
+
+
+def graph(spark, ends, classes):
+    nodes = [(n, n, n, c, False, i) for i, (n, c) in enumerate(classes.items())]
+    return Graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame([(f"{a}>{b}:{t}", a, b, t, 0.0) for a, b, t in sorted(ends)], EDGES))
+
+
+@pytest.mark.parametrize(("seed", "most", "crowd"), [(1, 6, 3), (2, 5, 0)])
+def test_paths_by_crowded_nodes_are_the_same(spark, seed, most, crowd):
+    rng = random.Random(seed)
+    ids = [f"n{i}" for i in range(50)]
+    classes = {n: rng.choice(["concept", "fact", "event", "source"]) for n in ids}
+    hubs = rng.sample(ids, 4)
+    ends = {(rng.choice(ids), rng.choice([*ids, "gone"]), rng.choice(["assoc", "mutex"])) for _ in range(40)}
+    ends |= {(rng.choice(hubs), rng.choice(ids), rng.choice(["assoc", "mutex"])) for _ in range(25)}
+    g = graph(spark, ends, classes)
+    pairs = spark.createDataFrame([(a, b) for a in [*ids[::6], *hubs] for b in [*ids[::5], *hubs]], PAIRS)
+    plain, shared = (sorted((r.source, r.target, *r.path) for r in iterate.shortest_paths(g, pairs, most, c).collect()) for c in (None, crowd))
+    assert shared == plain and plain
+
+
+def test_what_is_behind_a_crowded_node_is_not_held_by_source(spark, monkeypatch):
+    n = 300
+    ends = {("m", f"c{i}", "assoc") for i in range(n)} | {("r", "m", "assoc"), ("r", "k", "assoc"), ("k", "z", "assoc")}
+    g = graph(spark, ends, dict.fromkeys(["r", "m", "k", "z", *(f"c{i}" for i in range(n))], "concept"))
+    pairs = spark.createDataFrame([(f"c{i}", "z") for i in range(n)] + [(f"c{i}", f"c{i + 1}") for i in range(n - 1)], PAIRS)
+    kept, cut = [], iterate.cut
+
+    def counted(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(iterate, "cut", counted)
+    got = {(r.source, r.target): r.path for r in iterate.shortest_paths(g, pairs).collect()}
+    assert len(got) == 2 * n - 1 and got["c1", "c2"] == ["c1", "m", "c2"] and got["c1", "z"] == ["c1", "m", "r", "k", "z"]
+    assert sum(kept) < 40 * n  # n * n and more if each source had all that is behind m
