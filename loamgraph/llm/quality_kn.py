@@ -16,9 +16,12 @@ from .common import cut, text_or_empty
 
 #: N-grams are packed into 64 bits, 16 a character, so the order is 4 at most.
 ORDER = 4
-#: Trusted documents that the model is fitted on at most, those with the least hashes of doc_id, and their characters, of
-#: which the first document may have more.
-TRAIN_DOCS, TRAIN_CHARS = 4000, 40_000_000
+#: A caller may bound the trusted documents that the model is fitted on to those with the least hashes of doc_id, and their
+#: characters, of which the first document may have more; none is left out as it stands.
+TRAIN_DOCS: int | None = None
+TRAIN_CHARS: int | None = None
+#: A task counts so many n-grams at a time.
+COUNTED = 1 << 20
 #: Characters that a model tells apart, the most frequent ones of the texts that it is fitted on; all others are one.
 ALPHABET = (1 << 16) - 3
 #: The share of the held-out trusted documents of a language that its threshold keeps.
@@ -88,13 +91,25 @@ class Model:
         return float(np.exp(-(known.sum() + PRIOR_CHARS * self.typical) / (len(known) + PRIOR_CHARS)))
 
 
+def _tallied(parts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct values of ``parts`` and how often each is there, by about COUNTED values; the first ones may come again."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= COUNTED:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held, size = [], 0
+    if size:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
 def _alphabet(texts: DataFrame) -> np.ndarray:
     """The sorted code points of ``texts`` (text), the ALPHABET most frequent ones."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points, n = np.unique(np.concatenate([np.zeros(0, "<u4"), *(code_points(t.as_py()) for t in batch["text"])]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int64)), pa.array(n.astype(np.int64))], ["point", "n"])
+        for points, n in _tallied(code_points(t.as_py()) for batch in batches for t in batch["text"]):
+            yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int64)), pa.array(n)], ["point", "n"])
 
     counts = texts.mapInArrow(counted, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
     return np.sort(np.array([r.point for r in counts.orderBy(F.desc("n"), "point").limit(ALPHABET).collect()], np.uint32))
@@ -102,10 +117,8 @@ def _alphabet(texts: DataFrame) -> np.ndarray:
 
 def _counts(texts: DataFrame, alphabet: np.ndarray, order: int) -> DataFrame:
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [packed_ngrams(t.as_py(), alphabet, order) for t in batch["text"]]
-            keys, n = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+        for keys, n in _tallied(packed_ngrams(t.as_py(), alphabet, order) for batch in batches for t in batch["text"]):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
 
     return texts.mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -128,7 +141,7 @@ def _column(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray
 
 
 def train(texts: DataFrame, order: int = ORDER) -> Model:
-    """Fit a model to ``texts`` (text), a bounded sample, by joins of count tables.
+    """Fit a model to all of ``texts`` (text), which are read twice, by joins of count tables.
 
     Counts of the highest order are those of the texts; lower orders count in how many contexts an
     n-gram continues. Each order's counts meet their contexts' sums and the order below by joins
@@ -184,11 +197,25 @@ def perplexity(model: Model, spark) -> Column:
     return scored(text_or_empty())
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Model, DataFrame, float]:
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids`` with the hint that they are few where they are."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _bounded(texts: DataFrame, ids: DataFrame, train_docs: int | None) -> DataFrame:
+    """The rows of ``texts`` of the least ``ids`` (doc_id, hash) within the bounds."""
+    most_docs, most_chars = (2**62 if most is None else most for most in (train_docs, TRAIN_CHARS))
+    chosen = ids if train_docs is None else ids.orderBy("hash", "doc_id").limit(train_docs)
+    upto = Window.orderBy("hash", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # over what a caller has bounded
+    rows = texts.join(chosen, "doc_id").withColumns({"_chars": F.sum(F.length("text")).over(upto), "_nth": F.count("*").over(upto)})
+    return cut(rows.where((F.col("_nth") == 1) | (F.col("_nth") <= most_docs) & (F.col("_chars") <= most_chars)).select("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int | None = TRAIN_DOCS) -> tuple[Model, DataFrame, float]:
     """The model, a table (lang, threshold) and the threshold for all other languages.
 
-    Trusted are documents that ``labels`` (doc_id, quality) gives quality 1. Half of them, by hash,
-    are for the model, which takes at most ``train_docs``; perplexities of all of the other half
+    Trusted are documents that ``labels`` (doc_id, quality) gives quality 1. All of one half of them, by hash,
+    are for the model, unless ``train_docs`` bounds them; perplexities of all of the other half
     give each language's threshold, so that it holds for texts the model hasn't seen.
     """
     trusted = (
@@ -200,13 +227,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
         .withColumn("for_model", F.col("hash") % 2 == 0)
     )
     spark, texts = docs.sparkSession, docs.select("doc_id", "lang", text_or_empty().alias("text"))
-    chosen = trusted.where("for_model").orderBy("hash", "doc_id").limit(train_docs).select("doc_id", "hash")
-    upto = Window.orderBy("hash", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # over the sample only
-    sample = texts.join(F.broadcast(chosen), "doc_id").withColumns({"_chars": F.sum(F.length("text")).over(upto), "_nth": F.count("*").over(upto)})
-    model = train(cut(sample.where((F.col("_nth") == 1) | (F.col("_nth") <= train_docs) & (F.col("_chars") <= TRAIN_CHARS)).select("text")))
+    chosen = cut(trusted.where("for_model").select("doc_id", "hash"))
+    if train_docs is None and TRAIN_CHARS is None:
+        model = train(texts.join(_few(chosen.select("doc_id")), "doc_id", "left_semi").select("text"))
+    else:
+        model = train(_bounded(texts, chosen, train_docs))
     ids = cut(trusted.where("not for_model").select("doc_id"))
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    held = texts.where((F.xxhash64("doc_id") % 2 != 0) & (F.col("text") != "")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    held = texts.where((F.xxhash64("doc_id") % 2 != 0) & (F.col("text") != "")).join(_few(ids), "doc_id", "left_semi")
     scores = cut(held.select("lang", perplexity(model, spark).alias("perplexity")))
     quantile = F.percentile_approx("perplexity", KEPT_SHARE, 10_000)
     overall = scores.agg(quantile.alias("q")).first().q
@@ -228,7 +255,7 @@ def _with_threshold(docs: DataFrame, per_lang: DataFrame, overall: float, name:
     return joined.withColumn(name, F.coalesce(name, F.lit(overall)))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, train_docs: int | None = TRAIN_DOCS) -> DataFrame:
     """(doc_id, perplexity, threshold, keep) of every row of ``docs`` (doc_id, text, lang, ...).
 
     keep: the perplexity per character isn't above its language's threshold. Empty and null texts
@@ -242,7 +269,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN
     return _with_threshold(rows, per_lang, overall, "threshold").select("doc_id", "perplexity", "threshold", keep.alias("keep"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, train_docs: int | None = TRAIN_DOCS) -> DataFrame:
     """``docs``, all columns as they are, without the rows that ``classify_quality`` doesn't keep."""
     model, per_lang, overall = fit(docs, labels, train_docs)
     threshold, score = "__quality_threshold", perplexity(model, docs.sparkSession)

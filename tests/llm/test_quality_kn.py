@@ -99,6 +99,27 @@ def test_the_sample_is_bounded_in_characters(spark, documents, monkeypatch):
     assert len(seen[0]) == 1
 
 
+def test_the_model_is_of_all_trusted_documents(spark, documents):
+    """More of them than any bound that fit had: a letter that only one has is known wherever that one comes by hash."""
+    n = 9000
+    texts = [f"a{chr(0x4E00 + i)}" for i in range(n)]
+    labels = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
+    docs = documents(texts)
+    half = {chr(0x4E00 + r.doc_id) for r in docs.where(F.xxhash64("doc_id") % 2 == 0).select("doc_id").collect()}
+    assert len(half) > 4000
+    model, _, _ = quality_kn.fit(docs, labels)
+    assert {chr(c) for c in model.alphabet} == half | {"a"}
+
+
+def test_counts_by_parts_are_those_of_the_whole(documents, monkeypatch):
+    texts = documents(["abc abd", "", "abc", "é" * 30, "abd abc"]).select("text")
+    whole = train(texts, 3)
+    monkeypatch.setattr(quality_kn, "COUNTED", 4)
+    parts = train(texts, 3)
+    assert all(np.array_equal(a, b) for a, b in zip(whole.ngrams, parts.ngrams, strict=True))
+    assert all(np.allclose(a, b) for a, b in zip(whole.log_p, parts.log_p, strict=True))
+
+
 def test_filter_and_odd_tables(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = documents(["some text", "", None, "x" * 100_000, "some text"], [1, 2, 3, None, 1])
