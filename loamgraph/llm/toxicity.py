@@ -7,26 +7,32 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, text_or_empty
 
-#: Labelled documents that a model is fitted on at most, those with the least hashes of doc_id, and their characters, of
-#: which the first document may have more.
+#: About so many labelled documents, and so many of their characters, are fitted by one task; a model is the mean of all tasks' ones.
 TRAIN_DOCS, TRAIN_CHARS = 6000, 40_000_000
-#: Features that a model has at most: those that tell the labels of the sample apart best.
+#: Documents of either label that a task has at least on average, even if it then has more in all.
+LEAST_LABEL = 50
+#: Features that a model has at most: those that tell the labels of all documents apart best.
 FEATURES = 2000
-#: Features in fewer sampled documents than this are passed over.
+#: Features in fewer documents than this are passed over.
 LEAST_DOCS = 4
+#: Labels of so many documents at most are sent to where texts are read.
+BROADCAST_IDS = 4_000_000
 STEPS, RATE, L1, FIRST_BIAS = 300, 0.1, 3e-5, -6.0
-#: Words whose weight a worker remembers; it starts anew beyond them.
+#: Words whose weight, or features whose counts, a worker remembers; it starts anew beyond them.
 REMEMBERED = 1 << 19
+#: Words whose features a worker remembers while it learns.
+FEW_WORDS = 1 << 16
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -98,22 +104,28 @@ def fit_noisy_or(bags: list[list[np.ndarray]], labels: np.ndarray, chosen: np.nd
     return Model(float(params[-1]), {int(f): float(v) for f, v in zip(chosen, params, strict=False)})
 
 
-def choose_features(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
+def choose_features(marked: DataFrame, most: int = FEATURES) -> np.ndarray:
     """Numbers of the ``most`` features whose document frequencies differ most, in standard
-    deviations, between the toxic and the other documents of ``sample`` (text, toxic)."""
+    deviations, between the toxic and the other documents of ``marked`` (text, toxic)."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, toxic = Counter(), Counter()
+        seen, toxic, of = Counter(), Counter(), lru_cache(FEW_WORDS)(features)
         for batch in batches:
             for text, label in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
-                own = {f for w in sentence_words(text.as_py()) for f in features(w)}
+                own = {f for w in sentence_words(text.as_py()) for f in of(w)}
                 seen.update(own)
                 if label:
                     toxic.update(own)
+                if len(seen) >= REMEMBERED:
+                    yield told(seen, toxic)
+                    seen, toxic = Counter(), Counter()
+        yield told(seen, toxic)
+
+    def told(seen: Counter, toxic: Counter) -> pa.RecordBatch:
         columns = [pa.array(seen, pa.int64()), pa.array(seen.values(), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["feature", "n", "n_toxic"])
+        return pa.RecordBatch.from_arrays(columns, ["feature", "n", "n_toxic"])
 
-    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    totals = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not 0 < totals.t < totals.n:
         return np.zeros(0, np.int64)
     n, t = float(totals.n), float(totals.t)
@@ -121,7 +133,7 @@ def choose_features(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
     apart = F.col("n_toxic") / t - (F.col("n") - F.col("n_toxic")) / (n - t)
     score = F.abs(apart) / F.sqrt(share * (1 - share) * (1 / t + 1 / (n - t)) + 1e-12)
     rows = (
-        sample.mapInArrow(counted, "feature long, n long, n_toxic long")
+        marked.mapInArrow(counted, "feature long, n long, n_toxic long")
         .groupBy("feature")
         .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
         .where(F.col("n") >= LEAST_DOCS)
@@ -132,40 +144,64 @@ def choose_features(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
     return np.array([r.feature for r in rows], np.int64)
 
 
+def _shards(marked: DataFrame, train_docs: int) -> tuple[int, int, int]:
+    """How many tasks fit ``marked`` (text, toxic), how many documents there are, and how many toxic ones."""
+    sums = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")).first()
+    wanted = max(-(-sums.n // train_docs), -(-sums.chars // TRAIN_CHARS))
+    return max(1, min(wanted, min(sums.t, sums.n - sums.t) // LEAST_LABEL)), sums.n, sums.t
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit a model to at most ``train_docs`` documents of ``docs`` (doc_id, text) that ``labels``
+    """Fit a model to all documents of ``docs`` (doc_id, text) that ``labels``
     (doc_id, toxic) marks. Null ids and labels are passed over; a repeated id is toxic if any row is.
 
-    The driver gets the chosen features' places in the sampled documents and fits them there, since
-    the sample is bounded by its parameter.
+    Features are chosen over all of them. Documents are dealt by their text to shards of about ``train_docs``; a task fits
+    a shard, and the model is the mean of the shards' parameters, weighted by their documents (parameter mixing).
     """
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    least = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    marked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(least), "doc_id")
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # over the sample only
-    counted = marked.withColumns({"_chars": F.sum(F.length("text")).over(upto), "_nth": F.count("*").over(upto)})
-    sample = cut(
-        counted.where((F.col("_nth") == 1) | (F.col("_nth") <= train_docs) & (F.col("_chars") <= TRAIN_CHARS))
-        .select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-        .repartition("text")
-    )
-    chosen = choose_features(sample)
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    few = marks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(marks) if few else marks, "doc_id").select("text", "toxic")
+    n_shards, n, toxic = _shards(marked, train_docs)
+    chosen = choose_features(marked)
+    if not len(chosen):
+        return fit_noisy_or([[]] * min(n, 1), np.array([toxic / n] if n else []), chosen)
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set(chosen.tolist())
+
+        @lru_cache(FEW_WORDS)
+        def own_features(word: str) -> list[int]:
+            return [f for f in features(word) if f in known]
+
         for batch in batches:
             sizes, places = [], []
             for text in batch["text"]:
-                own = [sorted(f for w in sentence_words(m[0]) for f in features(w) if f in known) for m in SENTENCE.finditer(text.as_py())]
+                own = [sorted(f for w in sentence_words(m[0]) for f in own_features(w)) for m in SENTENCE.finditer(text.as_py())]
                 sizes.append(np.array([len(s) for s in own], "<i4").tobytes())
                 places.append(np.array([f for s in own for f in s], "<i8").tobytes())
-            columns = [batch["toxic"], pa.array(sizes, pa.binary()), pa.array(places, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "sizes", "places"])
-
-    rows = sample.mapInArrow(bags, "toxic int, sizes binary, places binary").collect()
-    rows.sort(key=lambda r: (bytes(r.sizes), bytes(r.places), r.toxic))
-    split = [np.split(np.frombuffer(r.places, "<i8"), np.cumsum(np.frombuffer(r.sizes, "<i4"))[:-1]) if r.sizes else [] for r in rows]
-    return fit_noisy_or(split, np.array([r.toxic for r in rows]), chosen)
+            columns = [batch["shard"], batch["toxic"], pa.array(sizes, pa.binary()), pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "toxic", "sizes", "places"])
+
+    def fitted(rows: pa.Table) -> pa.Table:
+        """(shard, n, bias, weights) of one shard's rows."""
+        rows = rows.sort_by([("sizes", "ascending"), ("places", "ascending"), ("toxic", "ascending")])
+        split = []
+        for sizes, places in zip(rows["sizes"], rows["places"], strict=True):
+            cuts = np.cumsum(np.frombuffer(sizes.as_py(), "<i4"))
+            split.append(np.split(np.frombuffer(places.as_py(), "<i8"), cuts[:-1]) if len(cuts) else [])
+        model = fit_noisy_or(split, rows["toxic"].to_numpy(), chosen)
+        weights = [model.weights.get(int(f), 0.0) for f in np.sort(chosen)]
+        return pa.table({"shard": rows["shard"][:1], "n": [rows.num_rows], "bias": [model.bias], "weights": [weights]})
+
+    dealt = marked.select(F.pmod(F.xxhash64("text"), F.lit(n_shards)).cast("int").alias("shard"), "toxic", "text")
+    rows = dealt.mapInArrow(bags, "shard int, toxic int, sizes binary, places binary")
+    parts = cut(rows.groupBy("shard").applyInArrow(fitted, "shard int, n long, bias double, weights array<double>"))
+    each = parts.select("shard", F.posexplode(F.concat("weights", F.array("bias"))).alias("at", "value"), "n")
+    # in the shards' order, as sums of floating-point numbers depend on it
+    ordered = F.array_sort(F.collect_list(F.struct("shard", "value", "n")))
+    total = F.aggregate(ordered, F.lit(0.0), lambda sum_, x: sum_ + x["value"] * x["n"])
+    means = [r.mean for r in each.groupBy("at").agg((total / F.sum("n")).alias("mean")).orderBy("at").collect()]
+    return Model(means[-1], {int(f): w for f, w in zip(np.sort(chosen), means[:-1], strict=True)})
 
 
 def toxicity(model: Model, spans: bool = False) -> Column:

@@ -66,6 +66,20 @@ def test_offending_sentences_and_filter(spark, documents):
     assert {r.doc_id % 2 if r.doc_id < 80 else 0 for r in kept.collect()} == {0} and kept.count() == 42
 
 
+def test_every_labelled_document_counts(spark, documents):
+    """A bound on what one task fits leaves no document out: with any, the model knows what only some of them show."""
+    docs = documents([f"word{i} is {'rotten' if i % 4 == 0 else 'vile' if i % 4 == 2 else 'fine'} here" for i in range(400)])
+    labels = docs.select("doc_id", ((F.col("doc_id") + 1) % 2).cast("int").alias("toxic"))
+    whole, dealt = train(docs, labels, 1000), train(docs, labels, 100)
+    for word in ("rotten", "vile", "fine"):
+        scores = [m.score(f"this is {word} here")[0] for m in (whole, dealt)]
+        assert all((p > 0.5) == (word != "fine") for p in scores)
+    assert whole.weights.keys() == dealt.weights.keys() and whole.bias != dealt.bias
+    assert dealt.weights == train(docs, labels, 100).weights
+    known = train(documents([f"a common line. {chr(97 + i % 26) * 3} {'trash' if i == 7 or i > 60 else 'fine'}" for i in range(120)]), labels.limit(120), 1)
+    assert known.weights
+
+
 def test_very_long_texts_are_scored_whole(spark, documents, monkeypatch):
     monkeypatch.setattr(toxicity_module, "TRAIN_CHARS", 50_000)
     docs = documents(["this is fine. really", "this is trash. fine"] * 40 + ["fine words. " * 200_000 + "this is trash", "x" * 2_000_000])
