@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,16 +30,22 @@ LEAST_DOCS = 4
 #: Labels of so many documents at most are sent to where texts are read.
 BROADCAST_IDS = 4_000_000
 STEPS, RATE, L1, FIRST_BIAS = 300, 0.1, 3e-5, -6.0
-#: Words whose weight, or features whose counts, a worker remembers; it starts anew beyond them.
+#: Words whose weight a worker remembers; it starts anew beyond them.
 REMEMBERED = 1 << 19
 #: Words whose features a worker remembers while it learns.
 FEW_WORDS = 1 << 16
+#: Features of documents that a worker counts at once.
+COUNTED = 1 << 21
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
+#: The same words, much faster, where there is nothing of ``OTHER``.
+RUN = re.compile(r"\w+")
+OTHER = re.compile(r"[\d_]")
 
 
-def sentence_words(sentence: str) -> set[str]:
-    return set(WORD.findall(sentence.lower()))
+def words_of(text: str) -> Callable[[str], list[str]]:
+    """What finds the words of lower-cased parts of ``text``."""
+    return (WORD if OTHER.search(text) else RUN).findall
 
 
 def features(word: str) -> list[int]:
@@ -46,6 +53,20 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) for x in (f"{word}$", *(word[:k] for k in range(2, min(len(word), 7))))]
 
 
+class Remembered(dict):
+    """Values of words, each computed when it is first asked for; beyond ``most`` it starts anew."""
+
+    def __init__(self, value: Callable[[str], object], most: int):
+        super().__init__()
+        self.value, self.most = value, most
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = self.value(word)
+        return found
+
+
 @dataclass
 class Model:
     """Weights of features; a sentence's score is the logistic of the bias and the weights of its
@@ -53,25 +74,23 @@ class Model:
 
     bias: float
     weights: dict[int, float]
-    known: dict[str, float] = field(default_factory=dict, repr=False)
+    _known: Remembered | None = field(default=None, repr=False, compare=False)
 
     def word_weight(self, word: str) -> float:
-        weight = self.known.get(word)
-        if weight is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            weight = self.known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
-        return weight
+        return sum(self.weights.get(f, 0.0) for f in features(word))
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score and its sentences as start, stop, score. No sentence scores 0."""
-        spans = [(m.start(), m.end(), sum(map(self.word_weight, sentence_words(m[0])))) for m in SENTENCE.finditer(text)]
+        if self._known is None:
+            self._known = Remembered(self.word_weight, REMEMBERED)
+        weight, words = self._known.__getitem__, words_of(text)
+        spans = [(*m.span(), sum(map(weight, set(words(m[0].lower()))))) for m in SENTENCE.finditer(text)]
         if not spans:
             return 0.0, []
         logits = self.bias + np.array([s[2] for s in spans])
         clean = -np.logaddexp(0, logits)  # log of 1 - score
         marks = -np.expm1(clean)
-        return float(-np.expm1(clean.sum())), [(i, j, float(p)) for (i, j, _), p in zip(spans, marks, strict=True)]
+        return float(-np.expm1(clean.sum())), [(i, j, p) for (i, j, _), p in zip(spans, marks.tolist(), strict=True)]
 
 
 def fit_noisy_or(bags: list[list[np.ndarray]], labels: np.ndarray, chosen: np.ndarray) -> Model:
@@ -79,25 +98,34 @@ def fit_noisy_or(bags: list[list[np.ndarray]], labels: np.ndarray, chosen: np.nd
 
     bags: per document its sentences, each an array of feature numbers, all of them chosen ones.
     """
+    chosen = np.sort(chosen)
+    return _fit([Counter(np.sort(np.searchsorted(chosen, s)).astype("<i4").tobytes() for s in bag) for bag in bags], labels, chosen)
+
+
+def _fit(bags: list[dict[bytes, int]], labels: np.ndarray, chosen: np.ndarray) -> Model:
+    """``fit_noisy_or`` of sentences as places in the sorted ``chosen`` and how often a document has them. Sentences of the
+    same features, most of all those without any, have one score: it is computed once, however many documents have them."""
     kept = [(bag, y) for bag, y in zip(bags, labels, strict=True) if bag]
     y = np.array([label for _, label in kept], float)
     if not len(chosen) or len(set(y)) < 2:
         share = float(np.mean(labels)) if len(labels) else 0.0
         return Model(float(np.log((share + 1e-3) / (1 - share + 1e-3))), {})
-    chosen = np.sort(chosen)
-    sentences = [s for bag, _ in kept for s in bag]
-    place = np.searchsorted(chosen, np.concatenate(sentences))
-    owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    numbers: dict[bytes, int] = {}
+    which = np.array([numbers.setdefault(s, len(numbers)) for bag, _ in kept for s in bag])
+    times = np.array([n for bag, _ in kept for n in bag.values()], float)
+    place = np.frombuffer(b"".join(numbers), "<i4").astype(np.intp)
+    owner = np.repeat(np.arange(len(numbers)), [len(s) // 4 for s in numbers])
     sizes = [len(bag) for bag, _ in kept]
     starts, of_doc = np.cumsum([0, *sizes])[:-1], np.repeat(np.arange(len(kept)), sizes)
 
     params = np.append(np.zeros(len(chosen)), FIRST_BIAS)
     mean, var = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
-        logits = params[-1] + np.bincount(owner, params[place], len(sentences))
-        clean = np.add.reduceat(-np.logaddexp(0, logits), starts)
+        logits = params[-1] + np.bincount(owner, params[place], len(numbers))
+        clean = np.add.reduceat(-np.logaddexp(0, logits)[which] * times, starts)
         toxic = np.maximum(-np.expm1(clean), 1e-9)
-        pull = np.where(y > 0, -np.exp(clean) / toxic, 1.0)[of_doc] / (1 + np.exp(-logits)) / len(y)
+        asked = np.where(y > 0, -np.exp(clean) / toxic, 1.0)[of_doc] * times
+        pull = np.bincount(which, asked, len(numbers)) / (1 + np.exp(-logits)) / len(y)
         grad = np.append(np.bincount(place, pull[owner], len(chosen)) + L1 * np.sign(params[:-1]), pull.sum())
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         params -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-8)
@@ -109,21 +137,26 @@ def choose_features(marked: DataFrame, most: int = FEATURES) -> np.ndarray:
     deviations, between the toxic and the other documents of ``marked`` (text, toxic)."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, toxic, of = Counter(), Counter(), lru_cache(FEW_WORDS)(features)
+        own = Remembered(lambda word: array("I", features(word)).tobytes(), FEW_WORDS)
+        parts, labels, n = [], [], 0
         for batch in batches:
             for text, label in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
-                own = {f for w in sentence_words(text.as_py()) for f in of(w)}
-                seen.update(own)
-                if label:
-                    toxic.update(own)
-                if len(seen) >= REMEMBERED:
-                    yield told(seen, toxic)
-                    seen, toxic = Counter(), Counter()
-        yield told(seen, toxic)
-
-    def told(seen: Counter, toxic: Counter) -> pa.RecordBatch:
-        columns = [pa.array(seen, pa.int64()), pa.array(seen.values(), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["feature", "n", "n_toxic"])
+                text = text.as_py()
+                parts.append(b"".join(map(own.__getitem__, set(words_of(text)(text.lower())))))
+                labels.append(label)
+                n += len(parts[-1]) // 4
+                if n >= COUNTED:
+                    yield told(parts, labels)
+                    parts, labels, n = [], [], 0
+        yield told(parts, labels)
+
+    def told(parts: list[bytes], labels: list[int]) -> pa.RecordBatch:
+        """(feature, n, n_toxic): a feature counts once for a document; it has a row for each label."""
+        doc = np.repeat(np.arange(len(parts)), [len(p) // 4 for p in parts])
+        pairs = np.unique(doc << 32 | np.frombuffer(b"".join(parts), np.uintc).astype(np.int64))
+        toxic = np.array(labels, np.int64)[pairs >> 32]
+        rows, n = np.unique((pairs & 0xFFFFFFFF) << 1 | toxic, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(rows >> 1), pa.array(n), pa.array(n * (rows & 1))], ["feature", "n", "n_toxic"])
 
     totals = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not 0 < totals.t < totals.n:
@@ -166,42 +199,39 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     if not len(chosen):
         return fit_noisy_or([[]] * min(n, 1), np.array([toxic / n] if n else []), chosen)
 
-    def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(chosen.tolist())
-
-        @lru_cache(FEW_WORDS)
-        def own_features(word: str) -> list[int]:
-            return [f for f in features(word) if f in known]
+    chosen = np.sort(chosen)
 
+    def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {int(f): i for i, f in enumerate(chosen)}
+        own = Remembered(lambda word: [place[f] for f in features(word) if f in place], FEW_WORDS)
         for batch in batches:
-            sizes, places = [], []
+            sentences, times = [], []
             for text in batch["text"]:
-                own = [sorted(f for w in sentence_words(m[0]) for f in own_features(w)) for m in SENTENCE.finditer(text.as_py())]
-                sizes.append(np.array([len(s) for s in own], "<i4").tobytes())
-                places.append(np.array([f for s in own for f in s], "<i8").tobytes())
-            columns = [batch["shard"], batch["toxic"], pa.array(sizes, pa.binary()), pa.array(places, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "toxic", "sizes", "places"])
+                text = text.as_py()
+                words = words_of(text)
+                bag = Counter(tuple(sorted(chain.from_iterable(map(own.__getitem__, set(words(s.lower())))))) for s in SENTENCE.findall(text))
+                bag = sorted(bag.items())
+                sentences.append([np.array(s, "<i4").tobytes() for s, _ in bag])
+                times.append([n for _, n in bag])
+            columns = [batch["shard"], batch["toxic"], pa.array(sentences, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "toxic", "sentences", "times"])
 
     def fitted(rows: pa.Table) -> pa.Table:
         """(shard, n, bias, weights) of one shard's rows."""
-        rows = rows.sort_by([("sizes", "ascending"), ("places", "ascending"), ("toxic", "ascending")])
-        split = []
-        for sizes, places in zip(rows["sizes"], rows["places"], strict=True):
-            cuts = np.cumsum(np.frombuffer(sizes.as_py(), "<i4"))
-            split.append(np.split(np.frombuffer(places.as_py(), "<i8"), cuts[:-1]) if len(cuts) else [])
-        model = fit_noisy_or(split, rows["toxic"].to_numpy(), chosen)
-        weights = [model.weights.get(int(f), 0.0) for f in np.sort(chosen)]
+        ordered = sorted(zip(rows["sentences"].to_pylist(), rows["times"].to_pylist(), rows["toxic"].to_pylist(), strict=True))
+        model = _fit([dict(zip(s, n, strict=True)) for s, n, _ in ordered], np.array([t for *_, t in ordered]), chosen)
+        weights = [model.weights.get(int(f), 0.0) for f in chosen]
         return pa.table({"shard": rows["shard"][:1], "n": [rows.num_rows], "bias": [model.bias], "weights": [weights]})
 
     dealt = marked.select(F.pmod(F.xxhash64("text"), F.lit(n_shards)).cast("int").alias("shard"), "toxic", "text")
-    rows = dealt.mapInArrow(bags, "shard int, toxic int, sizes binary, places binary")
+    rows = dealt.mapInArrow(bags, "shard int, toxic int, sentences array<binary>, times array<int>")
     parts = cut(rows.groupBy("shard").applyInArrow(fitted, "shard int, n long, bias double, weights array<double>"))
     each = parts.select("shard", F.posexplode(F.concat("weights", F.array("bias"))).alias("at", "value"), "n")
     # in the shards' order, as sums of floating-point numbers depend on it
     ordered = F.array_sort(F.collect_list(F.struct("shard", "value", "n")))
     total = F.aggregate(ordered, F.lit(0.0), lambda sum_, x: sum_ + x["value"] * x["n"])
     means = [r.mean for r in each.groupBy("at").agg((total / F.sum("n")).alias("mean")).orderBy("at").collect()]
-    return Model(means[-1], {int(f): w for f, w in zip(np.sort(chosen), means[:-1], strict=True)})
+    return Model(means[-1], {int(f): w for f, w in zip(chosen, means[:-1], strict=True)})
 
 
 def toxicity(model: Model, spans: bool = False) -> Column:

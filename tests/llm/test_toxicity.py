@@ -97,3 +97,18 @@ def test_odd_tables(spark, documents):
     odd = spark.createDataFrame([(None, 1), (2, None), (2, 1), (2, 0)], "doc_id long, toxic int")
     clash = spark.createDataFrame([(2, "a", 7, "x")], "doc_id long, text string, toxic int, score string")
     assert score_toxicity(clash, odd).columns == ["doc_id", "held_out", "score", "predicted", "sentences"]
+
+
+def test_equal_sentences_are_computed_once(monkeypatch):
+    """Most sentences have no chosen feature at all; a step's work follows the distinct ones, and the fit is that of all of them."""
+    known = numbers("awful fine")
+    sizes, logaddexp = [], np.logaddexp
+    monkeypatch.setattr(toxicity_module.np, "logaddexp", lambda a, b: sizes.append(np.size(b)) or logaddexp(a, b))
+    none = np.zeros(0, np.int64)
+    bags = [[none] * (i % 7) + [numbers("awful" if i % 3 == 0 else "fine")] * 2 for i in range(300)]
+    labels = np.array([i % 3 == 0 for i in range(300)], int)
+    model = fit_noisy_or(bags, labels, known)
+    assert max(sizes) == 3
+    clean = [sum(-logaddexp(0, model.bias + sum(model.weights[f] for f in s)) for s in bag) for bag in bags]
+    assert all((c < np.log(0.5)) == y for c, y in zip(clean, labels, strict=True))
+    assert model.score("awful. x. y")[0] > 0.5 > model.score("fine. x. y")[0]
