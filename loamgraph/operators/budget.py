@@ -55,14 +55,16 @@ def edge_costs(graph: Graph, family: str = "unknown") -> DataFrame:
 
 
 def active_view_costs(graph: Graph, family: str = "unknown") -> DataFrame:
-    """(id, tokens): a node, its children, and its edges out and in."""
+    """(id, tokens): a node, its children, and its edges out and in. One pass over the edges gives what a pair of nodes adds to
+    either end; what ends at no node goes last, after it has been summed up."""
     own = node_costs(graph.nodes, family)
-    edges = edge_costs(graph, family)
-    children = graph.drill_down().join(own.withColumnRenamed("id", "child"), "child").select(F.col("me").alias("id"), "tokens")
-    out = edges.select(F.col("source_id").alias("id"), "tokens")
-    into = edges.select(F.col("target_id").alias("id"), "tokens")
-    parts = own.unionAll(children).unionAll(out).unionAll(into)
-    return parts.join(graph.nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("tokens").alias("tokens"))
+    child = own.groupBy(F.col("id").alias("target_id")).agg(F.sum("tokens").alias("below"))
+    met = edge_costs(graph, family).join(child, "target_id", "left")  # a child counts once however many edges lead to it
+    pairs = met.groupBy("source_id", "target_id").agg(F.sum("tokens").alias("edges"), F.max(F.when(F.col("type") == "assoc", F.col("below"))).alias("below"))
+    row = lambda end, tokens: F.struct(F.col(end).alias("id"), tokens.alias("tokens"), F.lit(False).alias("known"))
+    ends = pairs.select(F.inline(F.array(row("source_id", F.col("edges") + F.coalesce("below", F.lit(0))), row("target_id", F.col("edges")))))
+    parts = own.select("id", F.col("tokens").cast("long").alias("tokens"), F.lit(True).alias("known")).unionAll(ends)
+    return parts.groupBy("id").agg(F.sum("tokens").alias("tokens"), F.max("known").alias("known")).where("known and id is not null").select("id", "tokens")
 
 
 def hierarchy_costs(graph: Graph, family: str = "unknown") -> DataFrame:
