@@ -30,7 +30,7 @@ def rooted(graph: Graph, changed: DataFrame | None = None) -> Graph:
     schema = graph.nodes.select(*values).schema
     made = graph.nodes.sparkSession.createDataFrame([tuple(values.values())], schema)
     nodes = graph.nodes.unionByName(shaped(made.join(graph.nodes.select("id"), "id", "left_anti"), graph.nodes))
-    loose = roots_to_hang(graph, graph.nodes if changed is None else changed).where(F.col("id") != ROOT)
+    loose = roots_to_hang(graph, changed).where(F.col("id") != ROOT)
     hung = loose.select(F.concat(F.lit(f"{ROOT}>"), "id", F.lit(":assoc")).alias("id"), F.lit(ROOT).alias("source_id"), F.col("id").alias("target_id"), F.lit("assoc").alias("type"), F.lit(0.0).alias("priority"))
     return Graph(nodes, graph.edges.unionByName(shaped(hung, graph.edges)))
 

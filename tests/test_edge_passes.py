@@ -1,6 +1,8 @@
 """Queries over all edges meet them with nodes as few times as they need, and give what the longer ways gave."""
 
-from loamgraph.operators import budget
+import random
+
+from loamgraph.operators import budget, ingest
 from loamgraph.operators.graph import Graph
 
 
@@ -26,3 +28,21 @@ def test_active_view_costs_pass_over_edges_once(spark):
     got = budget.active_view_costs(g)
     assert {r.id: r.tokens for r in got.collect()} == {i: want[i] for i in ids}
     assert _joins(got) <= 3
+
+
+def test_core_nodes_without_relations_meet_with_events_only(spark):
+    """A core node sees what isn't an event, unknown ends and events by mutex; the rows of ``relations`` say the same."""
+    rng = random.Random(5)
+    classes = {f"n{i}": ("concept", "fact", "event", "source")[i % 4] for i in range(24)}
+    nodes = spark.createDataFrame([(i, i, "", c, False, None, None, k) for k, (i, c) in enumerate(classes.items())], "id string, name string, content string, node_class string, hub boolean, doc_id string, event_ts string, seq long")
+    for round_ in range(3):
+        ends = [(f"n{rng.randrange(26)}", f"n{rng.choice([2, 6, 10, 14, 25, rng.randrange(24)])}", rng.choice(["assoc", "assoc", "mutex"])) for _ in range(14)]
+        edges = spark.createDataFrame([(f"{k}", s, t, kind, 0.0) for k, (s, t, kind) in enumerate(ends)], "id string, source_id string, target_id string, type string, priority double")
+        g = Graph(nodes, edges)
+        seen = {r.me for r in g.relations().collect()}
+        want = {i for i, c in classes.items() if c in ("concept", "fact") and i not in seen}
+        loose = ingest.roots_to_hang(g)
+        assert {r.id for r in loose.collect()} == want and want
+        changed = nodes.where("seq < 9").select("id")
+        assert {r.id for r in ingest.roots_to_hang(g, changed).collect()} == {i for i in want if int(i[1:]) < 9}
+    assert _joins(loose) == 3
