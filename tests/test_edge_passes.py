@@ -2,8 +2,12 @@
 
 import random
 
-from loamgraph.operators import budget, ingest
+from loamgraph.operators import budget, ingest, quality
 from loamgraph.operators.graph import Graph
+from loamgraph.plans import queries
+from loamgraph.sources import derive
+
+SF = "/root/testdata/sf0.001"
 
 
 def _joins(df) -> int:
@@ -46,3 +50,15 @@ def test_core_nodes_without_relations_meet_with_events_only(spark):
         changed = nodes.where("seq < 9").select("id")
         assert {r.id for r in ingest.roots_to_hang(g, changed).collect()} == {i for i in want if int(i[1:]) < 9}
     assert _joins(loose) == 3
+
+
+def test_report_delta_only_counts(spark):
+    """Sizes are counted where nodes and edges are read: what goes with events is all that nodes and edges meet with."""
+    g = derive.derive_graph(spark, SF)
+    delta = queries.report_delta(spark, SF)
+    got = {r.metric: (r.before, r.after) for r in delta.collect()}
+    n, e = (g.nodes.where("id like 'e:%'").count(), g.edges.where("source_id like 'e:%'").count())
+    assert got == {"nodes": (g.nodes.count(), g.nodes.count() - n), "edges": (g.edges.count(), g.edges.count() - e)}
+    without = g.without_nodes(g.of_class("event").select("id"))
+    longer = quality.report_delta(*(quality.graph_quality(x).select("nodes", "edges") for x in (g, without)))
+    assert _joins(delta) <= _joins(longer) - 6
