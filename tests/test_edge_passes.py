@@ -6,6 +6,7 @@ from loamgraph.operators import budget, ingest, quality
 from loamgraph.operators.graph import Graph
 from loamgraph.plans import queries
 from loamgraph.sources import derive
+from test_semantics import graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,16 @@ def test_report_delta_only_counts(spark):
     without = g.without_nodes(g.of_class("event").select("id"))
     longer = quality.report_delta(*(quality.graph_quality(x).select("nodes", "edges") for x in (g, without)))
     assert _joins(delta) <= _joins(longer) - 6
+
+
+def test_health_passes_over_edges_once_more(spark):
+    """Counts of types and of repeated pairs come of one pass; children meet with nodes once."""
+    kinds = [("a", "b", "assoc"), ("a", "b", "assoc"), ("a", "b", "assoc"), ("b", "a", "mutex"), ("b", "a", "mutex"), ("a", "gone", "assoc"), ("a", "gone", "assoc"), ("b", "c", "assoc")]
+    g = graph(spark, {"a": {"content": "x" * 90}, "b": {"cls": "fact"}, "c": {"cls": None}}, kinds)
+    out = quality.health(g, 20)
+    got = {r.check: r.n for r in out.collect()}
+    assert got == {"class concept": 1, "class fact": 1, None: 1, "type assoc": 6, "type mutex": 2, "over budget": 1, "repeated pairs": 2}
+    assert {r.id: r.members for r in budget.hierarchy_costs(g).collect()} == {"a": 1, "b": 1, "c": 0}
+    assert _joins(out) == 2
+    none = quality.health(Graph(g.nodes, g.edges.limit(0)), 20).where("check = 'repeated pairs'").collect()
+    assert [r.n for r in none] == [0]
