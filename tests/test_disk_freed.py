@@ -2,7 +2,10 @@
 
 import os
 
+from loamgraph.operators import ingest
+from loamgraph.operators.compact import compact
 from loamgraph.operators.components import connected_components
+from loamgraph.operators.graph import Graph
 from loamgraph.operators.shared import cut, forget, shared_folder
 
 
@@ -31,3 +34,25 @@ def test_components_keep_their_last_round_only(spark):
     got = connected_components(links, "a", "b")
     assert len(checkpoints(spark) - kept) == 1
     assert {r.component for r in got.collect()} == {0} and got.count() == 201
+
+
+def test_ingest_deletes_the_nodes_it_passes_through(spark):
+    nodes = spark.createDataFrame([("a", "A", "x", "concept", False, None, None, 0)], "id string, name string, content string, node_class string, hub boolean, doc_id string, event_ts string, seq long")
+    edges = spark.createDataFrame([], "id string, source_id string, target_id string, type string, priority double")
+    inputs = spark.createDataFrame([("i", "text", "2026")], "ingest_id string, content string, ts string")
+    decisions = spark.createDataFrame([("i", 0, "merge", "A", "more", "a", None), ("i", 1, "create", "B", "y", None, None)], "ingest_id string, pos int, action string, name string, content string, target_id string, node_class string")
+    kept = checkpoints(spark)
+    done = ingest.apply(Graph(nodes, edges), inputs, decisions)
+    assert len(checkpoints(spark) - kept) == 6  # inputs, decisions twice, what changed, nodes and edges
+    assert {(r.name, r.content) for r in done.graph.nodes.where("node_class = 'concept'").collect()} == {("A", "x\nmore"), ("B", "y")}
+    assert done.new_nodes.count() == 3 and done.new_edges.count() == 2
+
+
+def test_compaction_leaves_no_shuffle_files(spark):
+    rows = [("h", "h", "", "concept", True, 0)] + [(f"m{i}", f"m{i}", f"{'red' if i % 2 else 'blue'} thing {i}", "concept", False, i + 1) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "id string, name string, content string, node_class string, hub boolean, seq long").repartition(3)
+    edges = spark.createDataFrame([(f"h>m{i}:assoc", "h", f"m{i}", "assoc", 0.0) for i in range(40)], "id string, source_id string, target_id string, type string, priority double")
+    files = shuffle_files(spark)
+    got = compact(Graph(cut(nodes), cut(edges)), 100)
+    left = shuffle_files(spark) - files
+    assert got.nodes.count() > 41 and not left
